@@ -65,7 +65,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return part.join(sold, "product_id", "left").select(
         *part.columns,
-        F.round(F.coalesce(F.try_divide("qty", top), F.lit(0.5)), 4).alias("popularity"),
+        F.coalesce(F.try_divide("qty", top), F.lit(0.5)).alias("popularity"),
         F.round(F.coalesce("avg_discount", F.lit(0.0)), 4).alias("discount"),
     )
 
@@ -101,3 +101,62 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     order = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select("user_id", "product_id", "weight")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a request log: the type is the path, errors are 5xx, the value is milliseconds.
+
+    Every seventh client key of a signup stands for a rejected request (422).
+    """
+    key = F.get_json_object("props", "$.k").try_cast("bigint")
+    status = (
+        F.when(F.col("event_type") == "error", 500)
+        .when((F.col("event_type") == "signup") & (key % 7 == 0), 422)
+        .otherwise(200)
+    )
+    return events(spark, sf_dir).select(
+        "event_id", "ts", F.lit("POST").alias("method"), F.concat(F.lit("/ml/"), "event_type").alias("path"),
+        status.alias("status"), (F.col("value") / 1000).alias("duration_s"),
+        F.col("event_type").alias("endpoint"), F.concat(F.lit("step_"), (key % 3).cast("string")).alias("step"),
+    )
+
+
+def rerank_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rerank requests, one per customer, and the lines it ordered as candidates.
+
+    Segments stand for intents; the keyword score is the discount, the semantic score the tax, and
+    neither price nor semantic score are known for returned lines.
+    """
+    label = F
+    for segment, name in (("BUILDING", "price_sensitive"), ("FURNITURE", "premium"), ("HOUSEHOLD", "gift")):
+        label = label.when(F.col("c_mktsegment") == segment, F.lit(name))
+    own = F.create_map(F.lit("vector"), F.lit(0.6), F.lit("pricing"), F.lit(0.1))
+    requests = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"), label.otherwise(F.lit(None)).alias("label"),
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.lit(0.75)).alias("confidence"),
+        F.when(F.col("c_nationkey") % 5 == 0, own).alias("weights"),
+    )
+    line = table(spark, sf_dir, "lineitem")
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    returned = F.col("l_returnflag") == "R"
+    candidates = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("request_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"), F.col("l_partkey").alias("product_id"),
+        F.col("l_discount").alias("keyword_score"), F.when(~returned, F.col("l_tax")).alias("semantic_score"),
+        F.when(~returned, F.col("l_extendedprice")).alias("price"),
+    )
+    return requests, candidates
+
+
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts a person may have typed: conversation turns, documents and search requests."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.lit("turn").alias("origin"), (F.col("conv_id") * 10000 + F.col("turn")).alias("key"), F.col("text").alias("query"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("document").alias("origin"), F.col("doc_id").alias("key"), F.col("text").alias("query"))
+    asked = search_requests(spark, sf_dir).select(F.lit("request").alias("origin"), F.col("query_id").alias("key"), "query")
+    return turns.unionByName(docs).unionByName(asked)
