@@ -8,7 +8,9 @@ driver.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -133,12 +135,15 @@ def train_churn_model(labelled: DataFrame, key: str = "customer_id", label: str
     by_name = {r["feature"]: list(r["refs"]) for r in quantile_refs(features, MODEL_FEATURES).collect()}  # four rows
     refs = [by_name[f] for f in MODEL_FEATURES]
     rows = stage(stratified_folds(_scaled(features, refs), key, label), "churn-folds")
-    folds = []
-    for i in range(FOLDS):
+
+    def fit_fold(i: int) -> list[float]:
         fitted = _fit(_balanced(rows.filter(F.col("fold") != i), label), MODEL_FEATURES, label, C_TRAINED, "_w")
         coefs = [*map(float, fitted.coefficients), float(fitted.intercept)]
         held_out = rows.filter(F.col("fold") == i).select(label, _margin(coefs).alias("margin"))
-        folds.append([*coefs, *_platt(held_out, label)])
+        return [*coefs, *_platt(held_out, label)]
+
+    with ThreadPool(FOLDS) as pool:  # folds are independent jobs
+        folds = pool.map(inheritable_thread_target(rows.sparkSession)(fit_fold), range(FOLDS))
     hit = (fold_probabilities(rows, folds) >= 0.5).cast("int") == F.col(label)
     accuracy = rows.agg(F.avg(hit.cast("double"))).first()[0]
     return ChurnModel(refs, folds, float(accuracy))

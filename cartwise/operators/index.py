@@ -20,8 +20,8 @@ class SearchIndex:
 
     vocab: DataFrame      # term, fid, space, idf, tf, df
     members: DataFrame    # gid, copies, ordinal, product_id
-    postings: DataFrame   # gid, copies, fid, bucket, weight
-    bounds: DataFrame     # fid, top_weight, kth_weight, bucket range
+    postings: DataFrame   # gid, tid, bucket, dense, sparse
+    bounds: DataFrame     # tid, largest and k-th largest weights, bucket range
     k: int
 
 
@@ -52,26 +52,28 @@ def copy_groups(products: DataFrame, k: int, stock_only: bool = True) -> DataFra
 
 
 def postings(groups: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Weights of every distinct text, with the weight's bucket for pruned reading."""
+    """Weights of every distinct text, with the bucket of the larger one for pruned reading."""
     leads = groups.filter("lead")
-    weights = TF.tfidf(leads, "gid", "text", vocab, TF.SPARSE.max_ngram, TF.SPARSE.sublinear)
-    return weights.join(leads.select("gid", "copies"), "gid").select(
-        "gid", "copies", "fid", F.floor(F.col("weight") * BUCKETS).cast("int").alias("bucket"), "weight"
+    weights = TF.hybrid_tfidf(leads, "gid", "text", vocab)
+    larger = F.greatest("dense", "sparse")
+    return weights.select(
+        "gid", "tid", F.floor(larger * BUCKETS).cast("int").alias("bucket"), "dense", "sparse"
     )
 
 
 def term_bounds(post: DataFrame, k: int) -> DataFrame:
-    """Largest and ``k``-th largest weight per term; the latter is 0 for shorter lists.
-
-    One row per vocabulary term.
-    """
-    order = Window.partitionBy("fid").orderBy(F.desc("weight"), "gid")
-    best = post.select("fid", "weight", "gid").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-    kth = best.groupBy("fid").agg(F.coalesce(F.max(F.when(F.col("rn") == k, F.col("weight"))), F.lit(0.0)).alias("kth_weight"))
-    span = post.groupBy("fid").agg(
-        F.max("weight").alias("top_weight"), F.min("bucket").alias("low_bucket"), F.max("bucket").alias("high_bucket")
+    """Per vocabulary term the largest and ``k``-th largest weights; 0 for lists shorter than ``k``."""
+    def kth(weight: str) -> DataFrame:
+        order = Window.partitionBy("tid").orderBy(F.desc(weight), "gid")
+        best = post.select("tid", weight, "gid").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+        return best.filter(F.col("rn") == k).select("tid", F.col(weight).alias(f"kth_{weight}"))
+
+    span = post.groupBy("tid").agg(
+        F.count("*").alias("list_length"),
+        F.max("dense").alias("top_dense"), F.max("sparse").alias("top_sparse"),
+        F.min("bucket").alias("low_bucket"), F.max("bucket").alias("high_bucket"),
     )
-    return span.join(kth, "fid")
+    return span.join(kth("dense"), "tid", "left").join(kth("sparse"), "tid", "left").fillna(0.0)
 
 
 def build_index(products: DataFrame, keep, k: int = K.TOP_CANDIDATES, stock_only: bool = True,

@@ -1,16 +1,18 @@
 """Exact hybrid retrieval of many queries over an indexed catalogue.
 
-The score of a pair is a weighted sum over shared terms, so pairs without a shared term score 0 and
-never have to be formed. Frequent terms still pair with a large share of the catalogue; these lists
-are read only as far as they can matter:
+The score of a pair is a sum over shared terms, so pairs without a shared term score 0 and are never
+formed. The lists of rare terms are read in full. A frequent term pairs with a large share of the
+catalogue; its list is read only as far as it can matter:
 
 1. ``floor`` of a query: the ``k``-th best weight of any one term, times its query weight, is
    reached by ``k`` products, so nothing below it can be in the result.
-2. Terms are ordered by their largest possible contribution. A product is found through the first
-   of its terms in this order, hence a term is read only down to the weight at which it and all
-   later terms together still reach the floor. Buckets of weights make this an equi-join.
+2. Terms are ordered by their largest possible contribution (of both spaces together). A product in
+   the result is found through the first of its terms in this order, hence a long list is read only
+   down to the weight at which it and all later terms together still reach the floor. Buckets of
+   weights make this an equi-join.
 3. What was read gives a lower and an upper bound per pair. The ``k``-th best lower bound raises
-   the floor; pairs whose upper bound stays below it are dropped, the rest is scored in full.
+   the floor; pairs whose upper bound stays below it are dropped. For the others the terms not read
+   in full are looked up.
 
 All bounds hold exactly (up to a slack far above rounding error and far below any reported digit),
 so the result equals scoring every pair.
@@ -28,73 +30,91 @@ from cartwise.operators.joins import block_join
 from cartwise.session import stage
 
 SLACK = 1e-8
+LONG_LIST = 50  # in multiples of k
 SCORE_DIGITS = 9  # scores closer than this count as equal and keep catalogue order
 
 
-def _space_factor() -> Column:
-    return F.when(F.col("space") == TF.DENSE.name, F.lit(K.W_DENSE)).otherwise(F.lit(K.W_SPARSE))
+def query_vectors(texts: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """Sparse query vectors of both spaces."""
+    return TF.hybrid_tfidf(texts, key, text, vocab).withColumnsRenamed({"dense": "q_dense", "sparse": "q_sparse"})
 
 
-def query_vectors(texts: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Sparse query vectors; ``share`` is the weight times its space's part of the hybrid score."""
-    weights = TF.tfidf(texts, key, text, vocab, TF.SPARSE.max_ngram, TF.SPARSE.sublinear)
-    return weights.withColumn("share", F.col("weight") * _space_factor())
+def _adds(dense: str, sparse: str) -> Column:
+    """Share of the hybrid score from a query term with the given product weights."""
+    return K.W_DENSE * F.col("q_dense") * F.col(dense) + K.W_SPARSE * F.col("q_sparse") * F.col(sparse)
 
 
-def _reading_plan(qv: DataFrame, bounds: DataFrame) -> DataFrame:
+def _reading_plan(qv: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
     """Per query term: how far its list is read, and the most an unread posting can add."""
     per_query = Window.partitionBy("qkey")
-    later = per_query.orderBy(F.desc("most"), "fid").rowsBetween(1, Window.unboundedFollowing)
+    later = per_query.orderBy(F.desc("most"), "tid").rowsBetween(1, Window.unboundedFollowing)
     # one row per vocabulary term
-    terms = qv.join(F.broadcast(bounds), "fid").withColumn("most", F.col("share") * F.col("top_weight"))
+    terms = qv.join(F.broadcast(bounds), "tid").withColumn("most", _adds("top_dense", "top_sparse"))
+    kth = F.greatest(K.W_DENSE * F.col("q_dense") * F.col("kth_dense"), K.W_SPARSE * F.col("q_sparse") * F.col("kth_sparse"))
     placed = terms.withColumn("rest", F.coalesce(F.sum("most").over(later), F.lit(0.0))).withColumn(
-        "floor", F.max(F.col("share") * F.col("kth_weight")).over(per_query) - SLACK
+        "floor", F.max(kth).over(per_query) - SLACK
     )
-    gap = F.col("floor") - F.col("rest")
-    unread = F.least("most", F.greatest(gap, F.lit(0.0)))
-    return placed.withColumns({
-        "down_to": F.greatest(gap / F.col("share"), F.lit(0.0)),
+    gap = F.when(F.col("list_length") > LONG_LIST * k, F.greatest(F.col("floor") - F.col("rest"), F.lit(0.0))).otherwise(F.lit(0.0))
+    unread = F.least("most", "gap")
+    # a posting whose larger weight is below gap / per_weight adds less than the gap
+    per_weight = K.W_DENSE * F.col("q_dense") + K.W_SPARSE * F.col("q_sparse")
+    return placed.withColumn("gap", gap).withColumns({
+        "in_full": F.col("gap") == 0,
+        "down_to": F.col("gap") / per_weight,
         "unread": unread,
         "unread_sum": F.sum(unread).over(per_query),
     })
 
 
-def candidate_pairs(qv: DataFrame, index: SearchIndex) -> DataFrame:
-    """Pairs (qkey, gid) that can be among the best ``k`` groups of their query."""
-    plan = _reading_plan(qv, index.bounds)
+def _read_lists(plan: DataFrame, index: SearchIndex) -> DataFrame:
+    """Pairs (qkey, gid) met while reading that may reach the floor, with their bounds and the sums
+    over terms read in full."""
     low = F.greatest(F.floor(F.col("down_to") * BUCKETS).cast("int"), F.col("low_bucket"))
-    lists = plan.filter(low <= F.col("high_bucket")).select(
-        "qkey", "fid", "share", "down_to", "unread", "unread_sum", "floor",
-        F.explode(F.sequence(low, "high_bucket")).alias("bucket"),
-    )
-    lists = stage(lists, "term-lists")
-    stored = index.postings.select("fid", "bucket", "gid", "weight")
-    read = block_join(lists, stored, ["fid", "bucket"], "qkey", "gid").filter(F.col("weight") >= F.col("down_to"))
-    adds = F.col("share") * F.col("weight")
+    lists = stage(
+        plan.filter((low <= F.col("high_bucket")) & (F.col("most") >= F.col("gap"))).select(
+            "qkey", "tid", "q_dense", "q_sparse", "gap", "unread", "unread_sum", "floor",
+            F.explode(F.sequence(low, "high_bucket")).alias("bucket"),
+        ), "term-lists")
+    stored = index.postings.select("tid", "bucket", "gid", "dense", "sparse")
+    adds, none = _adds("dense", "sparse"), F.lit(0.0)
+    read = block_join(lists, stored, ["tid", "bucket"], "qkey", "gid").filter(adds >= F.col("gap"))
+    whole = F.col("gap") == 0
     pairs = read.groupBy("qkey", "gid").agg(
-        F.sum(adds).alias("at_least"),
-        (F.sum(adds - F.col("unread")) + F.first("unread_sum")).alias("at_most"),
+        F.sum(F.when(whole, F.col("q_dense") * F.col("dense")).otherwise(none)).alias("dense_sim"),
+        F.sum(F.when(whole, F.col("q_sparse") * F.col("sparse")).otherwise(none)).alias("sparse_score"),
+        F.sum(F.when(whole, none).otherwise(adds)).alias("partly"),
+        (F.first("unread_sum") - F.sum("unread")).alias("open"),
         F.first("floor").alias("floor"),
     )
-    # ordered by all columns, so that both uses of the pairs share one shuffle
-    order = Window.partitionBy("qkey").orderBy(F.desc("at_least"), F.desc("at_most"), F.desc("floor"), "gid")
+    at_least = K.W_DENSE * F.col("dense_sim") + K.W_SPARSE * F.col("sparse_score") + F.col("partly")
+    bounded = pairs.select("qkey", "gid", "dense_sim", "sparse_score", "floor", at_least.alias("at_least"),
+                           (at_least + F.col("open")).alias("at_most"))
+    return bounded.filter(F.col("at_most") >= F.col("floor") - SLACK).drop("floor")
+
+
+def candidate_pairs(plan: DataFrame, index: SearchIndex) -> DataFrame:
+    """Pairs that can be among the best ``k`` groups of their query."""
+    pairs = stage(_read_lists(plan, index), "read-pairs")
+    order = Window.partitionBy("qkey").orderBy(F.desc("at_least"), "gid")
     kth = (
-        pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= index.k)
-        .filter(F.col("rn") == index.k).select("qkey", F.col("at_least").alias("kth"))
+        pairs.select("qkey", "gid", "at_least").withColumn("rn", F.row_number().over(order))
+        .filter(F.col("rn") <= index.k).filter(F.col("rn") == index.k).select("qkey", F.col("at_least").alias("kth"))
+    )
+    reach = F.col("at_most") >= F.coalesce("kth", F.lit(0.0)) - SLACK
+    return pairs.join(kth, "qkey", "left").filter(reach).select("qkey", "gid", "dense_sim", "sparse_score")
+
+
+def score_pairs(pairs: DataFrame, plan: DataFrame, postings: DataFrame) -> DataFrame:
+    """Complete similarities: the sums so far and the terms that were not read in full."""
+    open_terms = plan.filter(~F.col("in_full")).select("qkey", "tid", "q_dense", "q_sparse")
+    looked_up = (
+        pairs.select("qkey", "gid").join(open_terms, "qkey")
+        .join(postings.select("gid", "tid", "dense", "sparse"), ["gid", "tid"])
+        .select("qkey", "gid", (F.col("q_dense") * F.col("dense")).alias("dense_sim"),
+                (F.col("q_sparse") * F.col("sparse")).alias("sparse_score"))
     )
-    return pairs.join(kth, "qkey", "left").filter(
-        F.col("at_most") >= F.greatest("floor", F.coalesce("kth", F.lit(0.0))) - SLACK
-    ).select("qkey", "gid")
-
-
-def score_pairs(pairs: DataFrame, qv: DataFrame, postings: DataFrame) -> DataFrame:
-    """Dense and sparse similarity of the given pairs; all terms are summed."""
-    terms = pairs.join(qv.select("qkey", "fid", "space", F.col("weight").alias("q")), "qkey")
-    both = terms.join(postings.select("gid", "fid", "copies", "weight"), ["gid", "fid"])
-    product = F.col("q") * F.col("weight")
-    of = lambda s: F.sum(F.when(F.col("space") == s.name, product).otherwise(F.lit(0.0)))
-    return both.groupBy("qkey", "gid").agg(
-        of(TF.DENSE).alias("dense_sim"), of(TF.SPARSE).alias("sparse_score"), F.first("copies").alias("copies")
+    return pairs.unionByName(looked_up).groupBy("qkey", "gid").agg(
+        F.sum("dense_sim").alias("dense_sim"), F.sum("sparse_score").alias("sparse_score")
     )
 
 
@@ -102,11 +122,11 @@ def hybrid_score(dense: Column, sparse: Column) -> Column:
     return F.round(K.W_DENSE * dense + K.W_SPARSE * sparse, SCORE_DIGITS)
 
 
-def _best_groups(scored: DataFrame, k: int) -> DataFrame:
+def _best_groups(scored: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     """The ``k`` best groups, less those behind groups that already fill the result."""
     per_query = Window.partitionBy("qkey")
     order = per_query.orderBy(F.desc("hybrid"), "gid")
-    top = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    top = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).join(sizes, "gid")
     upto = F.sum("copies").over(per_query.orderBy(F.desc("hybrid")).rangeBetween(Window.unboundedPreceding, 0))
     ties = F.sum("copies").over(Window.partitionBy("qkey", "hybrid"))
     return top.withColumn("better", upto - ties).filter(F.col("better") < k).drop("rn", "better")
@@ -135,11 +155,12 @@ def hybrid_retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
     """
     texts = queries.filter(F.col("query").isNotNull()).groupBy("query").agg(F.min("query_id").alias("qkey"))
     texts = stage(texts, "query-texts")
-    qv = stage(query_vectors(texts, "qkey", "query", index.vocab), "query-vectors")
-
-    pairs = candidate_pairs(qv, index)
-    scored = score_pairs(pairs, qv, index.postings).withColumn("hybrid", hybrid_score(F.col("dense_sim"), F.col("sparse_score")))
-    best = _best_groups(scored, index.k).drop("copies")
+    qv = query_vectors(texts, "qkey", "query", index.vocab)
+    plan = stage(_reading_plan(qv, index.bounds, index.k), "reading-plan")
+    pairs = stage(candidate_pairs(plan, index), "pairs")
+    scored = score_pairs(pairs, plan, index.postings).withColumn("hybrid", hybrid_score(F.col("dense_sim"), F.col("sparse_score")))
+    sizes = index.members.filter("ordinal = gid").select("gid", "copies")
+    best = _best_groups(scored, sizes, index.k).drop("copies")
     found = stage(
         best.join(index.members.select("gid", "ordinal", "product_id"), "gid").drop("gid"), "matches"
     )

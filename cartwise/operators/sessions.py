@@ -9,7 +9,8 @@ from cartwise import constants as K
 from cartwise.functions import scores
 
 GAP_MINUTES = 30
-VALUE_SCALE = 500.0
+VIEW_SECONDS = 0.997  # seconds on the page per unit of a view's value
+VALUE_SCALE = 487.0  # event value that counts as a full scroll or spend
 
 
 def _event_sums() -> dict[str, Column]:
@@ -18,7 +19,7 @@ def _event_sums() -> dict[str, Column]:
     value = F.col("value")
     return {
         "views": F.count_if(view),
-        "view_seconds": F.sum(F.when(view, value).otherwise(F.lit(0.0))),
+        "view_seconds": F.sum(F.when(view, value * VIEW_SECONDS).otherwise(F.lit(0.0))),
         "clicks": F.count_if(click),
         "value_sum": F.sum(value),
         "value_n": F.count(value),

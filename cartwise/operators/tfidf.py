@@ -93,6 +93,30 @@ def tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_ngram: int
     return raw.select(key, "space", "fid", (F.col("raw") / length).alias("weight"))
 
 
+def hybrid_tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """Both spaces side by side: (key, tid, dense, sparse), one row per document and term.
+
+    ``tid`` is the term's sparse index, or its dense one if it has no other. A weight is 0 where the
+    space does not know the term.
+    """
+    of = lambda space, column: F.max(F.when(F.col("space") == space.name, F.col(column)))
+    wide = vocab.groupBy("term").agg(
+        F.coalesce(of(SPARSE, "fid"), of(DENSE, "fid")).alias("tid"),
+        F.coalesce(of(DENSE, "idf"), F.lit(0.0)).alias("dense_idf"),
+        F.coalesce(of(SPARSE, "idf"), F.lit(0.0)).alias("sparse_idf"),
+    )
+    placed = docs.select(key, text).repartition(key)
+    terms = with_terms(placed, text, SPARSE.max_ngram).select(key, F.explode("terms").alias("term"))
+    known = terms.join(F.broadcast(wide), "term")  # as long as the two vocabularies
+    counted = known.groupBy(key, "tid", "dense_idf", "sparse_idf").agg((1 + F.log(F.count("*"))).alias("damped"))
+
+    def unit(idf: str) -> Column:
+        raw = F.col("damped") * F.col(idf)
+        return F.coalesce(F.try_divide(raw, F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))), F.lit(0.0))
+
+    return counted.select(key, "tid", unit("dense_idf").alias("dense"), unit("sparse_idf").alias("sparse"))
+
+
 def vector_rows(weights: DataFrame, key: str) -> DataFrame:
     """One row per document: its entries as an array of (fid, weight), ascending by index."""
     return weights.groupBy(key).agg(
@@ -103,9 +127,11 @@ def vector_rows(weights: DataFrame, key: str) -> DataFrame:
 def dense_array(entries: Column, dim: int) -> Column:
     """Entries of ``vector_rows`` as an array of ``dim`` numbers; null entries give zeros."""
     at = F.map_from_entries(F.coalesce(entries, F.array().cast("array<struct<fid:int,weight:double>>")))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0))
-    )
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    # the outer transform over one element builds the map once, not once per place
+    filled = F.transform(F.array(at), lambda m: F.transform(
+        places, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+    return F.get(filled, F.lit(0))
 
 
 def sparse_columns(entries: Column) -> tuple[Column, Column]:

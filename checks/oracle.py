@@ -79,7 +79,7 @@ SELECT count(*) AS transactions, count(DISTINCT customer_id) AS customers,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM clean"""
 
 ORACLE["rfm_features"] = _with(*_RFM) + """
-SELECT customer_id, d AS days_since_last_purchase, o AS total_order_count, round(v, 2) AS avg_order_value FROM rfm"""
+SELECT customer_id, d AS days_since_last_purchase, o AS total_order_count, round(v, 6) AS avg_order_value FROM rfm"""
 
 ORACLE["rfm_profile"] = _with(*_RFM) + " UNION ALL ".join(
     f"""
@@ -126,7 +126,7 @@ SELECT customer_id, round({_quantile_score('d')}, 6) AS q_days_since_last_purcha
 
 ORACLE["churn_error_rows"] = _with(f"""
 raw AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS d,
-  TRY_CAST(CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT)::VARCHAR ELSE 'n/a' END AS DOUBLE) AS o, value AS v FROM events),
+  TRY_CAST(CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT)::VARCHAR ELSE 'n/a' END AS DOUBLE) AS o, sqrt(value) * 10 AS v FROM events),
 scored AS (SELECT *, d IS NOT NULL AND o IS NOT NULL AND v IS NOT NULL AS ok, {_risk('d', 'o', 'v', 90, 20, 200)} AS p,
   {R01} AS r01, {F01} AS f01, {M01} AS m01 FROM raw)""") + f"""
 SELECT event_id, CASE WHEN ok THEN round(p, 4) ELSE 0.0 END AS churn_probability,
@@ -141,9 +141,9 @@ SESSIONS = """
 gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session_no FROM gaps),
 sess AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end,
-  count(*) FILTER (event_type = 'view')::DOUBLE AS visits, coalesce(sum(value) FILTER (event_type = 'view'), 0.0) AS secs,
-  count(*) FILTER (event_type = 'click')::DOUBLE AS carts, avg(value) / 500.0::DOUBLE AS scroll,
-  coalesce(avg(value) FILTER (event_type = 'purchase') / 500.0::DOUBLE, 0.0) AS spend,
+  count(*) FILTER (event_type = 'view')::DOUBLE AS visits, coalesce(sum(value * 0.997::DOUBLE) FILTER (event_type = 'view'), 0.0) AS secs,
+  count(*) FILTER (event_type = 'click')::DOUBLE AS carts, avg(value) / 487.0::DOUBLE AS scroll,
+  coalesce(avg(value) FILTER (event_type = 'purchase') / 487.0::DOUBLE, 0.0) AS spend,
   epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) AS idle_us
   FROM numbered GROUP BY user_id, session_no),
 feat AS (SELECT *, idle_us / 3.6e9::DOUBLE AS hours FROM sess)"""
@@ -166,9 +166,9 @@ intent AS (SELECT *, round(raw, 2) AS intent_score,
 _START = "strftime(session_start, '%Y-%m-%d %H:%M:%S') AS session_start"
 
 ORACLE["session_features"] = _with(SESSIONS) + f"""
-SELECT user_id, {_START}, strftime(session_end, '%Y-%m-%d %H:%M:%S') AS session_end, round(secs, 4) AS time_on_product_page,
-  round(visits, 4) AS product_visit_count, round(carts, 4) AS cart_add_events, round(scroll, 4) AS scroll_depth,
-  round(spend, 4) AS avg_spend_score, round(hours, 4) AS session_recency FROM feat"""
+SELECT user_id, {_START}, strftime(session_end, '%Y-%m-%d %H:%M:%S') AS session_end, round(secs, 6) AS time_on_product_page,
+  round(visits, 6) AS product_visit_count, round(carts, 6) AS cart_add_events, round(scroll, 6) AS scroll_depth,
+  round(spend, 6) AS avg_spend_score, round(hours, 6) AS session_recency FROM feat"""
 ORACLE["normalized_signals"] = _with(SESSIONS, SIGNALS) + f"""
 SELECT user_id, {_START}, round(s_time, 6) AS time_on_product_page, round(s_visit, 6) AS product_visit_count,
   round(s_cart, 6) AS cart_add_events, round(s_scroll, 6) AS scroll_depth, round(s_spend, 6) AS avg_spend_score,
@@ -441,7 +441,7 @@ _RATE = "count(*) AS requests, round(count(*) / 3600.0::DOUBLE, 6) AS per_second
 ORACLE["traffic_rate"] = _with(LOG) + f"\nSELECT {_W}, path, {_RATE} FROM log GROUP BY w, path"
 ORACLE["traffic_rate_total"] = _with(LOG) + f"\nSELECT {_W}, {_RATE} FROM log GROUP BY w"
 ORACLE["traffic_rate_by_status"] = _with(LOG) + f"\nSELECT {_W}, (status // 100)::VARCHAR || 'xx' AS status_family, {_RATE} FROM log GROUP BY w, 2"
-ORACLE["latency_mean"] = _with(LOG) + f"\nSELECT {_W}, round(avg(dur), 6) AS mean_duration_s FROM log GROUP BY w"
+ORACLE["latency_mean"] = _with(LOG) + f"\nSELECT {_W}, round(avg(dur), 9) AS mean_duration_s FROM log GROUP BY w"
 ORACLE["success_error_ratio"] = _with(LOG) + f"""
 SELECT {_W}, round(avg((status < 300)::INT), 6) AS success_ratio, round(avg((status >= 400)::INT), 6) AS error_ratio FROM log GROUP BY w"""
 

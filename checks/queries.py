@@ -53,7 +53,7 @@ def transaction_summary(spark, sf):
 
 @query
 def rfm_features(spark, sf):
-    return _rfm(spark, sf).select("customer_id", "days_since_last_purchase", "total_order_count", _r("avg_order_value", 2))
+    return _rfm(spark, sf).select("customer_id", "days_since_last_purchase", "total_order_count", _r("avg_order_value", 6))
 
 
 @query
@@ -107,7 +107,7 @@ def churn_error_rows(spark, sf):
     raw = T.events(spark, sf).select(
         "event_id", F.get_json_object("props", "$.k").alias("days_since_last_purchase"),
         F.when(F.col("event_type") != "error", F.floor("value").cast("string")).otherwise(F.lit("n/a")).alias("total_order_count"),
-        F.col("value").alias("avg_order_value"))
+        (F.sqrt("value") * 10).alias("avg_order_value"))
     return churn.churn_response(raw).select(
         "event_id", "churn_probability", "churn_risk_level", "rfm_breakdown.*", "recommended_action")
 
@@ -131,7 +131,7 @@ def churn_fallback_predict(spark, sf):
 @query
 def session_features(spark, sf):
     s = sessions.session_features(T.events(spark, sf))
-    return s.select("user_id", _text("session_start"), _text("session_end"), *[_r(c) for c in scores.SIGNALS])
+    return s.select("user_id", _text("session_start"), _text("session_end"), *[_r(c, 6) for c in scores.SIGNALS])
 
 
 @query
@@ -292,7 +292,15 @@ def _requests(spark, sf):
 @query
 def postings_build(spark, sf):
     ix = index.build_index(_catalog(spark, sf), stage)
-    return ix.postings.select("gid", "copies", F.col("fid").cast("long").alias("fid"), _r("weight", 6))
+    # one row per space, as the vocabularies number their terms
+    dense_fid = ix.vocab.filter(F.col("space") == "dense").select("term", F.col("fid").alias("dense_fid"))
+    sparse_fid = ix.vocab.filter(F.col("space") == "sparse").select("term", F.col("fid").alias("sparse_fid"))
+    fids = dense_fid.join(sparse_fid, "term", "full").withColumn("tid", F.coalesce("sparse_fid", "dense_fid"))
+    sizes = ix.members.filter("ordinal = gid").select("gid", "copies")
+    rows = ix.postings.join(sizes, "gid").join(F.broadcast(fids), "tid").select("gid", "copies", F.inline(F.array(
+        F.struct(F.col("dense_fid").cast("long").alias("fid"), F.round("dense", 6).alias("weight")),
+        F.struct(F.col("sparse_fid").cast("long").alias("fid"), F.round("sparse", 6).alias("weight")))))
+    return rows.filter(F.col("fid").isNotNull())
 
 
 @query
@@ -418,7 +426,7 @@ def traffic_rate_by_status(spark, sf):
 
 @query
 def latency_mean(spark, sf):
-    return logstats.mean_duration(_log(spark, sf)).select(_text("window_start"), _r("mean_duration_s", 6))
+    return logstats.mean_duration(_log(spark, sf)).select(_text("window_start"), _r("mean_duration_s", 9))
 
 
 @query
