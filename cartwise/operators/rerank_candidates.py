@@ -20,13 +20,16 @@ def rerank_candidates(requests: DataFrame, candidates: DataFrame, product_vector
     very many candidates is neither windowed nor sorted in one task.
     """
     prices = candidates.groupBy("request_id").agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    requests = requests.join(prices, "request_id", "left")
-    joined = candidates.join(requests, "request_id").join(product_vectors, "product_id", "left")
+    # lengths are taken once per vector, not once per candidate
+    requests = requests.join(prices, "request_id", "left").withColumn("user_length", V.norm(F.col("user_vector")))
+    vectors = product_vectors.select("product_id", "vector", V.norm(F.col("vector")).alias("length"))
+    joined = candidates.join(requests, "request_id").join(vectors, "product_id", "left")
 
     label, price = F.col("label"), F.col("price")
     cheap, dear = label == "price_sensitive", label == "premium"
     keyword = F.coalesce("keyword_score", F.lit(0.0))
-    cosine = F.coalesce(V.cosine(F.col("user_vector"), F.col("vector")), F.lit(0.0))
+    lengths = F.col("user_length") * F.col("length")
+    cosine = F.when(lengths > 0, V.dot(F.col("user_vector"), F.col("vector")) / lengths).otherwise(F.lit(0.0))
     norm_price = F.try_divide(price - F.col("low"), F.col("high") - F.col("low"))
     pricing = F.coalesce(F.when(cheap, 1 - norm_price).when(dear, norm_price), F.lit(0.5))
     alignment = F.when(cheap | dear, F.col("pricing_score")).otherwise(F.coalesce("semantic_score", F.col("keyword_score")))

@@ -31,6 +31,8 @@ from cartwise.session import stage
 
 SLACK = 1e-8
 LONG_LIST = 50  # in multiples of k
+BROADCAST_POSTINGS = 500_000  # rows of 32 bytes
+LISTS_PER_TASK = 4096
 SCORE_DIGITS = 9  # scores closer than this count as equal and keep catalogue order
 
 
@@ -77,7 +79,14 @@ def _read_lists(plan: DataFrame, index: SearchIndex) -> DataFrame:
         ), "term-lists")
     stored = index.postings.select("tid", "bucket", "gid", "dense", "sparse")
     adds, none = _adds("dense", "sparse"), F.lit(0.0)
-    read = block_join(lists, stored, ["tid", "bucket"], "qkey", "gid").filter(adds >= F.col("gap"))
+    on = ["tid", "bucket"]
+    if stored.limit(BROADCAST_POSTINGS + 1).count() <= BROADCAST_POSTINGS:
+        # counted small: placed by query once, the pairs are formed and summed without a shuffle
+        tasks = max(4 * lists.sparkSession.sparkContext.defaultParallelism, lists.count() // LISTS_PER_TASK)
+        read = lists.repartition(tasks, "qkey").join(F.broadcast(stored), on)
+    else:
+        read = block_join(lists, stored, on, "qkey", "gid")
+    read = read.filter(adds >= F.col("gap"))
     whole = F.col("gap") == 0
     pairs = read.groupBy("qkey", "gid").agg(
         F.sum(F.when(whole, F.col("q_dense") * F.col("dense")).otherwise(none)).alias("dense_sim"),

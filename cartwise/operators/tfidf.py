@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwise import constants as K
 from cartwise.functions import text as X
+from cartwise.session import spread
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ def term_stats(docs: DataFrame, text: str, max_ngram: int) -> DataFrame:
         return F.transform(terms, lambda t: F.struct(
             t.alias("term"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df")))
 
-    terms = with_terms(docs.select(text), text, max_ngram).select("terms")
+    terms = with_terms(spread(docs.select(text)), text, max_ngram).select("terms")
     rows = terms.select(F.inline(F.concat(
         entries(F.col("terms"), 1, 0), entries(F.array_distinct("terms"), 0, 1))))
     return rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}  # per application
 
 
 def local_session(app: str = "cartwise", cpus: int | str = 8, memory: str = "16g") -> SparkSession:
@@ -35,8 +36,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_CHECKPOINT_KEY} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="cartwise-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
+        app = spark.sparkContext.applicationId
+        root = _own_folders.get(app) or _own_folders.setdefault(app, tempfile.mkdtemp(prefix="cartwise-"))
     return root.rstrip("/")
 
 
@@ -54,3 +55,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if they come from fewer files than there are cores.
+
+    For costly work per row on a small input. A large table comes in more files than that and is
+    left as it is, without a shuffle; so is a frame that does not come from files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwise.session import spread
+
 # fixed mapping of part types to catalogue categories
 CATEGORY_OF_TYPE = {
     "ECONOMY": "running_shoes",
@@ -154,9 +156,9 @@ def rerank_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts a person may have typed: conversation turns, documents and search requests."""
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = spread(table(spark, sf_dir, "conversations")).select(
         F.lit("turn").alias("origin"), (F.col("conv_id") * 10000 + F.col("turn")).alias("key"), F.col("text").alias("query"))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.lit("document").alias("origin"), F.col("doc_id").alias("key"), F.col("text").alias("query"))
     asked = search_requests(spark, sf_dir).select(F.lit("request").alias("origin"), F.col("query_id").alias("key"), "query")
     return turns.unionByName(docs).unionByName(asked)

@@ -170,9 +170,9 @@ SELECT user_id, {_START}, strftime(session_end, '%Y-%m-%d %H:%M:%S') AS session_
   round(visits, 6) AS product_visit_count, round(carts, 6) AS cart_add_events, round(scroll, 6) AS scroll_depth,
   round(spend, 6) AS avg_spend_score, round(hours, 6) AS session_recency FROM feat"""
 ORACLE["normalized_signals"] = _with(SESSIONS, SIGNALS) + f"""
-SELECT user_id, {_START}, round(s_time, 6) AS time_on_product_page, round(s_visit, 6) AS product_visit_count,
-  round(s_cart, 6) AS cart_add_events, round(s_scroll, 6) AS scroll_depth, round(s_spend, 6) AS avg_spend_score,
-  round(s_recency, 6) AS session_recency FROM sig"""
+SELECT user_id, {_START}, round(s_time, 9) AS time_on_product_page, round(s_visit, 9) AS product_visit_count,
+  round(s_cart, 9) AS cart_add_events, round(s_scroll, 9) AS scroll_depth, round(s_spend, 9) AS avg_spend_score,
+  round(s_recency, 9) AS session_recency FROM sig"""
 ORACLE["intent_score"] = _with(SESSIONS, SIGNALS, SCORED) + f"""
 SELECT user_id, {_START}, intent_score, score_bucket, dominant_signal, cs[1] AS c_time_on_product_page, cs[2] AS c_product_visit_count,
   cs[3] AS c_cart_add_events, cs[4] AS c_scroll_depth, cs[5] AS c_avg_spend_score, cs[6] AS c_session_recency FROM intent"""

@@ -137,7 +137,7 @@ def session_features(spark, sf):
 @query
 def normalized_signals(spark, sf):
     s = sessions.normalize_signals(sessions.session_features(T.events(spark, sf)))
-    return s.select("user_id", _text("session_start"), *[_r(c, 6) for c in scores.SIGNALS])
+    return s.select("user_id", _text("session_start"), *[_r(c, 9) for c in scores.SIGNALS])
 
 
 @query
@@ -209,7 +209,7 @@ def tfidf_vectors(spark, sf):
 
 @query
 def product_vectors_legacy(spark, sf):
-    p = T.products(spark, sf)
+    p = _catalog(spark, sf)
     vocab = stage(embedding.fit_products(p), "vocab")
     rows = embedding.embed_products(p, vocab)
     dense_rows = rows.select("product_id", V.pad(tfidf.dense_array(F.col("entries"), K.LEGACY_DIM), K.LEGACY_DIM).alias("v"))
@@ -247,7 +247,7 @@ def dense_cosine_topk(spark, sf):
 
 
 def _legacy_vectors(spark, sf):
-    p = T.products(spark, sf).filter("stock")
+    p = _catalog(spark, sf).filter("stock")
     vocab = stage(embedding.fit_products(p), "vocab")
     return stage(embedding.embed_products(p, vocab), "product-vectors")
 
@@ -372,7 +372,7 @@ def index_status(spark, sf):
 
 @query
 def embed_upsert_stream(spark, sf):
-    vocab = stage(embedding.fit_products(T.products(spark, sf)), "vocab")
+    vocab = stage(embedding.fit_products(_catalog(spark, sf)), "vocab")
     parts = streams.stream_table(spark, sf, "part").select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("description"),
         F.col("p_brand").alias("brand"), F.lit(1).cast("long").alias("version"))

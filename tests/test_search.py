@@ -65,8 +65,9 @@ def queries(spark, sf):
 
 
 # a long list of 0 makes every list subject to partial reading, a huge one reads all in full
-@pytest.mark.parametrize("long_list,k", [(0, 5), (0, 20), (1, 10), (10**6, 10)])
-def test_retrieval_equals_scoring_every_pair(spark, products, queries, monkeypatch, long_list, k):
+@pytest.mark.parametrize("long_list,k,small", [(0, 5, 0), (0, 20, 10**6), (1, 10, 0), (10**6, 10, 10**6)])
+def test_retrieval_equals_scoring_every_pair(spark, products, queries, monkeypatch, long_list, k, small):
+    monkeypatch.setattr(retrieval, "BROADCAST_POSTINGS", small)
     monkeypatch.setattr(retrieval, "LONG_LIST", long_list)
     monkeypatch.setattr(joins, "BLOCK", 16)
     ix = index.build_index(products, stage, k)
