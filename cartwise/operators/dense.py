@@ -53,16 +53,20 @@ def _best_of_block(k: int):
     return best
 
 
-def dense_topk(queries: DataFrame, products: DataFrame, k: int, query_blocks: int = 1,
+def _blocks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BLOCK_ROWS))
+
+
+def dense_topk(queries: DataFrame, products: DataFrame, k: int, query_blocks: int | None = None,
                product_blocks: int | None = None) -> DataFrame:
     """Exact best ``k`` products per query: (query_id, ordinal, dense_sim, retrieval_rank).
 
     ``queries``: query_id bigint, vector; ``products``: ordinal bigint, vector. Both sides are cut
-    into blocks by hash, every pair of blocks is multiplied in one task and hands on only ``k`` rows
+    into blocks of about ``BLOCK_ROWS`` by hash, every pair of blocks is multiplied in one task and hands on only ``k`` rows
     per query, so pairs are never materialised. Negative cosines count as 0.
     """
-    if product_blocks is None:
-        product_blocks = max(1, -(-products.count() // BLOCK_ROWS))
+    query_blocks = query_blocks or _blocks(queries)
+    product_blocks = product_blocks or _blocks(products)
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     vec = F.col("vector").cast("array<double>").alias("vector")

@@ -468,3 +468,9 @@ SELECT {_W}, CASE WHEN status = 422 THEN 'malformed:validation' ELSE 'business_e
 ORACLE["log_filter"] = """
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'WARNING' END || ' HTTP POST ' || event_type AS line
 FROM events WHERE user_id % 4 <> 0 AND (event_type = 'error' OR value > 150)"""
+
+ORACLE["cache_lookup_rates"] = """
+SELECT strftime(date_trunc('hour', o_orderdate), '%Y-%m-%d %H:%M:%S') AS window_start,
+  CASE WHEN p_size % 10 <> 0 THEN 'cache_hit' ELSE 'cache_miss' END AS label, count(*) AS increments,
+  round(count(*) / 3600.0::DOUBLE, 6) AS per_second
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"""

@@ -265,6 +265,17 @@ def missing_vector_ids(spark, sf):
     return user_vectors.missing_vectors(items, _legacy_vectors(spark, sf), ["endpoint", "user_id"])
 
 
+@query
+def cache_lookup_rates(spark, sf):
+    """Vector lookups found and not found, as counters over the time of the order."""
+    order = T.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"))
+    looked = T.table(spark, sf, "lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    known = T.products(spark, sf).filter("stock").select("product_id", F.lit("cache_hit").alias("found"))
+    counters = looked.join(known, F.col("l_partkey") == F.col("product_id"), "left").select(
+        "ts", F.coalesce("found", F.lit("cache_miss")).alias("label"), F.lit(1).cast("long").alias("increment"))
+    return logstats.label_rates(counters, ["label"]).select(_text("window_start"), "label", "increments", _r("per_second", 6))
+
+
 @query
 def rerank_candidates_v1(spark, sf):
     requests, candidates = T.rerank_inputs(spark, sf)
