@@ -32,11 +32,13 @@ def first_lines(tx: DataFrame) -> DataFrame:
 
     The order is completed by every column used later, so that equal line numbers still give one
     answer, and so that the price branch and the main branch of a plan share this shuffle. The rank
-    limit runs before the shuffle too: a key that repeats without end sends one row per task.
+    limit runs before the shuffle too: a key that repeats without end sends one row per task. The key
+    is one column, lest a partitioning by invoice be taken over: a single invoice may be very large.
     """
-    order = Window.partitionBy(*KEY).orderBy("line_no", "quantity", "price", "invoice_ts")
-    slim = tx.select(*KEY, "line_no", "quantity", "price", "invoice_ts")
-    return slim.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    slim = tx.select(F.struct(*KEY).alias("_key"), "line_no", "quantity", "price", "invoice_ts")
+    order = Window.partitionBy("_key").orderBy("line_no", "quantity", "price", "invoice_ts")
+    first = slim.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
+    return first.select("_key.*", "line_no", "quantity", "price", "invoice_ts")
 
 
 def clean_transactions(tx: DataFrame) -> DataFrame:
