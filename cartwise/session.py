@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_own_folders: dict[str, str] = {}  # per application
+_own_folders: dict[str, str] = {}  # per application, where none is named
 
 
 def local_session(app: str = "cartwise", cpus: int | str = 8, memory: str = "16g") -> SparkSession:
@@ -28,16 +30,18 @@ def local_session(app: str = "cartwise", cpus: int | str = 8, memory: str = "16g
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it.
+    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only for a local master, where driver and executors are one process.
+    Where a session names none, as in a trial, a folder in the warehouse is used, which is shared by
+    definition. It is removed when the driver ends, if it is on the driver's own disk.
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder shared by all executors")
         app = spark.sparkContext.applicationId
-        root = _own_folders.get(app) or _own_folders.setdefault(app, tempfile.mkdtemp(prefix="cartwise-"))
+        root = _own_folders.get(app)
+        if root is None:
+            root = _own_folders[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged-{app}"
+            atexit.register(shutil.rmtree, urlparse(root).path, ignore_errors=True)
     return root.rstrip("/")
 
 
