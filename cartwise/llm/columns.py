@@ -66,6 +66,17 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text-"), F.md5(F.coalesce(text, F.lit("")))))
 
 
+def pack(docs: DataFrame, *replaced: str) -> Column:
+    """One struct ``_row`` of the columns of ``docs`` without those named; keeps their names out of the way."""
+    taken = {name.lower() for name in replaced}
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]).alias("_row")
+
+
+def unpack(df: DataFrame, *new) -> DataFrame:
+    """The columns of ``_row`` and the new ones."""
+    return df.select(*[F.col("_row").getField(f.name).alias(f.name) for f in df.schema["_row"].dataType.fields], *new)
+
+
 def with_new(docs: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Columns of ``docs`` and the new ones, which replace any of the same name."""
     taken = {name.lower() for name in new}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartwise.llm.columns import BLANKS, words
+from cartwise.llm.columns import BLANKS, pack, unpack, words
 from cartwise.session import stage
 
 #: Rule -> (measure in thousandths, lowest cutoff). Measures are capped at 1000.
@@ -36,7 +36,6 @@ RULES = {
 RISK = 0.01
 ERROR = 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
-_SCRATCH = ("_t", "_w", "_l", "_b", "_p", "_c", "_s", "_r")
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -46,9 +45,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     the window's position, the numbers are sorted, and neighbours of equal hash part are candidates;
     only candidates are compared by their full 64-bit hashes.
     """
-    keep = [c for c in docs.columns if c.lower() not in COUNTS]
     window = "xxhash64(_w[i], _w[i + 1], _w[i + 2])"
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    df = docs.select(pack(docs, *COUNTS), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     df = df.withColumn("_w", words(F.col("_t")))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     df = df.withColumn("n_words", F.expr("cast(size(_w) as long)")).withColumn("_b", F.expr("length(bin(size(_w)))"))
@@ -72,8 +70,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": "size(_l) - size(array_distinct(_l))",
         "n_repeat_words": "size(array_distinct(flatten(transform(_r, i -> array(i, i + 1, i + 2)))))",
     }
-    return df.select(*[F.col(f"`{c}`") for c in keep],
-                     *[F.expr(f"cast({e} as long)").alias(name) for name, e in counts.items()])
+    return unpack(df, *[F.expr(f"cast({e} as long)").alias(name) for name, e in counts.items()])
 
 
 def _measures(measured: DataFrame):
@@ -134,13 +131,11 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
         cutoffs.filter("cutoff is not null").groupBy(F.col("stratum").alias("_stratum"))
         .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")), "rule-cutoffs")
     base = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
-    names = [c for c in measured.columns if c.lower() not in ("base_failed", "failed_rules", "kept")]
     df = (
-        measured.select(*[F.col(f"`{c}`") for c in names], _stratum(stratum).alias("_stratum"), _measures(measured).alias("_m"))
+        measured.select(pack(measured, "base_failed", "failed_rules", "kept"), F.expr(base).alias("base_failed"),
+                        _stratum(stratum).alias("_stratum"), _measures(measured).alias("_m"))
         .join(rules, "_stratum", "left")
-        .withColumn("base_failed", F.expr(base))
         .withColumn("failed_rules", F.expr(
             "coalesce(transform(filter(_m, m -> m.value > _cutoffs[m.rule]), m -> m.rule), cast(array() as array<string>))"))
     )
-    return df.select(*[F.col(f"`{c}`") for c in names], "base_failed", "failed_rules",
-                     F.expr("not base_failed and size(failed_rules) = 0").alias("kept"))
+    return unpack(df, "base_failed", "failed_rules", F.expr("not base_failed and size(failed_rules) = 0").alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import quality_rules
+from cartwise.llm import hilbert, pii, poisson_mix, quality_rules
 from cartwise.session import stage
 
 REGISTRY: dict = {}
@@ -29,3 +29,41 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.judge(measured, cutoffs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                          F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_pii(_read(spark, sf, "documents").select("doc_id", "text"))
+    base = pii.of_kinds(F.col("pii"), *pii.BASE)
+    counts = [F.size(pii.of_kinds(F.col("pii"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+@query
+def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = _read(spark, sf, "documents").select(
+        "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    sharded = hilbert.hilbert_shards(docs, ["lang", "source", "size"], ["doc_id", "text_crc32", "size"], 8)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                          F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query
+def op9_poisson_mix(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    copies = poisson_mix.mix(docs, poisson_mix.tempered_targets(docs))
+    return copies.select("doc_id", "source", "copy", "shuffle_key")
+
+
+ORACLE["op9_poisson_mix"] = """
+WITH counts AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
+rates AS (SELECT source, (sum(n) OVER ())::DOUBLE * weight / (sum(weight) OVER ()) / n AS rate FROM counts),
+pmf AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
+        FROM rates, range(0, 400) AS r(k) WHERE k <= rate + 10 * sqrt(rate) + 24),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+drawn AS (SELECT doc_id, source, (('0x' || substr(md5('42:' || doc_id), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM documents),
+counted AS (SELECT d.doc_id, d.source, count(*) AS n FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY ALL),
+copies AS (SELECT doc_id, source, unnest(range(1, n + 1))::INT AS copy FROM counted)
+SELECT doc_id, source, copy, ('0x' || substr(md5('42-order:' || doc_id || ':' || copy), 1, 12))::BIGINT AS shuffle_key FROM copies
+"""
