@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import hilbert, pii, poisson_mix, quality_rules
+from cartwise.llm import hilbert, pii, poisson_mix, quality_rules, simhash
 from cartwise.session import stage
 
 REGISTRY: dict = {}
@@ -49,6 +49,11 @@ def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
                           F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.fingerprint_table(_read(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op9_poisson_mix(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
