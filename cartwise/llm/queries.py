@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import hilbert, pii, poisson_mix, quality_rules, simhash
+from cartwise.llm import crf, hilbert, packing, pii, poisson_mix, quality_rules, simhash
 from cartwise.session import stage
 
 REGISTRY: dict = {}
@@ -31,6 +31,12 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                          F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@query
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_read(spark, sf, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_pii(_read(spark, sf, "documents").select("doc_id", "text"))
@@ -54,6 +60,16 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.fingerprint_table(_read(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op8_crf_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = crf.train(docs, _read(spark, sf, "labels").filter(~held_out))
+    scored = crf.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op9_poisson_mix(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
