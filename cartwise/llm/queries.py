@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import crf, hilbert, packing, pii, poisson_mix, quality_rules, simhash
+from cartwise.llm import crf, hilbert, line_dedup, packing, pii, poisson_mix, quality_rules, simhash, topk
+from cartwise.llm import url_templates
 from cartwise.session import stage
 
 REGISTRY: dict = {}
@@ -31,6 +32,13 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                          F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@query
+def op2_impact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    whole = stage(topk.whole_vectors(_read(spark, sf, "embeddings"), "vec_id", "embedding"), "vectors")
+    index = stage(topk.build_index(whole), "impact-index")
+    return topk.search(index, whole.filter("vec_id % 50 = 0"), 5)
+
+
 @query
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_read(spark, sf, "documents")).select(
@@ -60,6 +68,11 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.fingerprint_table(_read(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_crf_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents").select("doc_id", "text")
@@ -77,6 +90,28 @@ def op9_poisson_mix(spark: SparkSession, sf: str) -> DataFrame:
     return copies.select("doc_id", "source", "copy", "shuffle_key")
 
 
+#: Verdict, domain, start of path.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query
+def op10_url_templates(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _read(spark, sf, "pages")
+    judged = url_templates.judge_urls(pages, URL_RULES, url_templates.looks_bad(F.col("html")))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
+
+
+ORACLE["op2_impact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLE["op9_poisson_mix"] = """
 WITH counts AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
 rates AS (SELECT source, (sum(n) OVER ())::DOUBLE * weight / (sum(weight) OVER ()) / n AS rate FROM counts),
