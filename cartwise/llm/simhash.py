@@ -18,8 +18,8 @@ into blocks, and each pair of blocks is a unit of work of its own, so all links
 without a task that holds them all.
 
 Cases: null and empty texts and texts without words have fingerprint zero and are linked like others.
-Repeated rows are linked with each other. The class id is the least document id; rows with a null id
-are linked too but name no class unless all of its ids are null, when it is null. Columns of the input
+Repeated rows are linked with each other. The class id is the least document id; null ids count last,
+and a class of null ids only has a null id (``class_print`` names it). Columns of the input
 stay, apart from those added, which are replaced. An empty table gives an empty result.
 """
 
@@ -46,6 +46,7 @@ SEED = 42
 SHARED_BYTES = 8 - DISTANCE
 ENTRIES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 BLOCK = 2048
+ADDED = ("fingerprint", "component_id", "class_print")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BITS_AT_ONCE = 1 << 14
@@ -152,34 +153,32 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``is_kept`` (one row of each class)."""
-    hashed = stage(docs.select(pack(docs, "fingerprint", "component_id", "is_kept"), F.col(key).alias("_key"),
-                               fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    return _classes(hashed)
+    """``docs`` with ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``class_print``, which names the class."""
+    return _classes(docs.select(pack(docs, *ADDED), F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp")))
 
 
 def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``near_duplicates``, but of the input only the key is kept, so texts are not written."""
-    hashed = stage(docs.select(F.struct(F.col(key)).alias("_row"), F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    return _classes(hashed)
+    return _classes(docs.select(F.struct(F.col(key)).alias("_row"), F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp")))
 
 
-def _classes(hashed: DataFrame) -> DataFrame:
-    least = stage(hashed.groupBy("fp").agg(F.min("_key").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
-    edges = stage(near_links(least.select("fp")), "links")
-    roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+def _classes(printed: DataFrame) -> DataFrame:
+    printed = stage(printed, "fingerprints")
+    least = stage(printed.groupBy("fp").agg(F.min("_key").alias("least")), "distinct-fingerprints")
+    roots = components(stage(near_links(least.select("fp")), "links")).withColumnRenamed("node", "fp")
+    rooted = stage(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(rooted.join(ids, "root").select("fp", "component_id"), "classes")
-    return unpack(hashed.join(classes, "fp"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = stage(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return unpack(printed.join(classes, "fp"), digits("fp").alias("fingerprint"), "component_id", digits("root").alias("class_print"))
 
 
-def keep_one(classed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of each class: the one whose id is the class id. Of rows that repeat that id, one stays.
+def keep_one(classed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, of its least id. Of several rows with that id, the one of least text hash stays.
 
-    Rows of other ids go before anything is grouped, so a large class is no burden on one task; a rank
-    limit keeps one row per class and task of those that repeat an id.
+    Rows of other ids go before anything is grouped, and a rank limit leaves one row a class and task, so
+    a large class is no burden on one task.
     """
     first = classed.filter(F.col(key).eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy("component_id").orderBy("fingerprint", *[F.col(f"`{c}`") for c in classed.columns if c not in ("component_id", "fingerprint")])
-    return first.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    one = Window.partitionBy("class_print").orderBy(F.xxhash64(text), F.xxhash64(*[F.col(f"`{c}`") for c in classed.columns if c != text]))
+    return first.select(F.struct("*").alias("_all"), F.row_number().over(one).alias("_n")).filter("_n = 1").select("_all.*")

@@ -1,7 +1,62 @@
-"""Pipeline over documents (under construction)."""
-STAGES = []
+"""From documents to packed training sequences, in five stages.
+
+1. ``quality_rules``: documents that fail the base test or a certified rule go.
+2. ``line_dedup``: of similar lines one stays in the corpus; a document left without any line goes.
+3. ``near_duplicates``: of each class of near-duplicate documents one stays.
+4. ``mixing``: documents are repeated by Poisson counts, so that sources approach their target weights.
+5. ``packing``: documents become sequences of 2048 tokens.
+
+Each stage takes the documents that the one before it kept. All but the last return the columns of
+``documents``; ``n_chars`` follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartwise.llm import line_dedup, packing, poisson_mix, quality_rules, simhash
+from cartwise.session import stage
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    measured = stage(quality_rules.measure(docs), "measured")
+    cutoffs = quality_rules.calibrate(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(measured, cutoffs).filter("kept").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(docs).filter("n_dropped = 0 or n_dropped < n_lines")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(simhash.near_duplicates(docs)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return poisson_mix.mix(docs, poisson_mix.tempered_targets(docs)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("quality_rules", filter_quality),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Similar lines, fingerprints and token ids are beyond SQL; each stage is tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of ``documents``; each stage's result is a table before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
