@@ -30,6 +30,7 @@ from cartwise.llm.columns import with_new
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 400
+PART_CHARS = 1 << 20
 STEPS = 200
 RATE = 0.15
 PENALTY = 1e-4
@@ -122,6 +123,19 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.hstack([own, before, after, near]), length.astype(np.float64), per_doc
 
 
+def parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of whole texts of about PART_CHARS; the arrays of a run take some fifty bytes a character."""
+    run, chars = [], 0
+    for text in texts:
+        run.append(text)
+        chars += len(text or "")
+        if chars > PART_CHARS:
+            yield run
+            run, chars = [], 0
+    if run:
+        yield run
+
+
 def _log_add(a: np.ndarray, axis: int) -> np.ndarray:
     return np.logaddexp(np.take(a, 0, axis), np.take(a, 1, axis))
 
@@ -167,9 +181,8 @@ class Model:
         return np.column_stack([-half, half])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
-        return 1 / (1 + np.exp(-(self.slope * self.evidence(*line_features(texts)) + self.offset)))
+        evidence = [self.evidence(*line_features(part)) for part in parts(texts)]
+        return 1 / (1 + np.exp(-(self.slope * np.concatenate(evidence or [np.zeros(0)]) + self.offset)))
 
     def evidence(self, features: np.ndarray, length: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
         """Log odds of the length-weighted mean marginal."""
@@ -244,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts, marks = sample(docs, labels, key, text, docs_most, lines_most)
     if not texts:
         return fit(np.zeros((0, line_features([""])[0].shape[1])), np.zeros(0), np.zeros(0, int), marks)
-    return fit(*line_features(texts), marks)
+    features, length, per_doc = (np.concatenate(x) for x in zip(*map(line_features, parts(texts))))
+    return fit(features, length, per_doc, marks)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
