@@ -211,7 +211,7 @@ def fit(features: np.ndarray, length: np.ndarray, per_doc: np.ndarray, labels: n
     """Likeliest weights with a quadratic penalty, by full-gradient steps with adapted rates; then the scale."""
     k = features.shape[1]
     share = labels.mean() if len(labels) else 0.5
-    if not 0 < share < 1:  # one class only: a constant
+    if not len(labels) or not 0 < share < 1:  # one class only: a constant
         share = min(max(share, 1e-6), 1 - 1e-6)
         weights = np.zeros(k)
         weights[-1] = np.log(share / (1 - share))

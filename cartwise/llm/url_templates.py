@@ -55,7 +55,7 @@ def longest_rule(host_of: Column, path_of: Column, rules: list[tuple[str, str, s
         F.when(((host_of == domain) | host_of.endswith("." + domain)) & path_of.startswith(start),
                F.struct(F.lit(len(domain + start)).alias("size"), F.lit(domain + start).alias("rule"), F.lit(verdict).alias("verdict")))
         for verdict, domain, start in rules]
-    return F.array_max(F.array_compact(F.array(*fits)))
+    return F.array_max(F.array_compact(F.array(*fits).cast("array<struct<size:int,rule:string,verdict:string>>")))
 
 
 def _segments(path_of: Column) -> Column:
