@@ -8,8 +8,9 @@ similarity of their sets of ``SHINGLE`` characters is at least ``SIMILARITY``.
    with probability 1 - (1 - 0.8**5)**14 = 0.996, more similar pairs more surely.
 2. Buckets with at least two distinct lines are kept; buckets of equal members are taken once.
 3. Within a bucket lines are verified by exact Jaccard similarity, unless already linked through others.
-   A bucket beyond ``BLOCK`` lines is cut into blocks, and each pair of blocks is a unit of its own. Pairs
-   are never written out, only an edge from each line to the least of its local component.
+   A bucket beyond ``BLOCK`` lines is cut into blocks, and each pair of blocks is a unit of its own. Units
+   of buckets with the same least line are dealt to one task, which verifies no pair twice. Pairs are never
+   written out, only an edge from each line to the root of its local component.
 4. Union-find over the edges, in rounds of joins (``components``).
 5. Of each component, and of each group of equal lines, the first occurrence stays, by document id (null
    ids last), then line number. Other occurrences are dropped from their texts.
@@ -109,7 +110,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by key and line, the distinct lines of keys with several, their number, and a name of the set."""
+    """Of rows sorted by key and line, the distinct lines of keys with several, their number, the name of the set, its least line."""
     none = np.zeros(0, np.int64)
     rest = (none, none)
 
@@ -124,7 +125,8 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixed = (line.view(np.uint64) ^ (line.view(np.uint64) >> np.uint64(32))) * _ODD
         name = np.bitwise_xor.reduceat(mixed ^ (mixed >> np.uint64(29)), at).view(np.int64) if len(at) else none
         keep = np.repeat(n > 1, n)
-        return pd.DataFrame({"key": key[keep], "line": line[keep], "n": np.repeat(n, n)[keep], "members": np.repeat(name, n)[keep]})
+        return pd.DataFrame({"key": key[keep], "line": line[keep], "n": np.repeat(n, n)[keep], "members": np.repeat(name, n)[keep],
+                             "least": np.repeat(line[at], n)[keep]})
 
     for batch in batches:
         if not len(batch):
@@ -148,48 +150,66 @@ def similar(a: set[str], b: set[str]) -> bool:
     return common >= SIMILARITY * (small + large - common)
 
 
-def _local_roots(texts: list[str], blocks: list[int], cross: bool) -> list[int]:
-    """Index of a linked earlier text, or the own one. A pair is verified unless its texts are linked already."""
-    sets = [shingles(t) for t in texts]
-    groups: list[list[int]] = []
-    roots = list(range(len(texts)))
-    for i in range(len(texts)):
-        joined, others = [i], []
-        for group in groups:
-            hit = any(similar(sets[i], sets[j]) for j in group if not cross or blocks[i] != blocks[j])
-            if hit:
-                joined = group + joined
-            else:
-                others.append(group)
-        groups = [*others, joined]
-    for group in groups:
-        for i in group:
-            roots[i] = min(group)
-    return roots
+class _Links:
+    """Union-find over the lines of units that are dealt together; no pair is verified twice, or once linked."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.sets: dict[int, set[str]] = {}
+        self.differ: set[tuple[int, int]] = set()
+
+    def find(self, line: int) -> int:
+        while (up := self.parent.setdefault(line, line)) != line:
+            self.parent[line] = self.parent[up]
+            line = up
+        return line
+
+    def _similar(self, a: int, b: int) -> bool:
+        pair = (a, b) if a < b else (b, a)
+        if pair in self.differ:
+            return False
+        if similar(self.sets[a], self.sets[b]):
+            return True
+        self.differ.add(pair)
+        return False
+
+    def add_unit(self, lines: list[int], texts: list[str], blocks: list[int], cross: bool) -> None:
+        for line, text in zip(lines, texts):
+            if line not in self.sets:
+                self.sets[line] = shingles(text)
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for line, block in zip(lines, blocks):
+            own = groups.pop(self.find(line), []) + [(line, block)]
+            for root in list(groups):
+                if any(self._similar(line, other) for other, at in groups[root] if not cross or at != block):
+                    self.parent[self.find(line)] = self.find(root)
+                    own += groups.pop(root)
+            groups[self.find(line)] = own
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges (a, b) between lines from rows sorted by unit."""
+    """Edges (a, b) between lines, from rows sorted by deal and unit."""
     rest = None
 
     def edges(part: pd.DataFrame) -> pd.DataFrame:
-        units = part["unit"].to_numpy()
-        at = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
+        deals, units = part["deal"].to_numpy(), part["unit"].to_numpy()
+        at = np.flatnonzero(np.append(True, (units[1:] != units[:-1]) | (deals[1:] != deals[:-1])))
         lines, texts, blocks, cross = (part[c].tolist() for c in ("line", "text", "block", "cross"))
-        a, b = [], []
+        found: list[tuple[int, int]] = []
+        links, deal = _Links(), None
         for lo, hi in zip(at, np.append(at[1:], len(units))):
-            roots = _local_roots(texts[lo:hi], blocks[lo:hi], bool(cross[lo]))
-            for i, r in enumerate(roots):
-                if r != i:
-                    a.append(lines[lo + i])
-                    b.append(lines[lo + r])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            if deals[lo] != deal:
+                found += [(x, r) for x in links.parent if (r := links.find(x)) != x]
+                links, deal = _Links(), deals[lo]
+            links.add_unit(lines[lo:hi], texts[lo:hi], blocks[lo:hi], bool(cross[lo]))
+        found += [(x, r) for x in links.parent if (r := links.find(x)) != x]
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     for batch in batches:
         if not len(batch):
             continue
         batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        whole = (batch["unit"] != batch["unit"].iloc[-1]).to_numpy()
+        whole = (batch["deal"] != batch["deal"].iloc[-1]).to_numpy()
         rest = batch[~whole]
         if whole.any():
             yield edges(batch[whole])
@@ -209,9 +229,9 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root): for each line with a similar, not equal one, its hash and the least hash of its component."""
     rows = docs.select(F.col(text).alias("text")).mapInPandas(_signatures, "key long, line long")
     shared = stage(rows.repartition("key").sortWithinPartitions("key", "line")
-                   .mapInPandas(_shared, "key long, line long, n long, members long"), "buckets")
+                   .mapInPandas(_shared, "key long, line long, n long, members long, least long"), "buckets")
     once = shared.groupBy("members", "n").agg(F.min("key").alias("key"))
-    chosen = stage(shared.join(once, ["members", "n", "key"]).select("key", "line", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "chosen-buckets")
+    chosen = stage(shared.join(once, ["members", "n", "key"]).select("key", "line", "least", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "chosen-buckets")
     wanted = stage(chosen.select("line").distinct(), "candidate-lines")
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
@@ -219,11 +239,12 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = exploded.withColumn("line", F.xxhash64("text")).join(wanted, "line").groupBy("line").agg(F.min("text").alias("text"))
     units = (
         chosen.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
-        .select("line", "key", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-        .select("line", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "block",
+        .select("line", "key", "least", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        .select("line", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+                F.xxhash64("least", F.least("block", "other"), F.greatest("block", "other")).alias("deal"), "block",
                 (F.col("block") != F.col("other")).cast("int").alias("cross"))
     )
-    edges = units.join(stage(texts, "candidate-texts"), "line").repartition("unit").sortWithinPartitions("unit", "line").mapInPandas(
+    edges = units.join(stage(texts, "candidate-texts"), "line").repartition("deal").sortWithinPartitions("deal", "unit", "line").mapInPandas(
         _verified, "a long, b long")
     return components(stage(edges, "line-links"))
 
