@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cartwise import constants as K
 
+# fixed values: every character that counts as white space around a text
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def product_text(name: Column, desc: Column, category: Column, brand: Column,
                  description: Column | None = None) -> Column:
@@ -17,7 +20,7 @@ def product_text(name: Column, desc: Column, category: Column, brand: Column,
     if description is not None:
         body = F.coalesce(body, description)
     parts = [F.coalesce(c, F.lit("")) for c in (name, body, category, brand)]
-    return F.trim(F.concat_ws(" ", *parts))
+    return F.btrim(F.concat_ws(" ", *parts), F.lit(WHITE_SPACE))
 
 
 def corpus_text(name: Column, desc: Column, category: Column, brand: Column) -> Column:
@@ -43,7 +46,7 @@ def content_hash(text: Column) -> Column:
 
 
 def normalized_query(q: Column) -> Column:
-    return F.trim(F.lower(q))
+    return F.btrim(F.lower(q), F.lit(WHITE_SPACE))
 
 
 # --- query intent ---------------------------------------------------------------

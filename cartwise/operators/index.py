@@ -89,3 +89,28 @@ def build_index(products: DataFrame, keep, k: int = K.TOP_CANDIDATES, stock_only
     post = keep(postings(groups, vocab), "postings")
     bounds = keep(term_bounds(post, k), "term-bounds")
     return SearchIndex(vocab, groups.select("gid", "copies", "ordinal", "product_id"), post, bounds, k)
+
+
+def update_index(index: SearchIndex, before: DataFrame, after: DataFrame, changed: DataFrame, keep, stock_only: bool = True) -> SearchIndex:
+    """The index of the catalogue ``after``, from that of ``before``, with the vocabularies fitted then.
+
+    ``changed`` are the product_ids that were added, replaced or removed. Only the groups of equal text
+    that such a product left or joined are formed again, and only bounds of terms they hold or held.
+    """
+    def having(products: DataFrame) -> DataFrame:
+        """Products of a text that a changed product has or had; a missing text counts as one."""
+        texts = with_corpus_text(products)
+        return texts.join(touched, texts["text"].eqNullSafe(touched["_text"]), "left_semi")
+
+    ids = changed.select("product_id").distinct()
+    touched = with_corpus_text(before).join(ids, "product_id", "left_semi").select(F.col("text").alias("_text")).union(
+        with_corpus_text(after).join(ids, "product_id", "left_semi").select("text")).distinct()
+    touched = keep(touched, "touched-texts")
+    gone = keep(copy_groups(having(before), index.k, stock_only).select("gid").distinct(), "groups-gone")
+    groups = keep(copy_groups(having(after), index.k, stock_only), "groups-new")
+    fresh = keep(postings(groups, index.vocab), "postings-new")
+    terms = keep(index.postings.join(gone, "gid", "left_semi").select("tid").union(fresh.select("tid")).distinct(), "terms-touched")
+    post = keep(index.postings.join(gone, "gid", "left_anti").unionByName(fresh), "postings")
+    bounds = index.bounds.join(terms, "tid", "left_anti").unionByName(term_bounds(post.join(terms, "tid", "left_semi"), index.k))
+    members = index.members.join(gone, "gid", "left_anti").unionByName(groups.select("gid", "copies", "ordinal", "product_id"))
+    return SearchIndex(index.vocab, keep(members, "members"), post, keep(bounds, "term-bounds"), index.k)

@@ -1,9 +1,10 @@
 """Exact quantiles without gathering the values in one task.
 
 ``percentile`` merges every distinct value of a column in one reducer, which a column of 10^10
-distinct prices does not survive. Here equal values are counted first (combined before the shuffle),
-the counts are summed per bin of a fixed monotone scale, and only bins in which a wanted rank falls
-are sorted, each bin on its own.
+distinct prices does not survive. Here equal values are counted first (combined before the shuffle).
+The distinct values of a column are cut at approximate quantiles of their own into ``CUTS`` parts of
+about equal size, whatever their distribution; only parts in which a wanted rank falls are looked at
+again, and cut again, until a part has at most ``PART`` distinct values. Such a part is sorted.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS_PER_LOG_UNIT = 8192
+from cartwise.session import stage
+
+CUTS = 64
+PART = 100_000
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,38 +29,55 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return kept.groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
-def _bin(v: Column) -> Column:
-    """Monotone and independent of the data: about 57,000 bins for values from one to a million,
-    at most 12 million for all doubles."""
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BINS_PER_LOG_UNIT)
+def _inside(counts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Values with the part they lie in: above ``low`` and up to ``high``, null for no bound.
+
+    There are at most two parts per feature and probability, a bound of the arguments, not of the data.
+    """
+    p = parts.select(F.col("feature").alias("_feature"), "low", "high", "base")
+    within = (F.col("feature") == F.col("_feature")) & (F.col("low").isNull() | (F.col("value") > F.col("low"))) & (
+        F.col("high").isNull() | (F.col("value") <= F.col("high")))
+    return counts.join(F.broadcast(p), within).drop("_feature")
+
+
+def _cut(counts: DataFrame, parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Parts cut into smaller ones, as far as a wanted rank (feature, rank) lies in them."""
+    key = ["feature", "low"]
+    inside = _inside(counts, parts)
+    steps = [i / CUTS for i in range(1, CUTS)]
+    bounds = inside.groupBy("feature", "low").agg(F.array_distinct(F.percentile_approx("value", steps, 10_000)).alias("bounds"))
+    bounds = bounds.select(F.col("feature").alias("_feature"), F.col("low").alias("_low"), "bounds")
+    placed = inside.join(F.broadcast(bounds), (F.col("feature") == F.col("_feature")) & F.col("low").eqNullSafe(F.col("_low")))
+    nth = F.size(F.filter("bounds", lambda b: b < F.col("value")))
+    sums = placed.groupBy(*key, "high", "base", "bounds", nth.alias("nth")).agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("feature", "low").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = sums.select(
+        "feature", F.when(F.col("nth") == 0, F.col("low")).otherwise(F.get("bounds", F.col("nth") - 1)).alias("low"),
+        F.coalesce(F.get("bounds", F.col("nth")), "high").alias("high"), (F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("base"), "n")
+    holds = (F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("n"))
+    return fresh.join(F.broadcast(wanted), "feature").filter(holds).select("feature", "low", "high", "base").distinct()
 
 
 def quantiles_of_counts(counts: DataFrame, probs: list[float]) -> DataFrame:
     """Linearly interpolated quantiles of a ``value_counts`` frame: (feature, prob, value)."""
+    counts = stage(counts, "value-counts")
     grid = F.array(*[F.lit(float(p)) for p in probs])
+    total = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     lower = F.transform(grid, lambda p: F.floor(p * (F.col("total") - 1)))
     upper = F.transform(lower, lambda r: F.least(r + 1, F.col("total") - 1))
-    ranks = F.array_union(lower, upper)
-    holds_rank = lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n"))
-
-    binned = counts.withColumn("bin", _bin(F.col("value")))
-    before = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (
-        binned.groupBy("feature", "bin").agg(F.sum("n").alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("feature")))
-        .withColumn("ranks", ranks)
-    )
-    # at most two bins per feature and probability: bounded by the arguments, not by the data
-    wanted = hist.filter(F.exists("ranks", holds_rank)).select(
-        "feature", "bin", F.col("start").alias("base"), "total", "ranks"
-    )
-    inside = Window.partitionBy("feature", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = binned.join(F.broadcast(wanted), ["feature", "bin"]).withColumn(
-        "start", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
-    at = placed.select("feature", "total", "value", F.explode(F.filter("ranks", holds_rank)).alias("rank"))
-    by_rank = at.groupBy("feature").agg(
+    wanted = stage(total.select("feature", "total", F.explode(F.array_union(lower, upper)).alias("rank")), "ranks")
+    none = F.lit(None).cast("double")
+    parts = total.select("feature", none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("base"))
+    largest = None
+    while True:
+        size = _inside(counts, parts).groupBy("feature", "low").count().agg(F.max("count")).first()[0] or 0
+        if size <= PART or size == largest:  # one value cannot be cut, and is counted once
+            break
+        largest, parts = size, stage(_cut(counts, parts, wanted), "parts")
+    inside = Window.partitionBy("feature", "low").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _inside(counts, parts).withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    holds = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n"))
+    by_rank = placed.join(F.broadcast(wanted), "feature").filter(holds).groupBy("feature").agg(
         F.first("total").alias("total"),
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),
     )

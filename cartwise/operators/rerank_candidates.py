@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise import constants as K
-from cartwise.functions import vectors as V
+
+SCORE_DIGITS = 9
+
+
+def _cosines(requests: DataFrame, candidates: DataFrame, product_vectors: DataFrame) -> DataFrame:
+    """(request_id, product_id, cosine) of pairs with a common index, each pair once."""
+    length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
+    user = requests.select("request_id", length.alias("user_length"), F.inline("entries").alias("fid", "x"))
+    product = product_vectors.select("product_id", length.alias("length"), F.inline("entries").alias("fid", "weight"))
+    pairs = candidates.select("request_id", "product_id").distinct()
+    shared = pairs.join(product, "product_id").join(user, ["request_id", "fid"])
+    return shared.groupBy("request_id", "product_id").agg(
+        F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("weight")), F.first("user_length") * F.first("length")), F.lit(0.0)).alias("cosine"))
 
 
 def rerank_candidates(requests: DataFrame, candidates: DataFrame, product_vectors: DataFrame) -> DataFrame:
-    """Score candidates and sort them per request by final score; equal scores keep their position.
+    """Score candidates and rank them per request by final score; equal scores keep their position.
 
-    ``requests``: request_id, user_vector, weights (map or null), label, confidence (null without an
-    intent). ``candidates``: request_id, position, product_id, keyword_score, semantic_score, price.
-    ``product_vectors``: product_id, vector; a missing one counts as zeros.
+    ``requests``: request_id, entries (user vector), weights (map or null), label, confidence (null
+    without an intent). ``candidates``: request_id, position, product_id, keyword_score, semantic_score,
+    price. ``product_vectors``: product_id, entries; a missing one counts as zeros. Entries are the
+    non-zero numbers of a vector, array<struct<fid, weight>>.
 
-    Price ranges are aggregated and joined back, and the result is sorted globally: a request with
-    very many candidates is neither windowed nor sorted in one task.
+    Vectors meet only in the index they share, and only once per request and product. Scores are ranked
+    as rounded to ``SCORE_DIGITS``, so the rank does not depend on the order of additions.
     """
     prices = candidates.groupBy("request_id").agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    # lengths are taken once per vector, not once per candidate
-    requests = requests.join(prices, "request_id", "left").withColumn("user_length", V.norm(F.col("user_vector")))
-    vectors = product_vectors.select("product_id", "vector", V.norm(F.col("vector")).alias("length"))
-    joined = candidates.join(requests, "request_id").join(vectors, "product_id", "left")
+    cosines = _cosines(requests, candidates, product_vectors)
+    joined = candidates.join(requests.drop("entries"), "request_id").join(prices, "request_id", "left").join(
+        cosines, ["request_id", "product_id"], "left")
 
     label, price = F.col("label"), F.col("price")
     cheap, dear = label == "price_sensitive", label == "premium"
     keyword = F.coalesce("keyword_score", F.lit(0.0))
-    lengths = F.col("user_length") * F.col("length")
-    cosine = F.when(lengths > 0, V.dot(F.col("user_vector"), F.col("vector")) / lengths).otherwise(F.lit(0.0))
+    cosine = F.coalesce("cosine", F.lit(0.0))
     norm_price = F.try_divide(price - F.col("low"), F.col("high") - F.col("low"))
     pricing = F.coalesce(F.when(cheap, 1 - norm_price).when(dear, norm_price), F.lit(0.5))
     alignment = F.when(cheap | dear, F.col("pricing_score")).otherwise(F.coalesce("semantic_score", F.col("keyword_score")))
@@ -48,7 +59,8 @@ def rerank_candidates(requests: DataFrame, candidates: DataFrame, product_vector
         .withColumn("final_score", weight("vector") * F.col("vector_score")
                     + weight("intent") * F.col("intent_score") + weight("pricing") * F.col("pricing_score"))
     )
+    order = Window.partitionBy("request_id").orderBy(F.desc(F.round("final_score", SCORE_DIGITS)), "position", "product_id")
     return scored.select(
-        "request_id", "position", "product_id", "final_score", "vector_score", "cosine_score", "keyword_score",
+        "request_id", F.row_number().over(order).alias("rank"), "position", "product_id", "final_score", "vector_score", "cosine_score", "keyword_score",
         "intent_score", "pricing_score", label.alias("intent_label"), "intent_confidence",
-    ).orderBy("request_id", F.desc("final_score"), "position")
+    )

@@ -1,13 +1,12 @@
 """Exact hybrid retrieval of many queries over an indexed catalogue.
 
 The score of a pair is a sum over shared terms, so pairs without a shared term score 0 and are never
-formed. The lists of rare terms are read in full. A frequent term pairs with a large share of the
-catalogue; its list is read only as far as it can matter:
+formed. Every list is read only as far as it can matter, whatever its length:
 
 1. ``floor`` of a query: the ``k``-th best weight of any one term, times its query weight, is
    reached by ``k`` products, so nothing below it can be in the result.
 2. Terms are ordered by their largest possible contribution (of both spaces together). A product in
-   the result is found through the first of its terms in this order, hence a long list is read only
+   the result is found through the first of its terms in this order, hence a list is read only
    down to the weight at which it and all later terms together still reach the floor. Buckets of
    weights make this an equi-join.
 3. What was read gives a lower and an upper bound per pair. The ``k``-th best lower bound raises
@@ -30,9 +29,6 @@ from cartwise.operators.joins import block_join
 from cartwise.session import stage
 
 SLACK = 1e-8
-LONG_LIST = 50  # in multiples of k
-BROADCAST_POSTINGS = 500_000  # rows of 32 bytes
-LISTS_PER_TASK = 4096
 SCORE_DIGITS = 9  # scores closer than this count as equal and keep catalogue order
 
 
@@ -46,7 +42,7 @@ def _adds(dense: str, sparse: str) -> Column:
     return K.W_DENSE * F.col("q_dense") * F.col(dense) + K.W_SPARSE * F.col("q_sparse") * F.col(sparse)
 
 
-def _reading_plan(qv: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+def _reading_plan(qv: DataFrame, bounds: DataFrame) -> DataFrame:
     """Per query term: how far its list is read, and the most an unread posting can add."""
     per_query = Window.partitionBy("qkey")
     later = per_query.orderBy(F.desc("most"), "tid").rowsBetween(1, Window.unboundedFollowing)
@@ -56,7 +52,7 @@ def _reading_plan(qv: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
     placed = terms.withColumn("rest", F.coalesce(F.sum("most").over(later), F.lit(0.0))).withColumn(
         "floor", F.max(kth).over(per_query) - SLACK
     )
-    gap = F.when(F.col("list_length") > LONG_LIST * k, F.greatest(F.col("floor") - F.col("rest"), F.lit(0.0))).otherwise(F.lit(0.0))
+    gap = F.greatest(F.col("floor") - F.col("rest"), F.lit(0.0))
     unread = F.least("most", "gap")
     # a posting whose larger weight is below gap / per_weight adds less than the gap
     per_weight = K.W_DENSE * F.col("q_dense") + K.W_SPARSE * F.col("q_sparse")
@@ -72,20 +68,12 @@ def _read_lists(plan: DataFrame, index: SearchIndex) -> DataFrame:
     """Pairs (qkey, gid) met while reading that may reach the floor, with their bounds and the sums
     over terms read in full."""
     low = F.greatest(F.floor(F.col("down_to") * BUCKETS).cast("int"), F.col("low_bucket"))
-    lists = stage(
-        plan.filter((low <= F.col("high_bucket")) & (F.col("most") >= F.col("gap"))).select(
-            "qkey", "tid", "q_dense", "q_sparse", "gap", "unread", "unread_sum", "floor",
-            F.explode(F.sequence(low, "high_bucket")).alias("bucket"),
-        ), "term-lists")
+    lists = plan.filter((low <= F.col("high_bucket")) & (F.col("most") >= F.col("gap"))).select(
+        "qkey", "tid", "q_dense", "q_sparse", "gap", "unread", "unread_sum", "floor",
+        F.explode(F.sequence(low, "high_bucket")).alias("bucket"))
     stored = index.postings.select("tid", "bucket", "gid", "dense", "sparse")
     adds, none = _adds("dense", "sparse"), F.lit(0.0)
-    on = ["tid", "bucket"]
-    if stored.limit(BROADCAST_POSTINGS + 1).count() <= BROADCAST_POSTINGS:
-        # counted small: placed by query once, the pairs are formed and summed without a shuffle
-        tasks = max(4 * lists.sparkSession.sparkContext.defaultParallelism, lists.count() // LISTS_PER_TASK)
-        read = lists.repartition(tasks, "qkey").join(F.broadcast(stored), on)
-    else:
-        read = block_join(lists, stored, on, "qkey", "gid")
+    read = block_join(lists, stored, ["tid", "bucket"], "qkey", "gid")
     read = read.filter(adds >= F.col("gap"))
     whole = F.col("gap") == 0
     pairs = read.groupBy("qkey", "gid").agg(
@@ -163,9 +151,8 @@ def hybrid_retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
     Equal texts are answered once. Ties keep catalogue order.
     """
     texts = queries.filter(F.col("query").isNotNull()).groupBy("query").agg(F.min("query_id").alias("qkey"))
-    texts = stage(texts, "query-texts")
     qv = query_vectors(texts, "qkey", "query", index.vocab)
-    plan = stage(_reading_plan(qv, index.bounds, index.k), "reading-plan")
+    plan = stage(_reading_plan(qv, index.bounds), "reading-plan")
     pairs = stage(candidate_pairs(plan, index), "pairs")
     scored = score_pairs(pairs, plan, index.postings).withColumn("hybrid", hybrid_score(F.col("dense_sim"), F.col("sparse_score")))
     sizes = index.members.filter("ordinal = gid").select("gid", "copies")

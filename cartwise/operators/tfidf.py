@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwise import constants as K
 from cartwise.functions import text as X
-from cartwise.session import spread
+from cartwise.session import stage
 
 
 @dataclass(frozen=True)
@@ -46,10 +46,11 @@ def term_stats(docs: DataFrame, text: str, max_ngram: int) -> DataFrame:
         return F.transform(terms, lambda t: F.struct(
             t.alias("term"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df")))
 
-    terms = with_terms(spread(docs.select(text)), text, max_ngram).select("terms")
-    rows = terms.select(F.inline(F.concat(
+    terms = with_terms(docs.select(text), text, max_ngram).select("terms")
+    # the outer form: the plain one would test, and so find, the terms twice
+    rows = terms.select(F.inline_outer(F.concat(
         entries(F.col("terms"), 1, 0), entries(F.array_distinct("terms"), 0, 1))))
-    return rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    return rows.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def vocab_of_stats(stats: DataFrame, n_docs: Column, space: Space) -> DataFrame:
@@ -74,20 +75,20 @@ def fit_vocab(docs: DataFrame, text: str, space: Space) -> DataFrame:
 def fit_hybrid_vocab(docs: DataFrame, text: str) -> DataFrame:
     """Dense and sparse vocabulary from one pass; a word of both has a row in each."""
     n_docs = docs.agg(F.count("*")).scalar()
-    stats = term_stats(docs, text, SPARSE.max_ngram)
+    stats = stage(term_stats(docs, text, SPARSE.max_ngram), "term-stats")
     return vocab_of_stats(stats, n_docs, DENSE).unionByName(vocab_of_stats(stats, n_docs, SPARSE))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_ngram: int, sublinear: bool) -> DataFrame:
     """L2-normalised weights (key, space, fid, weight) of the known terms of every document.
 
-    The text is placed by document once; counting per term and the norm then need no further
-    shuffle. The vocabulary is at most a few thousand rows by construction and is broadcast.
+    Counts per document and known term are summed before they are placed by document, where the norm
+    needs them; texts are not shuffled. The vocabulary is at most a few thousand rows by construction
+    and is broadcast.
     """
-    placed = docs.select(key, text).repartition(key)
-    terms = with_terms(placed, text, max_ngram).select(key, F.explode("terms").alias("term"))
+    terms = with_terms(docs.select(key, text), text, max_ngram).select(key, F.explode_outer("terms").alias("term"))
     known = terms.join(F.broadcast(vocab.select("term", "fid", "space", "idf")), "term")
-    counted = known.groupBy(key, "space", "fid", "idf").agg(F.count("*").alias("tf"))
+    counted = known.groupBy(key, "space", "fid").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     damped = 1 + F.log("tf") if sublinear else F.col("tf")
     raw = counted.withColumn("raw", damped * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key, "space")))
@@ -106,10 +107,10 @@ def hybrid_tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> Data
         F.coalesce(of(DENSE, "idf"), F.lit(0.0)).alias("dense_idf"),
         F.coalesce(of(SPARSE, "idf"), F.lit(0.0)).alias("sparse_idf"),
     )
-    placed = docs.select(key, text).repartition(key)
-    terms = with_terms(placed, text, SPARSE.max_ngram).select(key, F.explode("terms").alias("term"))
+    terms = with_terms(docs.select(key, text), text, SPARSE.max_ngram).select(key, F.explode_outer("terms").alias("term"))
     known = terms.join(F.broadcast(wide), "term")  # as long as the two vocabularies
-    counted = known.groupBy(key, "tid", "dense_idf", "sparse_idf").agg((1 + F.log(F.count("*"))).alias("damped"))
+    counted = known.groupBy(key, "tid").agg(
+        (1 + F.log(F.count("*"))).alias("damped"), F.first("dense_idf").alias("dense_idf"), F.first("sparse_idf").alias("sparse_idf"))
 
     def unit(idf: str) -> Column:
         raw = F.col("damped") * F.col(idf)

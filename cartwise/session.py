@@ -23,6 +23,8 @@ def local_session(app: str = "cartwise", cpus: int | str = 8, memory: str = "16g
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # small test files over all cores
+        .config("spark.sql.files.openCostInBytes", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -59,13 +61,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores if they come from fewer files than there are cores.
-
-    For costly work per row on a small input. A large table comes in more files than that and is
-    left as it is, without a shuffle; so is a frame that does not come from files.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -24,10 +24,14 @@ def load_or_fit(spark: SparkSession, path: str, fit: Callable[[], DataFrame]) ->
 
 
 def save_index(index: SearchIndex, path: str) -> None:
+    index.vocab.sparkSession.createDataFrame([(index.k,)], "k int").write.mode("overwrite").parquet(f"{path}/settings")
     for name in _INDEX_TABLES:
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_index(spark: SparkSession, path: str, k: int) -> SearchIndex:
-    """``k`` has to be the value the index was built with."""
-    return SearchIndex(*[spark.read.parquet(f"{path}/{name}") for name in _INDEX_TABLES], k)
+def load_index(spark: SparkSession, path: str, k: int | None = None) -> SearchIndex:
+    """The index at ``path``, for result lists up to ``k``: at most what it was built for, by default all of it."""
+    built_for = spark.read.parquet(f"{path}/settings").first()["k"]
+    if k is not None and k > built_for:
+        raise ValueError(f"the index answers lists up to {built_for}, not {k}")
+    return SearchIndex(*[spark.read.parquet(f"{path}/{name}") for name in _INDEX_TABLES], built_for)

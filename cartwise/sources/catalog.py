@@ -24,7 +24,7 @@ CATALOG_SCHEMA = T.StructType(LEGACY_SCHEMA.fields + [
     T.StructField("image", T.StringType()),
 ])
 
-# fixed seed catalogue, used when no file exists:
+# fixed seed catalogue, used where no file exists and the caller asks for it:
 # id, name, desc, category, brand, price, rating, popularity, stock, discount
 SEED = [
     ("rs-001", "Skechers Go Run Pulse", "Budget running shoe memory foam", "running_shoes", "Skechers", 49.99, 4.1, 0.72, True, 0.0),
@@ -49,24 +49,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _in_order(df: DataFrame) -> DataFrame:
-    """Number the products as they stand in the file."""
-    return df.withColumn("ordinal", F.monotonically_increasing_id()).withColumnRenamed("id", "product_id")
+    """Number the products as they stand in the files: files by name, then rows within the file.
+
+    Rows of a file are in one task (an array of JSON cannot be split), whose counter gives their order.
+    Only the list of file names is ordered in one place.
+    """
+    placed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    files = placed.select("_file").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
+    numbered = placed.join(files, "_file").withColumn("ordinal", F.shiftleft("_nth", 33) + F.col("_row"))
+    return numbered.drop("_file", "_row", "_nth").withColumnRenamed("id", "product_id")
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return _in_order(spark.read.option("multiLine", True).schema(schema).json(path))
 
 
 def read_legacy_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of id, name, desc, category and price."""
-    return _in_order(spark.read.option("multiLine", True).schema(LEGACY_SCHEMA).json(path))
+    return _read(spark, path, LEGACY_SCHEMA)
 
 
-def load_catalog(spark: SparkSession, *paths: str) -> DataFrame:
-    """The first of ``paths`` that exists, else the seed catalogue; missing fields get defaults."""
+def load_catalog(spark: SparkSession, *paths: str, seed: bool = False) -> DataFrame:
+    """The first of ``paths`` that exists; missing fields get defaults. The seed catalogue only where asked for."""
     for path in paths:
         if _exists(spark, path):
-            raw = spark.read.option("multiLine", True).schema(CATALOG_SCHEMA).json(path)
-            break
-    else:
-        raw = spark.createDataFrame(SEED, _SEED_SCHEMA).coalesce(1)
-    return with_catalog_defaults(_in_order(raw))
+            return with_catalog_defaults(_read(spark, path, CATALOG_SCHEMA))
+    if not seed:
+        raise FileNotFoundError(f"no catalogue at {', '.join(paths)}")
+    raw = spark.createDataFrame([(i, *row) for i, row in enumerate(SEED)], f"ordinal long, {_SEED_SCHEMA}")
+    return with_catalog_defaults(raw.withColumnRenamed("id", "product_id"))
 
 
 def save_catalog(products: DataFrame, path: str, fmt: str = "json") -> None:
@@ -74,6 +85,7 @@ def save_catalog(products: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def next_ordinals(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Number new products after the existing ones, by id. For the small deltas of an upsert."""
+    """Number new products after the existing ones. Numbers rise, but need not be consecutive."""
     base = existing.agg(F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).scalar()
-    return new.withColumn("ordinal", F.row_number().over(Window.orderBy("product_id")) - 1 + base)
+    ordered = new.repartitionByRange("product_id").sortWithinPartitions("product_id")
+    return ordered.withColumn("ordinal", F.monotonically_increasing_id() + base)

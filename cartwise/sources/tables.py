@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.session import spread
-
 # fixed mapping of part types to catalogue categories
 CATEGORY_OF_TYPE = {
     "ECONOMY": "running_shoes",
@@ -82,11 +80,15 @@ def search_requests(spark: SparkSession, sf_dir: str, churn: DataFrame | None =
         .when(F.col("c_nationkey") % 3 == 1, F.concat(F.lit(" under $"), F.floor("p_retailprice").cast("string")))
         .otherwise(F.lit(""))
     )
-    requests = cust.join(part, cust.c_custkey == part.p_partkey).select(
+    parts = max(1, part.count())  # keys run from 0
+    requests = cust.join(part, F.pmod(cust.c_custkey, parts) == part.p_partkey).select(
         F.col("c_custkey").alias("query_id"),
-        F.concat(opening, F.lit(" "), "p_name", F.lit(" "), "p_brand", closing).alias("query"),
-        F.lit(20).alias("top_k"),
-        F.lit(None).cast("map<string,double>").alias("weights"),
+        # some requests hold no word of the catalogue, some only words that few products have
+        F.when(F.col("c_custkey") % 40 == 7, F.concat(F.lit("qqzz"), F.col("c_custkey").cast("string")))
+        .when(F.col("c_custkey") % 40 == 11, F.concat(F.lit("zzqq "), F.col("p_name")))
+        .otherwise(F.concat(opening, F.lit(" "), "p_name", F.lit(" "), "p_brand", closing)).alias("query"),
+        F.when(F.col("c_custkey") % 10 == 3, 5).otherwise(20).alias("top_k"),
+        F.when(F.col("c_custkey") % 12 == 5, F.create_map(F.lit("vector"), F.lit(0.6), F.lit("pricing"), F.lit(0.1))).alias("weights"),
     )
     if churn is None:
         return requests.withColumn("churn_score", F.lit(0.5))
@@ -156,9 +158,9 @@ def rerank_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts a person may have typed: conversation turns, documents and search requests."""
-    turns = spread(table(spark, sf_dir, "conversations")).select(
+    turns = table(spark, sf_dir, "conversations").select(
         F.lit("turn").alias("origin"), (F.col("conv_id") * 10000 + F.col("turn")).alias("key"), F.col("text").alias("query"))
-    docs = spread(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents").select(
         F.lit("document").alias("origin"), F.col("doc_id").alias("key"), F.col("text").alias("query"))
     asked = search_requests(spark, sf_dir).select(F.lit("request").alias("origin"), F.col("query_id").alias("key"), "query")
     return turns.unionByName(docs).unionByName(asked)

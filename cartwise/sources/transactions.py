@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ _NAMES = {
 }
 
 
-def _named(df: DataFrame) -> DataFrame:
+def _named(df: DataFrame, *more: Column) -> DataFrame:
     """Column names of the operators, and the line's place in the input.
 
     The place is file, block start and row within the task, so it does not depend on scheduling.
@@ -31,11 +31,19 @@ def _named(df: DataFrame) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in _NAMES.items()], place.alias("line_no"))
+    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in _NAMES.items()], place.alias("line_no"), *more)
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _named(spark.read.option("header", True).schema(SCHEMA).csv(path))
+    """Lines of CSV files with header. Quoted fields may hold quotes (doubled), commas and line breaks.
+
+    Line breaks in fields mean that a file is read by one task; large inputs should be many files, or
+    Parquet. A record that does not fit the schema has its text in ``malformed`` (else null), so it can
+    be counted and set aside instead of vanishing in the test for nulls.
+    """
+    schema = T.StructType([*SCHEMA.fields, T.StructField("_malformed", T.StringType())])
+    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed")
+    return _named(raw.schema(schema).csv(path), F.col("_malformed").alias("malformed"))
 
 
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -11,8 +11,8 @@ from cartwise.operators.sessions import GAP_MINUTES, _event_sums, _signals, inte
 def live_sessions(events: DataFrame, lateness: str = "1 hour", gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """Score every session once the watermark has passed its end (append mode).
 
-    Recency is measured at the end of the session window. Sessions still open when the stream stops
-    are not emitted. ``events.ts`` has to be a timestamp with time zone semantics.
+    Recency is measured at the end of the session window. Sessions still open when a stream stops
+    are not emitted; a finite one needs a closing row (``sources.finite``). ``events.ts`` has to be a timestamp with time zone semantics.
     """
     sessions = (
         events.withWatermark("ts", lateness)

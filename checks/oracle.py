@@ -103,6 +103,14 @@ SELECT customer_id, round({_risk('d', 'o', 'v', 365, 50, 500)}, 4) AS legacy_pro
 ORACLE["churn_pressure_label"] = _with(*_RFM, CHURN) + """
 SELECT customer_id, CAST(1.8::DOUBLE * (1 - r01) + 1.5::DOUBLE * (1 - f01) + (1 - m01) > 1.9 AS BIGINT) AS pressure_churn FROM churn"""
 
+_FOLDS = ", ".join(f"(n + {5 - f}) // 5" if f else "n // 5" for f in range(5))
+ORACLE["churn_model_checks"] = _with(*_RFM, f"""
+sizes AS (SELECT CASE WHEN d > {K.CHURN_TRAINING_DAYS} THEN 1 ELSE 0 END AS churn, count(*) AS n FROM rfm GROUP BY 1),
+folds AS (SELECT churn, unnest([0, 1, 2, 3, 4]) AS fold, unnest([{_FOLDS}]) AS n FROM sizes)""") + """
+SELECT model || '_' || what AS check_name, n FROM (VALUES ('trained'), ('fallback')) m(model),
+  (SELECT 'rows' AS what, count(*) AS n FROM rfm UNION ALL SELECT 'below_formula', 0 UNION ALL SELECT 'wrong_tier', 0 UNION ALL SELECT 'outside_0_1', 0)
+UNION ALL SELECT concat('fold_', churn, '_', fold), n FROM folds WHERE n > 0
+UNION ALL SELECT 'accuracy_recomputed', 1"""
 ORACLE["risk_distribution"] = _with(*_RFM, CHURN) + f"""
 SELECT c_mktsegment, {_tier('p', 1, 'low')} AS churn_risk_level, count(*) AS customers, min(round(p, 4)) AS min_probability,
   max(round(p, 4)) AS max_probability, round(avg(round(p, 4)), 6) AS mean_probability
@@ -176,15 +184,18 @@ SELECT user_id, {_START}, round(s_time, 9) AS time_on_product_page, round(s_visi
 ORACLE["intent_score"] = _with(SESSIONS, SIGNALS, SCORED) + f"""
 SELECT user_id, {_START}, intent_score, score_bucket, dominant_signal, cs[1] AS c_time_on_product_page, cs[2] AS c_product_visit_count,
   cs[3] AS c_cart_add_events, cs[4] AS c_scroll_depth, cs[5] AS c_avg_spend_score, cs[6] AS c_session_recency FROM intent"""
+# as a stream: recency is measured at the end of the session window, half an hour after the last event
+ORACLE["session_intent_stream"] = _with(SESSIONS.replace("idle_us / 3.6e9::DOUBLE AS hours", "0.5::DOUBLE AS hours"), SIGNALS, SCORED) + f"""
+SELECT user_id, {_START}, intent_score, score_bucket, dominant_signal FROM intent"""
 ORACLE["intent_bucket_counts"] = _with(SESSIONS, SIGNALS, SCORED) + """
 SELECT score_bucket, count(*) AS sessions, round(avg(intent_score), 2) AS mean_score FROM intent GROUP BY 1"""
 
 # --- query understanding -------------------------------------------------------------------
 
 REQUESTS = f"""
-asked AS (SELECT c_custkey AS query_id, concat({_case('c_mktsegment', OPENING_OF_SEGMENT, 'show')}, ' ', p_name, ' ', p_brand,
-  CASE c_nationkey % 3 WHEN 0 THEN ' sneaker' WHEN 1 THEN ' under $' || CAST(floor(p_retailprice) AS BIGINT)::VARCHAR ELSE '' END) AS query
-  FROM customer JOIN part ON c_custkey = p_partkey)"""
+asked AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 40 = 7 THEN 'qqzz' || c_custkey WHEN c_custkey % 40 = 11 THEN 'zzqq ' || p_name ELSE concat({_case('c_mktsegment', OPENING_OF_SEGMENT, 'show')}, ' ', p_name, ' ', p_brand,
+  CASE c_nationkey % 3 WHEN 0 THEN ' sneaker' WHEN 1 THEN ' under $' || CAST(floor(p_retailprice) AS BIGINT)::VARCHAR ELSE '' END) END AS query
+  FROM customer JOIN part ON c_custkey % (SELECT count(*) FROM part) = p_partkey)"""
 TEXTS = """
 texts AS (SELECT 'turn' AS origin, conv_id * 10000 + turn AS key, text AS query FROM conversations UNION ALL
   SELECT 'document', doc_id, text FROM documents UNION ALL SELECT 'request', query_id, query FROM asked)"""
@@ -274,6 +285,12 @@ ORACLE["product_vectors_legacy"] = _with(
     _vocab("v", "p_terms", "products", "product_id", K.LEGACY_DIM), _weights("w", "p_terms", "v", "product_id", False)) + """
 SELECT product_id, CAST(fid AS BIGINT) AS pos, round(weight, 6) AS x FROM w"""
 
+# streamed products have no category; the vocabulary is the catalogue's
+ORACLE["embed_upsert_stream"] = _with(
+    PRODUCTS, _tokens("p", "products", "product_id"), _terms("p", "product_id", 1), _vocab("v", "p_terms", "products", "product_id", K.LEGACY_DIM),
+    "streamed AS (SELECT p_partkey AS product_id, concat_ws(' ', p_name, lower(p_type), p_brand) AS text FROM part)",
+    _tokens("s", "streamed", "product_id"), _terms("s", "product_id", 1), _weights("w", "s_terms", "v", "product_id", False)) + """
+SELECT product_id, CAST(fid AS BIGINT) AS fid, round(weight, 6) AS weight FROM w"""
 ORACLE["embed_dedupe_md5"] = """
 WITH groups AS (SELECT md5(text) AS text_hash, min(doc_id) AS first_key, count(*) AS copies FROM documents GROUP BY 1),
 todo AS (SELECT * FROM groups WHERE text_hash NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)))
@@ -324,9 +341,9 @@ base AS (SELECT cand.*, label, confidence, wv, wi, wp, coalesce(cosine, 0.0) AS
   CASE WHEN price IS NULL OR hi = lo THEN 0.5 WHEN label = 'price_sensitive' THEN 1 - (price - lo) / (hi - lo)
     WHEN label = 'premium' THEN (price - lo) / (hi - lo) ELSE 0.5 END AS pricing_score
   FROM cand JOIN req USING (request_id) JOIN span USING (request_id) LEFT JOIN cos USING (request_id, product_id)),
-parts AS (SELECT *, 0.7::DOUBLE * cosine_score + 0.3::DOUBLE * keyword_score AS vector_score,
-  coalesce(confidence, 0.0) * CASE WHEN label IN ('price_sensitive', 'premium') THEN pricing_score ELSE coalesce(semantic_score, keyword_score) END AS intent_score FROM base)""") + """
-SELECT request_id, position, product_id, round(wv * vector_score + wi * intent_score + wp * pricing_score, 6) AS final_score,
+parts AS (SELECT *, wv * vector_score + wi * intent_score + wp * pricing_score AS final FROM (SELECT *, 0.7::DOUBLE * cosine_score + 0.3::DOUBLE * keyword_score AS vector_score,
+  coalesce(confidence, 0.0) * CASE WHEN label IN ('price_sensitive', 'premium') THEN pricing_score ELSE coalesce(semantic_score, keyword_score) END AS intent_score FROM base))""") + """
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY round(final, 9) DESC, position, product_id) AS rank, position, product_id, round(final, 6) AS final_score,
   round(vector_score, 6) AS vector_score, round(cosine_score, 6) AS cosine_score, round(keyword_score, 6) AS keyword_score,
   round(intent_score, 6) AS intent_score, round(pricing_score, 6) AS pricing_score, label AS intent_label,
   coalesce(confidence, 0.0) AS intent_confidence FROM parts"""
@@ -358,6 +375,15 @@ retrieved AS (SELECT *, row_number() OVER (PARTITION BY query_id
 ORACLE["hybrid_retrieve_topk"] = _with(*RETRIEVED) + """
 SELECT query_id, product_id, retrieval_rank, round(dense_sim, 6) AS dense_sim, round(sparse_score, 6) AS sparse_score FROM retrieved"""
 
+# vocabulary of an earlier catalogue: without each fifth product, each seventh under a reversed name
+_EARLIER = (PRODUCTS, """
+earlier AS (SELECT product_id, CASE WHEN product_id % 7 = 0 THEN concat_ws(' ', reverse(name), descr, category, brand) ELSE text END AS text
+  FROM products WHERE product_id % 5 <> 0)""", _tokens("e", "earlier", "product_id"), _terms("e", "product_id", 2),
+    _vocab("vd", "e_terms", "earlier", "product_id", K.DENSE_DIM, 0, "dense", True),
+    _vocab("vs", "e_terms", "earlier", "product_id", K.SPARSE_DIM, K.DENSE_DIM, "sparse"),
+    "vocab AS (SELECT * FROM vd UNION ALL SELECT * FROM vs)", _tokens("c", "products", "product_id"), _terms("c", "product_id", 2))
+ORACLE["index_update_search"] = _with(*_EARLIER, *RETRIEVED[len(VOCABS):]) + """
+SELECT query_id, product_id, retrieval_rank, round(dense_sim, 6) AS dense_sim, round(sparse_score, 6) AS sparse_score FROM retrieved"""
 ORACLE["external_candidates_topk"] = """
 SELECT l_suppkey AS query_id, l_orderkey * 8 + l_linenumber AS product_id,
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 8 + l_linenumber) AS retrieval_rank,
@@ -375,7 +401,9 @@ SELECT query_id, product_id, slot_category, slot_max_price FROM narrowed"""
 
 def _label_weight(name: str) -> str:
     whens = " ".join(f"WHEN '{label}' THEN {w[name]}" for label, w in K.LABEL_WEIGHTS.items())
-    return f"CASE intent_label {whens} ELSE {K.BASE_WEIGHTS[name]} END::DOUBLE"
+    own = {"vector": 0.6, "pricing": 0.1}.get(name, K.BASE_WEIGHTS[name])  # a request's own weights fall back to the base ones
+    given = f"CASE WHEN query_id % 12 = 5 THEN {own}::DOUBLE ELSE "
+    return f"{given}CASE intent_label {whens} ELSE {K.BASE_WEIGHTS[name]} END::DOUBLE END"
 
 
 RANKED = f"""
@@ -397,7 +425,7 @@ fits AS (SELECT *,
     ELSE 0.50::DOUBLE + 0.20::DOUBLE * (popularity - 0.50::DOUBLE) END''')} AS fp FROM vec),
 pen AS (SELECT *, CASE WHEN vs < 0.05 THEN fi * 0.30::DOUBLE ELSE fi END AS isc, CASE WHEN vs < 0.05 THEN fp * 0.30::DOUBLE ELSE fp END AS psc FROM fits),
 final AS (SELECT *, {_label_weight('vector')} * vs + {_label_weight('intent')} * isc + {_label_weight('pricing')} * psc AS fs FROM pen),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fs, 4) DESC, retrieval_rank) AS rank FROM final QUALIFY rank <= 20)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fs, 4) DESC, retrieval_rank) AS rank FROM final QUALIFY rank <= CASE WHEN query_id % 10 = 3 THEN 5 ELSE 20 END)"""
 _SEARCH = (*_RFM, CHURN, *RETRIEVED, *NARROWED, RANKED)
 ORACLE["search_rerank"] = _with(*_SEARCH) + """
 SELECT query_id, rank, product_id, name, category, brand, price, discount, rating, round(fs, 4) AS final_score, round(vs, 4) AS vector_score,
@@ -439,6 +467,7 @@ log AS (SELECT *, date_trunc('hour', ts) AS w, '/ml/' || event_type AS path, val
 _W = "strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start"
 _RATE = "count(*) AS requests, round(count(*) / 3600.0::DOUBLE, 6) AS per_second"
 ORACLE["traffic_rate"] = _with(LOG) + f"\nSELECT {_W}, path, {_RATE} FROM log GROUP BY w, path"
+ORACLE["traffic_rate_stream"] = ORACLE["traffic_rate"]
 ORACLE["traffic_rate_total"] = _with(LOG) + f"\nSELECT {_W}, {_RATE} FROM log GROUP BY w"
 ORACLE["traffic_rate_by_status"] = _with(LOG) + f"\nSELECT {_W}, (status // 100)::VARCHAR || 'xx' AS status_family, {_RATE} FROM log GROUP BY w, 2"
 ORACLE["latency_mean"] = _with(LOG) + f"\nSELECT {_W}, round(avg(dur), 9) AS mean_duration_s FROM log GROUP BY w"

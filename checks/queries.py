@@ -126,6 +126,36 @@ def churn_fallback_predict(spark, sf):
         "customer_id", "churn_probability", "churn_risk_level", "recommended_action", "model_type")
 
 
+@query
+def churn_model_checks(spark, sf):
+    """Counts that tell whether both models' answers follow from the rules; SQL states what they have to be."""
+    base = stage(_rfm(spark, sf), "rfm")
+    formula = churn.churn_response(base).select("customer_id", F.col("churn_probability").alias("formula"))
+    model = churn_model.train_churn_model(churn_model.training_rows(base))
+    answers = {"trained": churn_model.predict(base, model), "fallback": churn_model.predict_fallback(base, churn_model.train_fallback(base))}
+    p, level = F.col("churn_probability"), F.col("churn_risk_level")
+    # a probability is reported with four digits, its tier is that of the full number
+    near = lambda t: F.abs(p - t) < 1e-4
+    tier = F.lit(K.RISK_FLOOR[0])
+    for t, name, _ in reversed(K.RISK_TIERS):
+        tier = F.when(p >= t, name).otherwise(tier)
+    wrong = (level != tier) & ~(near(K.RISK_TIERS[0][0]) | near(K.RISK_TIERS[1][0]) | near(K.RISK_TIERS[2][0]))
+    out = None
+    for name, answer in answers.items():
+        counts = answer.join(formula, "customer_id").agg(
+            F.count("*").alias("rows"), F.count_if(p < F.col("formula")).alias("below_formula"), F.count_if(wrong).alias("wrong_tier"),
+            F.count_if(~p.between(0, 1)).alias("outside_0_1"))
+        rows = counts.select(F.inline(F.array(*[F.struct(F.lit(f"{name}_{c}").alias("check_name"), F.col(c).alias("n")) for c in counts.columns])))
+        out = rows if out is None else out.unionByName(rows)
+    labelled = churn_model.training_rows(base)
+    folds = churn_model.stratified_folds(labelled, "customer_id", "churn").groupBy("churn", "fold").count()
+    folds = folds.select(F.concat_ws("_", F.lit("fold"), "churn", "fold").alias("check_name"), F.col("count").alias("n"))
+    hit = (answers["trained"].select("customer_id", (F.col("ml_probability") >= 0.5).cast("int").alias("says"))
+           .join(labelled.select("customer_id", "churn"), "customer_id").agg(F.avg((F.col("says") == F.col("churn")).cast("double")).alias("a")))
+    same = hit.select(F.lit("accuracy_recomputed").alias("check_name"), (F.abs(F.col("a") - model.train_accuracy) < 1e-9).cast("long").alias("n"))
+    return out.unionByName(folds).unionByName(same)
+
+
 # --- sessions -----------------------------------------------------------------------
 
 @query
@@ -155,8 +185,8 @@ def intent_bucket_counts(spark, sf):
 
 @query
 def session_intent_stream(spark, sf):
-    s = streams.run_to_table(live.live_sessions(streams.stream_table(spark, sf, "events")), "live-sessions")
-    return s.select("user_id", "session_start", "intent_score", "score_bucket", "dominant_signal")
+    s = streams.run_to_table(live.live_sessions(streams.finite(spark, sf, "events", "ts")), "live-sessions")
+    return s.select("user_id", _text("session_start"), "intent_score", "score_bucket", "dominant_signal")
 
 
 # --- query understanding -----------------------------------------------------------
@@ -254,9 +284,9 @@ def _legacy_vectors(spark, sf):
 
 @query
 def user_vectors_recent(spark, sf):
-    u = user_vectors.user_vectors(T.interactions(spark, sf), _legacy_vectors(spark, sf), K.LEGACY_DIM)
-    return u.select("user_id", F.posexplode("user_vector").alias("pos", "x")).filter("x != 0").select(
-        "user_id", F.col("pos").cast("long").alias("pos"), _r("x", 6))
+    u = user_vectors.user_entries(T.interactions(spark, sf), _legacy_vectors(spark, sf))
+    return u.select("user_id", F.inline("entries").alias("fid", "x")).filter("x != 0").select(
+        "user_id", F.col("fid").cast("long").alias("pos"), _r("x", 6))
 
 
 @query
@@ -280,11 +310,10 @@ def cache_lookup_rates(spark, sf):
 def rerank_candidates_v1(spark, sf):
     requests, candidates = T.rerank_inputs(spark, sf)
     vectors = _legacy_vectors(spark, sf)
-    users = user_vectors.user_vectors(T.interactions(spark, sf), vectors, K.LEGACY_DIM)
-    requests = requests.join(users.withColumnRenamed("user_id", "request_id"), "request_id")
-    items = vectors.select("product_id", tfidf.dense_array(F.col("entries"), K.LEGACY_DIM).alias("vector"))
-    out = rerank_candidates(requests, candidates, items)
-    return out.select("request_id", "position", "product_id", *[_r(c, 6) for c in (
+    users = user_vectors.user_entries(T.interactions(spark, sf), vectors)
+    requests = stage(requests.join(users.withColumnRenamed("user_id", "request_id"), "request_id"), "requests")
+    out = rerank_candidates(requests, candidates, vectors)
+    return out.select("request_id", F.col("rank").cast("long").alias("rank"), "position", "product_id", *[_r(c, 6) for c in (
         "final_score", "vector_score", "cosine_score", "keyword_score", "intent_score", "pricing_score")],
         "intent_label", "intent_confidence")
 
@@ -322,6 +351,19 @@ def hybrid_retrieve_topk(spark, sf):
                       _r("dense_sim", 6), _r("sparse_score", 6))
 
 
+@query
+def index_update_search(spark, sf):
+    """An index of an earlier catalogue, brought up to date product by product, answers as one of the new catalogue would."""
+    now = _catalog(spark, sf)
+    replaced = F.col("product_id") % 7 == 0
+    earlier = stage(now.filter("product_id % 5 <> 0").withColumn("name", F.when(replaced, F.reverse("name")).otherwise(F.col("name"))), "earlier")
+    changed = now.filter("product_id % 5 = 0 or product_id % 7 = 0").select("product_id")
+    ix = index.update_index(index.build_index(earlier, stage), earlier, now, changed, stage)
+    out = retrieval.hybrid_retrieve(T.search_requests(spark, sf), ix)
+    return out.select("query_id", "product_id", F.col("retrieval_rank").cast("long").alias("retrieval_rank"),
+                      _r("dense_sim", 6), _r("sparse_score", 6))
+
+
 @query
 def external_candidates_topk(spark, sf):
     """Order lines as candidates scored elsewhere: 100 best lines per supplier by price."""
@@ -385,8 +427,10 @@ def index_status(spark, sf):
 def embed_upsert_stream(spark, sf):
     vocab = stage(embedding.fit_products(_catalog(spark, sf)), "vocab")
     parts = streams.stream_table(spark, sf, "part").select(
-        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("description"),
-        F.col("p_brand").alias("brand"), F.lit(1).cast("long").alias("version"))
+        F.col("p_partkey").alias("product_id"), F.lower("p_type").alias("description"), F.col("p_brand").alias("brand"),
+        # each part twice: an earlier version under another name, then its own
+        F.inline(F.array(F.struct(F.reverse("p_name").alias("name"), F.lit(1).cast("long").alias("version")),
+                         F.struct(F.col("p_name").alias("name"), F.lit(2).cast("long").alias("version")))))
     table = shared_path(spark, "vector-table")
     product_vectors.upsert_stream(parts, vocab, table, f"{table}-checkpoint").awaitTermination()
     return product_vectors.current_vectors(spark, table).select(
@@ -472,11 +516,11 @@ def label_counter_rates(spark, sf):
 
 @query
 def traffic_rate_stream(spark, sf):
-    """The per-path rate as a stream; windows still open at the end are not emitted."""
-    events = streams.stream_table(spark, sf, "events").withWatermark("ts", "10 minutes")
+    """The per-path rate as a stream."""
+    events = streams.finite(spark, sf, "events", "ts").withWatermark("ts", "10 minutes")
     log = events.select("ts", F.concat(F.lit("/ml/"), "event_type").alias("path"))
     out = streams.run_to_table(logstats.traffic_rate(log, ["path"]), "traffic")
-    return out.select("window_start", "path", "requests", _r("per_second", 6))
+    return out.select(_text("window_start"), "path", "requests", _r("per_second", 6))
 
 
 @query

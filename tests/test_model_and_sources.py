@@ -64,6 +64,17 @@ def test_transactions_csv_keeps_file_order(spark, tmp_path):
     assert [r.quantity for r in rows] == [2, 9, -1] and rows[0].invoice_ts.hour == 3 and rows[2].customer_id is None
 
 
+def test_transactions_csv_with_quotes_breaks_and_bad_lines(spark, tmp_path):
+    f = tmp_path / "t.csv"
+    f.write_text('Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n'
+                 '1,A,"a ""big"", red box",2,2024-01-02 03:04:05,1.5,17,UK\n'
+                 '2,B,"two\nlines",3,2024-01-02 03:04:05,2.5,18,UK\n3,C,x,many,2024-01-02 03:04:05,2.5,18,UK\n')
+    rows = transactions.read_transactions_csv(spark, str(f)).orderBy("line_no").collect()
+    assert [(r.description, r.quantity, r.price, r.customer_id) for r in rows] == [
+        ('a "big", red box', 2, 1.5, "17"), ("two\nlines", 3, 2.5, "18"), ("x", None, 2.5, "18")]
+    assert [r.malformed is None for r in rows] == [True, True, False]
+
+
 def test_catalog_first_existing_then_seed(spark, tmp_path):
     f = tmp_path / "c.json"
     f.write_text('[\n {"id": "p1", "name": "A", "desc": "d", "category": "c", "price": 3, "discount": 0},\n'
@@ -71,12 +82,22 @@ def test_catalog_first_existing_then_seed(spark, tmp_path):
     rows = catalog.load_catalog(spark, str(tmp_path / "none.json"), str(f)).orderBy("ordinal").collect()
     assert [(r.product_id, r.brand, r.rating, r.popularity, r.stock, r.discount) for r in rows] == [
         ("p1", "Generic", 3.5, 0.5, True, 0.0), ("p2", "Generic", 4.0, 0.5, False, 0.1)]
-    assert catalog.load_catalog(spark, str(tmp_path / "none.json")).count() == 10
+    assert catalog.load_catalog(spark, str(tmp_path / "none.json"), seed=True).count() == 10
+    with pytest.raises(FileNotFoundError):
+        catalog.load_catalog(spark, str(tmp_path / "none.json"))
     assert catalog.read_legacy_catalog(spark, str(f)).columns == ["product_id", "name", "desc", "category", "price", "ordinal"]
     out = str(tmp_path / "out")
     catalog.save_catalog(catalog.load_catalog(spark, str(f)), out, "parquet")
-    more = catalog.next_ordinals(spark.read.parquet(out), spark.createDataFrame([("p3",), ("p4",)], "product_id string"))
-    assert [r.ordinal for r in more.orderBy("product_id").collect()] == [2, 3]
+    more = catalog.next_ordinals(spark.read.parquet(out), spark.createDataFrame([("p4",), ("p3",)], "product_id string"))
+    first, second = [r.ordinal for r in more.orderBy("product_id").collect()]
+    assert 1 < first < second
+
+
+def test_catalog_of_several_files_keeps_their_order(spark, tmp_path):
+    for name, ids in (("b", "xyz"), ("a", "qr"), ("c", "k")):
+        (tmp_path / f"{name}.json").write_text("[" + ", ".join(f'{{"id": "{i}", "name": "{"n" * (50 if name == "a" else 1)}"}}' for i in ids) + "]")
+    rows = catalog.load_catalog(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert "".join(r.product_id for r in rows) == "qrxyzk"
 
 
 def test_artefacts_are_reused(spark, tmp_path):
@@ -93,8 +114,11 @@ def test_artefacts_are_reused(spark, tmp_path):
 
 
 def test_index_saved_and_loaded(spark, tmp_path):
-    cat = catalog.load_catalog(spark, str(tmp_path / "none"))
+    cat = catalog.load_catalog(spark, seed=True)
     ix = index.build_index(cat, stage, 5)
     artefacts.save_index(ix, str(tmp_path / "ix"))
-    again = artefacts.load_index(spark, str(tmp_path / "ix"), 5)
+    again = artefacts.load_index(spark, str(tmp_path / "ix"))
+    assert again.k == artefacts.load_index(spark, str(tmp_path / "ix"), 3).k == 5
+    with pytest.raises(ValueError):
+        artefacts.load_index(spark, str(tmp_path / "ix"), 6)
     assert again.postings.count() == ix.postings.count() and again.members.count() == 10

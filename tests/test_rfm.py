@@ -55,8 +55,12 @@ def test_label_and_rate(spark):
 
 @pytest.mark.parametrize("values", [
     [3.0], [1.0, 2.0], [5.0] * 7 + [9.0], list(np.random.default_rng(1).normal(0, 1e6, 500)),
-    list(np.random.default_rng(2).integers(0, 5, 300).astype(float)), [1e-9, 2e-9, 3e-9, 1e12, -1e12, 0.0]])
-def test_exact_quantiles(spark, values):
+    list(np.random.default_rng(2).integers(0, 5, 300).astype(float)), [1e-9, 2e-9, 3e-9, 1e12, -1e12, 0.0],
+    [float(x) for x in np.random.default_rng(3).uniform(0, 1e-4, 900)], [0.0] * 400 + [float(i) for i in range(300)]])
+@pytest.mark.parametrize("cuts,part", [(64, 100_000), (4, 20)])
+def test_exact_quantiles(spark, monkeypatch, values, cuts, part):
+    monkeypatch.setattr(quantiles, "CUTS", cuts)
+    monkeypatch.setattr(quantiles, "PART", part)
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double").repartition(4)
     probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
     got = {r.prob: r.value for r in quantiles.exact_quantiles(df, ["x"], probs).collect()}

@@ -65,20 +65,20 @@ def test_dense_topk(spark, qb, pb):
         assert got[i] == sorted(range(60), key=lambda j: (-sims[j], j))[:12]
 
 
-REQ = "request_id long, user_vector array<double>, weights map<string,double>, label string, confidence double"
+REQ = "request_id long, entries array<struct<fid:int,weight:double>>, weights map<string,double>, label string, confidence double"
 CAND = "request_id long, position int, product_id string, keyword_score double, semantic_score double, price double"
 
 
 def test_rerank_candidates(spark):
     req = spark.createDataFrame([
-        (1, [1.0, 0.0], None, "price_sensitive", .8), (2, [1.0], {"vector": 1.0}, None, None),
-        (3, [1.0, 0.0], None, "gift", .5), (4, [1.0, 0.0], None, "premium", 1.0)], REQ)
+        (1, [(0, 1.0)], None, "price_sensitive", .8), (2, [(0, 1.0)], {"vector": 1.0}, None, None),
+        (3, [(0, 1.0)], None, "gift", .5), (4, [(0, 1.0)], None, "premium", 1.0)], REQ)
     cand = spark.createDataFrame([
         (1, 0, "a", .5, None, 10.0), (1, 1, "b", .2, None, 30.0), (1, 2, "no", .9, None, None),
         (2, 0, "b", .4, .6, 5.0), (2, 1, "a", .4, .6, 5.0),
         (3, 0, "a", .4, .6, 5.0), (3, 1, "a", .3, None, 9.0), (4, 0, "a", .0, None, 7.0)], CAND)
-    vec = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 1.0])], "product_id string, vector array<double>")
-    rows = rerank_candidates(req, cand, vec).collect()
+    vec = spark.createDataFrame([("a", [(0, 2.0)]), ("b", [(1, 1.0)])], ENTRIES)
+    rows = rerank_candidates(req, cand, vec).orderBy("request_id", "rank").collect()
     by = {(r.request_id, r.position): r for r in rows}
     a, b, no = (by[1, i] for i in range(3))
     assert (a.cosine_score, a.vector_score, a.pricing_score, a.intent_score) == pytest.approx((1.0, .85, 1.0, .8))
