@@ -9,17 +9,15 @@ from cartwise import constants as K
 from cartwise.functions import scores
 
 GAP_MINUTES = 30
-VIEW_SECONDS = 0.997  # seconds on the page per unit of a view's value
-VALUE_SCALE = 487.0  # event value that counts as a full scroll or spend
 
 
-def _event_sums() -> dict[str, Column]:
-    """Sums that can be added up over parts of a session."""
+def _event_sums(view_seconds: float = 1.0) -> dict[str, Column]:
+    """Sums that can be added up over parts of a session. ``view_seconds`` on the page per unit of a view's value."""
     view, click, buy = (F.col("event_type") == t for t in ("view", "click", "purchase"))
     value = F.col("value")
     return {
         "views": F.count_if(view),
-        "view_seconds": F.sum(F.when(view, value * VIEW_SECONDS).otherwise(F.lit(0.0))),
+        "view_seconds": F.sum(F.when(view, value * view_seconds).otherwise(F.lit(0.0))),
         "clicks": F.count_if(click),
         "value_sum": F.sum(value),
         "value_n": F.count(value),
@@ -28,21 +26,22 @@ def _event_sums() -> dict[str, Column]:
     }
 
 
-def _signals(as_of: Column) -> list[Column]:
-    """Raw session features from the summed columns and ``last_ts``."""
+def _signals(as_of: Column, value_scale: float = 1.0) -> list[Column]:
+    """Raw session features from the summed columns and ``last_ts``. ``value_scale`` is a full scroll or spend."""
     hours = F.timestamp_diff("MICROSECOND", F.col("last_ts"), as_of) / 3.6e9
     zero = F.lit(0.0)
     return [
         F.col("views").cast("double").alias("product_visit_count"),
         F.col("view_seconds").alias("time_on_product_page"),
         F.col("clicks").cast("double").alias("cart_add_events"),
-        F.coalesce(F.try_divide("value_sum", "value_n") / VALUE_SCALE, zero).alias("scroll_depth"),
-        F.coalesce(F.try_divide("buy_sum", "buy_n") / VALUE_SCALE, zero).alias("avg_spend_score"),
+        F.coalesce(F.try_divide("value_sum", "value_n") / value_scale, zero).alias("scroll_depth"),
+        F.coalesce(F.try_divide("buy_sum", "buy_n") / value_scale, zero).alias("avg_spend_score"),
         hours.alias("session_recency"),
     ]
 
 
-def session_features(events: DataFrame, as_of: Column | None = None, gap_minutes: int = GAP_MINUTES) -> DataFrame:
+def session_features(events: DataFrame, as_of: Column | None = None, gap_minutes: int = GAP_MINUTES,
+                     view_seconds: float = 1.0, value_scale: float = 1.0) -> DataFrame:
     """One row per session: events of a user at most ``gap_minutes`` apart.
 
     Events are first summed per user and time slot as long as the gap. Two events of one slot always
@@ -56,7 +55,7 @@ def session_features(events: DataFrame, as_of: Column | None = None, gap_minutes
         events.withColumn("ts", ts)
         .groupBy("user_id", (us - F.pmod(us, F.lit(gap_us))).alias("slot"))
         .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-             *[c.alias(n) for n, c in _event_sums().items()])
+             *[c.alias(n) for n, c in _event_sums(view_seconds).items()])
     )
     by_user = Window.partitionBy("user_id").orderBy("slot")
     idle = F.timestamp_diff("MICROSECOND", F.lag("last_ts").over(by_user), F.col("first_ts"))
@@ -70,7 +69,7 @@ def session_features(events: DataFrame, as_of: Column | None = None, gap_minutes
     if as_of is None:
         as_of = events.agg(F.max("ts").cast("timestamp_ntz")).scalar()
     return summed.select("user_id", F.col("first_ts").alias("session_start"),
-                         F.col("last_ts").alias("session_end"), *_signals(as_of))
+                         F.col("last_ts").alias("session_end"), *_signals(as_of, value_scale))
 
 
 def normalize_signals(df: DataFrame) -> DataFrame:

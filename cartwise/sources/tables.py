@@ -107,6 +107,11 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select("user_id", "product_id", "weight")
 
 
+# what the values of events stand for. Round scales (1 and 500) would put many results of these two-digit
+# values exactly halfway between two roundings, where DuckDB's round and Spark's differ.
+EVENT_SCALES = {"view_seconds": 0.997, "value_scale": 487.0}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 

@@ -160,32 +160,32 @@ def churn_model_checks(spark, sf):
 
 @query
 def session_features(spark, sf):
-    s = sessions.session_features(T.events(spark, sf))
+    s = sessions.session_features(T.events(spark, sf), **T.EVENT_SCALES)
     return s.select("user_id", _text("session_start"), _text("session_end"), *[_r(c, 6) for c in scores.SIGNALS])
 
 
 @query
 def normalized_signals(spark, sf):
-    s = sessions.normalize_signals(sessions.session_features(T.events(spark, sf)))
+    s = sessions.normalize_signals(sessions.session_features(T.events(spark, sf), **T.EVENT_SCALES))
     return s.select("user_id", _text("session_start"), *[_r(c, 9) for c in scores.SIGNALS])
 
 
 @query
 def intent_score(spark, sf):
-    s = sessions.intent_score(sessions.session_features(T.events(spark, sf)))
+    s = sessions.intent_score(sessions.session_features(T.events(spark, sf), **T.EVENT_SCALES))
     return s.select("user_id", _text("session_start"), "intent_score", "score_bucket", "dominant_signal",
                     *sessions.contribution_columns(s))
 
 
 @query
 def intent_bucket_counts(spark, sf):
-    s = sessions.intent_score(sessions.session_features(T.events(spark, sf)))
+    s = sessions.intent_score(sessions.session_features(T.events(spark, sf), **T.EVENT_SCALES))
     return sessions.bucket_counts(s).withColumn("mean_score", F.round("mean_score", 2))
 
 
 @query
 def session_intent_stream(spark, sf):
-    s = streams.run_to_table(live.live_sessions(streams.finite(spark, sf, "events", "ts")), "live-sessions")
+    s = streams.run_to_table(live.live_sessions(streams.finite(spark, sf, "events", "ts"), **T.EVENT_SCALES), "live-sessions")
     return s.select("user_id", _text("session_start"), "intent_score", "score_bucket", "dominant_signal")
 
 
