@@ -33,7 +33,7 @@ RULES = {
     "repeated_words": ("1000 * n_repeat_words / n_words", 300),
     "word_length": ("10 * word_chars / n_words", 120),
 }
-RISK = 0.01
+RISK = 0.02
 ERROR = 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
 

@@ -45,7 +45,7 @@ def test_cutoffs_follow_the_binomial_bound(spark):
     cut = {(r.stratum, r.rule): r for r in quality_rules.calibrate(measured, labels).collect()}
     row = cut["en", "symbols"]
     error = quality_rules.ERROR / 10
-    below = lambda k: sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1))
+    below = lambda k: sum(math.comb(n, i) * quality_rules.RISK**i * (1 - quality_rules.RISK) ** (n - i) for i in range(k + 1))
     assert row.n_good == n and below(row.allowed) <= error < below(row.allowed + 1)
     assert row.cutoff == 100  # 100 good documents have 50, more than allowed; the floor is higher
     assert cut["fr", "symbols"].cutoff is None and cut["fr", "symbols"].allowed == -1
