@@ -29,7 +29,7 @@ from cartwise.session import stage
 RULES = {
     "symbols": ("1000 * n_symbols / n_words", 100),
     "capitals": ("1000 * n_capitals / word_chars", 300),
-    "repeated_lines": ("1000 * n_dup_lines / n_lines", 300),
+    "repeated_lines": ("1000 * n_dup_lines / n_lines", 500),
     "repeated_words": ("1000 * n_repeat_words / n_words", 300),
     "word_length": ("10 * word_chars / n_words", 120),
 }
