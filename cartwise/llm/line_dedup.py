@@ -49,7 +49,6 @@ _CHARS_AT_ONCE = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_MASKS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
 _ROW_FACTORS = _RNG.integers(0, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,16 +60,19 @@ def line_id(line: str) -> int:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """Bucket keys (BANDS x lines) of lines of at least SHINGLE characters."""
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = chars + np.uint64(1)
-    base, width = 0x100000001B3, 1
+    base, width = 0x01000193, 1
     while width < SHINGLE:  # a hash of 2, 4, 8 characters from two of half the length
-        h = h[:-width] * np.uint64(base) + h[width:]
-        base, width = base * base % (1 << 64), width * 2
-    ends = np.cumsum(sizes)
-    inside = np.repeat(ends, sizes)[:len(h)] - np.arange(len(h)) >= SHINGLE
-    x = ((h[inside] * _ODD) >> np.uint64(32)).astype(np.uint32)
+        h = h[:-width] * np.uint32(base) + h[width:]
+        base, width = base * base % (1 << 32), width * 2
+    h ^= h >> np.uint32(16)  # mixed, so that an odd factor permutes it well enough
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    inside = np.ones(len(h), bool)  # not the places where a shingle would run into the next line
+    over = np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)
+    inside[over.ravel()] = False
+    x = h[inside]
     counts = sizes - SHINGLE + 1
     starts = np.cumsum(counts) - counts
     keys = np.empty((BANDS, len(lines)), np.uint64)
@@ -79,8 +81,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
         key = np.full(len(lines), band + 1, np.uint64) * _ODD
         for r in range(ROWS):
             i = band * ROWS + r
-            np.bitwise_xor(x, _MASKS[i], out=v)
-            np.multiply(v, _FACTORS[i], out=v)
+            np.multiply(x, _FACTORS[i], out=v)
             key = (key ^ (key >> np.uint64(31))) * _ROW_FACTORS[r] + np.minimum.reduceat(v, starts).astype(np.uint64)
         keys[band] = (key ^ (key >> np.uint64(29))) * _ODD
     return keys.view(np.int64)
