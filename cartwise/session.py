@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_folder: ContextVar[str] = ContextVar("folder", default="")
 _own_folders: dict[str, str] = {}  # per application, where none is named
 
 
@@ -49,7 +53,25 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/cartwise/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_root(spark)}/cartwise/{app}/{_folder.get()}{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """Tables staged within this block lie in one folder, whose path is given, so that ``remove`` can drop them together."""
+    name = f"{label}-{uuid.uuid4().hex[:12]}/"
+    path = shared_path(spark, "x").rsplit("/", 1)[0] + "/" + name
+    token = _folder.set(_folder.get() + name)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table or a scratch folder. Frames that still read it fail from then on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
