@@ -162,23 +162,34 @@ def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return _classes(docs.select(F.struct(F.col(key)).alias("_row"), F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp")))
 
 
-def _classes(printed: DataFrame) -> DataFrame:
-    printed = stage(printed, "fingerprints")
+def _print_classes(printed: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of ``printed`` (fp, _key)."""
     least = stage(printed.groupBy("fp").agg(F.min("_key").alias("least")), "distinct-fingerprints")
     roots = components(stage(near_links(least.select("fp")), "links")).withColumnRenamed("node", "fp")
     rooted = stage(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
+    return stage(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
+
+
+def _classes(printed: DataFrame) -> DataFrame:
+    printed = stage(printed, "fingerprints")
+    classes = _print_classes(printed.select("fp", "_key"))
     digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return unpack(printed.join(classes, "fp"), digits("fp").alias("fingerprint"), "component_id", digits("root").alias("class_print"))
 
 
-def keep_one(classed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, of its least id. Of several rows with that id, the one of least text hash stays.
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: of its least id (nulls last), then of the least fingerprint and text hash.
 
-    Rows of other ids go before anything is grouped, and a rank limit leaves one row a class and task, so
-    a large class is no burden on one task.
+    Which row stays is decided on ids and fingerprints alone; rows are shuffled once, to pick it.
     """
-    first = classed.filter(F.col(key).eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy("class_print").orderBy(F.xxhash64(text), F.xxhash64(*[F.col(f"`{c}`") for c in classed.columns if c != text]))
-    return first.select(F.struct("*").alias("_all"), F.row_number().over(one).alias("_n")).filter("_n = 1").select("_all.*")
+    printed = stage(docs.select(pack(docs), F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp"), F.xxhash64(text).alias("_hash")), "fingerprints")
+    slim = printed.select("fp", "_key", "_hash")
+    classes = _print_classes(slim)
+    order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("id"), "fp", "_hash")
+    first = slim.join(classes, "fp").groupBy("root").agg(F.min(order).alias("o")).select(
+        F.col("o.fp").alias("_fp"), F.col("o.id").alias("_id"), F.col("o._hash").alias("_first"))
+    same = (F.col("fp") == F.col("_fp")) & F.col("_key").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_first"))
+    # rows that repeat id and text: a rank limit leaves one a task before the shuffle, and one after it
+    one = Window.partitionBy("fp", "_key", "_hash").orderBy(F.xxhash64("_row"))
+    return unpack(printed.join(first, same, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1"))

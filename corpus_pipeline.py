@@ -7,7 +7,8 @@
 5. ``packing``: documents become sequences of 2048 tokens.
 
 Each stage takes the documents that the one before it kept. All but the last return the columns of
-``documents``; ``n_chars`` follows the text.
+``documents``; ``n_chars`` follows the text. The result of a stage has to be written before the next
+stage is called: tables that a stage has staged for itself are removed then.
 """
 
 from __future__ import annotations
@@ -16,28 +17,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.llm import line_dedup, packing, poisson_mix, quality_rules, simhash
-from cartwise.session import stage
+from cartwise.session import remove, scratch, stage
 
+_used: dict[str, str] = {}  # application -> scratch folder of its latest stage
 
+
+def own_tables(step):
+    """A stage whose staged tables go when the next stage begins, for then its result has been written."""
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        if app in _used:
+            remove(spark, _used.pop(app))
+        with scratch(spark, step.__name__) as folder:
+            out = step(spark, docs, sf_dir)
+        _used[app] = folder
+        return out
+
+    return wrapped
+
+
+@own_tables
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     measured = stage(quality_rules.measure(docs), "measured")
     cutoffs = quality_rules.calibrate(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.judge(measured, cutoffs).filter("kept").select(*docs.columns)
 
 
+@own_tables
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(docs).filter("n_dropped = 0 or n_dropped < n_lines")
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@own_tables
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(simhash.near_duplicates(docs)).select(*docs.columns)
+    return simhash.drop_near_duplicates(docs).select(*docs.columns)
 
 
+@own_tables
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(docs, poisson_mix.tempered_targets(docs)).select(*docs.columns)
 
 
+@own_tables
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 

@@ -76,9 +76,12 @@ def test_classes(docs, clashing, empty):
     for df in (docs, clashing):
         got = simhash.near_duplicates(df)
         assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == expect
-        assert simhash.keep_one(got).count() == len(set(want))
+        kept = simhash.drop_near_duplicates(df)
+        assert kept.columns == df.columns
+        first = {r: min((rows[i].doc_id is None, rows[i].doc_id or 0, prints[i] - (prints[i] >> 63 << 64)) for i, w in enumerate(want) if w == r) for r in want}
+        assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == Counter(f[:2] for f in first.values())
         assert Counter(tuple(r) for r in simhash.fingerprint_table(df).select("doc_id", "fingerprint", "component_id").collect()) == expect
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
 def test_components_of_paths_stars_and_loops(spark):
