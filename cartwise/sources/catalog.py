@@ -49,39 +49,46 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _in_order(df: DataFrame) -> DataFrame:
-    """Number the products as they stand in the files: files by name, then rows within the file.
+    """Number the products as they stand in the files: files by name, blocks of a file, then rows.
 
-    Rows of a file are in one task (an array of JSON cannot be split), whose counter gives their order.
-    Only the list of file names is ordered in one place.
+    A block is read by one task, whose counter gives the order of its rows. Only the list of files and
+    blocks is ordered in one place.
     """
-    placed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    files = placed.select("_file").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
-    numbered = placed.join(files, "_file").withColumn("ordinal", F.shiftleft("_nth", 33) + F.col("_row"))
-    return numbered.drop("_file", "_row", "_nth").withColumnRenamed("id", "product_id")
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = df.withColumn("_block", block).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    blocks = placed.select("_block").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("_block")).cast("long") - 1)
+    numbered = placed.join(blocks, "_block").withColumn("ordinal", F.shiftleft("_nth", 33) + F.col("_row"))
+    return numbered.drop("_block", "_row", "_nth").withColumnRenamed("id", "product_id")
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _in_order(spark.read.option("multiLine", True).schema(schema).json(path))
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    """``fmt``: json (one array a file, which one task reads), jsonl (a product a line) or parquet."""
+    if fmt == "parquet":
+        return _in_order(spark.read.schema(schema).parquet(path))
+    return _in_order(spark.read.option("multiLine", fmt == "json").schema(schema).json(path))
 
 
-def read_legacy_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of id, name, desc, category and price."""
-    return _read(spark, path, LEGACY_SCHEMA)
+def read_legacy_catalog(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """id, name, desc, category and price."""
+    return _read(spark, path, LEGACY_SCHEMA, fmt)
 
 
-def load_catalog(spark: SparkSession, *paths: str, seed: bool = False) -> DataFrame:
+def load_catalog(spark: SparkSession, *paths: str, seed: bool = False, fmt: str = "json") -> DataFrame:
     """The first of ``paths`` that exists; missing fields get defaults. The seed catalogue only where asked for."""
     for path in paths:
         if _exists(spark, path):
-            return with_catalog_defaults(_read(spark, path, CATALOG_SCHEMA))
+            return with_catalog_defaults(_read(spark, path, CATALOG_SCHEMA, fmt))
     if not seed:
         raise FileNotFoundError(f"no catalogue at {', '.join(paths)}")
     raw = spark.createDataFrame([(i, *row) for i, row in enumerate(SEED)], f"ordinal long, {_SEED_SCHEMA}")
     return with_catalog_defaults(raw.withColumnRenamed("id", "product_id"))
 
 
-def save_catalog(products: DataFrame, path: str, fmt: str = "json") -> None:
-    products.write.mode("overwrite").format(fmt).save(path)
+def save_catalog(products: DataFrame, path: str, fmt: str = "jsonl") -> None:
+    """Products with the names of the catalogue schema, as jsonl or parquet."""
+    named = products.withColumnRenamed("product_id", "id")
+    kept = named.select(*[F.col(f.name).cast(f.dataType) for f in CATALOG_SCHEMA if f.name in named.columns])
+    kept.write.mode("overwrite").format("json" if fmt == "jsonl" else fmt).save(path)
 
 
 def next_ordinals(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -78,6 +78,10 @@ ORACLE["transaction_summary"] = _with(TX, CLEAN) + """
 SELECT count(*) AS transactions, count(DISTINCT customer_id) AS customers,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM clean"""
 
+ORACLE["transactions_csv"] = _with(TX) + """
+SELECT customer_id, count(*) AS n_rows, sum(quantity)::BIGINT AS quantity, round(sum(price), 2) AS price_sum,
+  max(length('part "' || stock_code || '", boxed in two lines')) AS longest, 0 AS malformed,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM tx GROUP BY customer_id"""
 ORACLE["rfm_features"] = _with(*_RFM) + """
 SELECT customer_id, d AS days_since_last_purchase, o AS total_order_count, round(v, 6) AS avg_order_value FROM rfm"""
 
@@ -384,6 +388,11 @@ earlier AS (SELECT product_id, CASE WHEN product_id % 7 = 0 THEN concat_ws(' ',
     "vocab AS (SELECT * FROM vd UNION ALL SELECT * FROM vs)", _tokens("c", "products", "product_id"), _terms("c", "product_id", 2))
 ORACLE["index_update_search"] = _with(*_EARLIER, *RETRIEVED[len(VOCABS):]) + """
 SELECT query_id, product_id, retrieval_rank, round(dense_sim, 6) AS dense_sim, round(sparse_score, 6) AS sparse_score FROM retrieved"""
+ORACLE["catalog_files"] = _with(PRODUCTS) + """
+SELECT fmt, product_id, name, category, CASE WHEN product_id % 9 <> 0 THEN brand ELSE 'Generic' END AS brand, price, rating, stock,
+  round(discount, 4) AS discount FROM products, (VALUES ('jsonl'), ('parquet')) f(fmt)"""
+ORACLE["index_file_search"] = _with(*RETRIEVED) + """
+SELECT query_id, product_id, retrieval_rank, round(dense_sim, 6) AS dense_sim FROM retrieved WHERE retrieval_rank <= 20"""
 ORACLE["external_candidates_topk"] = """
 SELECT l_suppkey AS query_id, l_orderkey * 8 + l_linenumber AS product_id,
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 8 + l_linenumber) AS retrieval_rank,

@@ -15,7 +15,8 @@ from cartwise.operators import retrieval, rfm, sessions, tfidf, upsert, user_vec
 from cartwise.operators.rerank_candidates import rerank_candidates
 from cartwise.plans import churn_training, embedding, search as search_plan
 from cartwise.session import shared_path, stage
-from cartwise.sources import tables as T
+from cartwise.sources import artefacts, catalog, tables as T
+from cartwise.sources.transactions import read_transactions_csv
 from cartwise.streaming import product_vectors, sessions as live, sources as streams
 
 REGISTRY: dict = {}
@@ -51,6 +52,46 @@ def transaction_summary(spark, sf):
     return s.select("transactions", "customers", _text("first_ts"), _text("last_ts"))
 
 
+@query
+def transactions_csv(spark, sf):
+    """The transactions written as CSV, with descriptions of quotes, commas and line breaks, and read back."""
+    path = shared_path(spark, "transactions-csv")
+    tx = T.transactions(spark, sf)
+    described = F.concat(F.lit('part "'), "stock_code", F.lit('", boxed\nin two lines'))
+    tx.select(F.col("invoice").cast("string").alias("Invoice"), F.col("stock_code").cast("string").alias("StockCode"), described.alias("Description"),
+              F.col("quantity").cast("int").alias("Quantity"), F.col("invoice_ts").cast("timestamp_ntz").alias("InvoiceDate"), F.col("price").alias("Price"),
+              F.col("customer_id").cast("string").alias("Customer ID"), F.lit("none").alias("Country")
+              ).write.options(header=True, quote='"', escape='"').csv(path)
+    back = read_transactions_csv(spark, path)
+    return back.groupBy(F.col("customer_id").cast("long").alias("customer_id")).agg(
+        F.count("*").alias("n_rows"), F.sum("quantity").alias("quantity"), F.round(F.sum("price"), 2).alias("price_sum"),
+        F.max(F.length("description")).cast("long").alias("longest"), F.count("malformed").alias("malformed"),
+        F.date_format(F.max("invoice_ts"), "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
+
+
+@query
+def catalog_files(spark, sf):
+    """The catalogue written as lines of JSON and as Parquet, and read back with defaults."""
+    products = stage(T.products(spark, sf).withColumn("brand", F.when(F.col("product_id") % 9 != 0, F.col("brand"))), "products")
+    out = None
+    for fmt in ("jsonl", "parquet"):
+        path = shared_path(spark, f"catalog-{fmt}")
+        catalog.save_catalog(products, path, fmt)
+        rows = catalog.load_catalog(spark, path, fmt=fmt).select(
+            F.lit(fmt).alias("fmt"), F.col("product_id").cast("long").alias("product_id"), "name", "category", "brand", "price", "rating", "stock", _r("discount", 4))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def index_file_search(spark, sf):
+    """An index written to files and read back."""
+    path = shared_path(spark, "index")
+    artefacts.save_index(index.build_index(_catalog(spark, sf), stage, 20), path)
+    out = retrieval.hybrid_retrieve(T.search_requests(spark, sf), artefacts.load_index(spark, path, 20))
+    return out.select("query_id", "product_id", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), _r("dense_sim", 6))
+
+
 @query
 def rfm_features(spark, sf):
     return _rfm(spark, sf).select("customer_id", "days_since_last_purchase", "total_order_count", _r("avg_order_value", 6))

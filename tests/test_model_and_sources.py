@@ -88,7 +88,7 @@ def test_catalog_first_existing_then_seed(spark, tmp_path):
     assert catalog.read_legacy_catalog(spark, str(f)).columns == ["product_id", "name", "desc", "category", "price", "ordinal"]
     out = str(tmp_path / "out")
     catalog.save_catalog(catalog.load_catalog(spark, str(f)), out, "parquet")
-    more = catalog.next_ordinals(spark.read.parquet(out), spark.createDataFrame([("p4",), ("p3",)], "product_id string"))
+    more = catalog.next_ordinals(catalog.load_catalog(spark, out, fmt="parquet"), spark.createDataFrame([("p4",), ("p3",)], "product_id string"))
     first, second = [r.ordinal for r in more.orderBy("product_id").collect()]
     assert 1 < first < second
 
