@@ -9,6 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwise.session import stage
+
 BLOCK_ROWS = 4096
 SCORE_DIGITS = 9
 
@@ -28,6 +30,10 @@ def pool_nested(df: DataFrame, nested: str, dim: int) -> DataFrame:
     return df.withColumn(nested, F.when(n > 0, F.transform(total, lambda x: F.try_divide(x, n))).otherwise(zero))
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     length[length == 0] = 1.0
@@ -40,7 +46,7 @@ def _best_of_block(k: int):
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "ordinal": [], "score": []})
         right = right.sort_values("ordinal")
-        sims = _unit(np.stack(left["vector"].to_numpy())) @ _unit(np.stack(right["vector"].to_numpy())).T
+        sims = _unit(_matrix(left["vector"])) @ _unit(_matrix(right["vector"])).T
         sims = np.maximum(np.round(sims, SCORE_DIGITS), 0.0)
         # stable, so equal scores keep catalogue order
         top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
@@ -65,13 +71,13 @@ def dense_topk(queries: DataFrame, products: DataFrame, k: int, query_blocks: in
     into blocks of about ``BLOCK_ROWS`` by hash, every pair of blocks is multiplied in one task and hands on only ``k`` rows
     per query, so pairs are never materialised. Negative cosines count as 0.
     """
+    queries = stage(queries.select("query_id", "vector"), "dense-queries")
     query_blocks = query_blocks or _blocks(queries)
     product_blocks = product_blocks or _blocks(products)
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vec = F.col("vector").cast("array<double>").alias("vector")
-    left = queries.select("query_id", vec, block("query_id", query_blocks).alias("qb"), every(product_blocks).alias("pb"))
-    right = products.select("ordinal", vec, block("ordinal", product_blocks).alias("pb"), every(query_blocks).alias("qb"))
+    left = queries.select("query_id", "vector", block("query_id", query_blocks).alias("qb"), every(product_blocks).alias("pb"))
+    right = products.select("ordinal", "vector", block("ordinal", product_blocks).alias("pb"), every(query_blocks).alias("qb"))
     parts = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(
         _best_of_block(k), "query_id long, ordinal long, score double"
     )

@@ -67,9 +67,8 @@ def churn_rate(labelled: DataFrame) -> DataFrame:
 def quantile_transform(df: DataFrame, refs: DataFrame, columns: list[str], n: int = 100) -> DataFrame:
     """Replace every column by its position among the reference quantiles of ``quantile_refs``."""
     held = {c: f"_refs_{c}" for c in columns}
-    with_refs = df.withColumns({
-        h: refs.filter(F.col("feature") == c).select("refs").scalar() for c, h in held.items()
-    })
+    one_row = refs.agg(*[F.max(F.when(F.col("feature") == c, F.col("refs"))).alias(h) for c, h in held.items()])
+    with_refs = df.join(F.broadcast(one_row))
     return with_refs.withColumns({
         c: scores.quantile_score(F.col(c).cast("double"), F.col(h), n) for c, h in held.items()
     }).drop(*held.values())

@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.functions.scores import SIGNALS
+
 Rule = tuple[str, Column]
 
 
+def _typed(name: str, kind: str) -> Column:
+    """The field as its type; null if it is not of it. A fraction is no whole number."""
+    value = F.col(name).try_cast(kind)
+    if kind in ("int", "bigint"):
+        value = F.when(F.col(name).try_cast("double") == value, value)
+    return value
+
+
 def required(name: str, kind: str) -> Rule:
     """A typed field that has to be there."""
-    return f"{name}:{kind}", F.col(name).try_cast(kind).isNotNull()
+    return f"{name}:{kind}", _typed(name, kind).isNotNull()
+
+
+def present(name: str) -> Rule:
+    """A field of a nested type that has to be there."""
+    return f"{name}:required", F.col(name).isNotNull()
+
+
+def optional(name: str, kind: str) -> Rule:
+    return f"{name}:{kind}?", F.col(name).isNull() | _typed(name, kind).isNotNull()
+
+
+def each(name: str, *fields: str) -> Rule:
+    """An array of structs, each with all the fields given."""
+    whole = F.forall(name, lambda x: reduce(lambda a, b: a & b, [x[f].isNotNull() for f in fields]))
+    return f"{name}:{','.join(fields)}", F.coalesce(whole, F.lit(False))
 
 
 def optional_between(name: str, kind: str, low, high) -> Rule:
     """A field that, where given, is of the type and in the closed range."""
-    value = F.col(name).try_cast(kind)
+    value = _typed(name, kind)
     return f"{name}:{low}..{high}", F.col(name).isNull() | F.coalesce(value.between(low, high), F.lit(False))
 
 
@@ -35,6 +62,25 @@ def search_request_rules() -> list[Rule]:
     ]
 
 
+def intent_request_rules() -> list[Rule]:
+    return [optional(n, "double") for n in SIGNALS]
+
+
+def product_embed_rules() -> list[Rule]:
+    return [required("product_id", "string"), required("name", "string")]
+
+
+def user_vector_rules() -> list[Rule]:
+    return [present("recent_product_ids"),
+            ("weights:double?", F.coalesce(F.forall("weights", lambda w: w.isNotNull()), F.lit(True)))]
+
+
+def rerank_request_rules() -> list[Rule]:
+    intent = F.col("search_intent")
+    return [present("user_vector"), each("candidates", "product_id", "keyword_score"),
+            ("search_intent:label,confidence", intent.isNull() | (intent["label"].isNotNull() & intent["confidence"].isNotNull()))]
+
+
 def check(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``reason``: the first rule a row breaks, null for valid rows."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for reason, ok in rules]

@@ -512,3 +512,21 @@ SELECT strftime(date_trunc('hour', o_orderdate), '%Y-%m-%d %H:%M:%S') AS window_
   CASE WHEN p_size % 10 <> 0 THEN 'cache_hit' ELSE 'cache_miss' END AS label, count(*) AS increments,
   round(count(*) / 3600.0::DOUBLE, 6) AS per_second
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"""
+
+ORACLE["success_ratio_stream"] = ORACLE["success_error_ratio"]
+ORACLE["recent_product_arrays"] = """
+WITH placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i,
+  count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+used AS (SELECT *, CASE WHEN l_orderkey % 3 = 2 THEN 1.0 ELSE l_quantity END::DOUBLE AS w FROM placed WHERE l_orderkey % 3 <> 0 OR i < n)
+SELECT l_orderkey AS user_id, count(*) AS n_products, sum(w) AS weight_sum, sum(l_partkey * w) AS weighed_ids FROM used GROUP BY 1"""
+ORACLE["malformed_by_endpoint"] = """
+WITH e AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+broken AS (
+  SELECT 'churn' AS endpoint, CASE WHEN value IS NULL OR value <> trunc(value) THEN 'days_since_last_purchase:bigint' WHEN k IS NULL THEN 'total_order_count:bigint'
+    WHEN event_type = 'error' THEN 'avg_order_value:double' END AS reason FROM e UNION ALL
+  SELECT 'intent', CASE WHEN event_type = 'error' THEN 'scroll_depth:double?' END FROM e UNION ALL
+  SELECT 'product_embed', CASE WHEN event_type = 'signup' THEN 'name:string' END FROM e UNION ALL
+  SELECT 'user_vector', CASE WHEN event_type = 'view' THEN 'recent_product_ids:required' WHEN event_type = 'error' THEN 'weights:double?' END FROM e UNION ALL
+  SELECT 'rerank', CASE WHEN event_type = 'view' THEN 'user_vector:required' WHEN event_type = 'error' THEN 'candidates:product_id,keyword_score'
+    WHEN event_type = 'signup' THEN 'search_intent:label,confidence' END FROM e)
+SELECT endpoint, reason, count(*) AS n_rows FROM broken WHERE reason IS NOT NULL GROUP BY ALL"""

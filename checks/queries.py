@@ -330,6 +330,18 @@ def user_vectors_recent(spark, sf):
         "user_id", F.col("fid").cast("long").alias("pos"), _r("x", 6))
 
 
+@query
+def recent_product_arrays(spark, sf):
+    """Orders as user vector requests: without weights, with a weight too few, or with all."""
+    lines = T.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
+        F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("xs"))
+    weights = F.transform("xs", lambda x: x["l_quantity"].cast("double"))
+    given = F.when(F.col("l_orderkey") % 3 == 0, F.slice(weights, F.lit(1), F.size("xs") - 1)).when(F.col("l_orderkey") % 3 == 1, weights)
+    requests = lines.select(F.col("l_orderkey").alias("user_id"), F.transform("xs", lambda x: x["l_partkey"]).alias("recent_product_ids"), given.alias("weights"))
+    return user_vectors.recent_products(requests).groupBy("user_id").agg(
+        F.count("*").alias("n_products"), F.sum("weight").alias("weight_sum"), F.sum(F.col("product_id") * F.col("weight")).alias("weighed_ids"))
+
+
 @query
 def missing_vector_ids(spark, sf):
     items = T.interactions(spark, sf).withColumn("endpoint", F.lit("/ml/user-vector"))
@@ -491,6 +503,32 @@ def validate_rows(spark, sf):
     return _checked(spark, sf).select("event_id", "reason")
 
 
+@query
+def malformed_by_endpoint(spark, sf):
+    """Every other request shape, filled from events: values that are no whole numbers, texts for numbers, gaps."""
+    e = T.events(spark, sf)
+    kind = F.col("event_type")
+    shapes = {
+        "churn": (e.select(F.col("value").alias("days_since_last_purchase"), F.get_json_object("props", "$.k").alias("total_order_count"),
+                           F.when(kind != "error", F.col("value")).alias("avg_order_value")), validate.churn_request_rules()),
+        "intent": (e.select(*[F.when(kind == "error", "n/a").otherwise(F.col("value").cast("string")).alias(n) if n == "scroll_depth"
+                              else F.lit(None).cast("string").alias(n) for n in scores.SIGNALS]), validate.intent_request_rules()),
+        "product_embed": (e.select(F.col("event_id").cast("string").alias("product_id"), F.when(kind != "signup", kind).alias("name")),
+                          validate.product_embed_rules()),
+        "user_vector": (e.select(F.when(kind != "view", F.array(F.col("event_id").cast("string"))).alias("recent_product_ids"),
+                                 F.when(kind != "click", F.array(F.when(kind != "error", F.col("value")))).alias("weights")), validate.user_vector_rules()),
+        "rerank": (e.select(F.when(kind != "view", F.array("value")).alias("user_vector"), F.array(F.struct(
+            F.col("event_id").alias("product_id"), F.when(kind != "error", F.col("value")).alias("keyword_score"))).alias("candidates"),
+            F.when(kind != "click", F.struct(kind.alias("label"), F.when(kind != "signup", 0.5).alias("confidence"))).alias("search_intent")),
+            validate.rerank_request_rules()),
+    }
+    out = None
+    for endpoint, (rows, rules) in shapes.items():
+        counts = validate.reason_counts(validate.check(rows, rules)).select(F.lit(endpoint).alias("endpoint"), "reason", "n_rows")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 @query
 def malformed_by_reason(spark, sf):
     return validate.reason_counts(_checked(spark, sf))
@@ -564,6 +602,16 @@ def traffic_rate_stream(spark, sf):
     return out.select(_text("window_start"), "path", "requests", _r("per_second", 6))
 
 
+@query
+def success_ratio_stream(spark, sf):
+    """Shares of success and error as a stream."""
+    key = F.get_json_object("props", "$.k").try_cast("bigint")
+    status = F.when(F.col("event_type") == "error", 500).when((F.col("event_type") == "signup") & (key % 7 == 0), 422).otherwise(200)
+    log = streams.finite(spark, sf, "events", "ts").withWatermark("ts", "10 minutes").select("ts", status.alias("status"))
+    out = streams.run_to_table(logstats.ratios(log), "ratios")
+    return out.select(_text("window_start"), _r("success_ratio", 6), _r("error_ratio", 6))
+
+
 @query
 def log_filter(spark, sf):
     """Log lines of one service with problems; event types and order priorities stand for the text."""

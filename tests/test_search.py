@@ -134,3 +134,16 @@ def test_external_candidates(spark):
     df = spark.createDataFrame([(1, i, float(i % 3)) for i in range(9)], "query_id long, product_id long, score double")
     out = retrieval.external_candidates(df, 4).orderBy("retrieval_rank").collect()
     assert [r.product_id for r in out] == [2, 5, 8, 1] and {r.sparse_score for r in out} == {0.0}
+
+
+def test_updated_index_equals_a_new_one(spark, products, queries):
+    now = products
+    then = stage(now.filter("ordinal % 4 <> 1").withColumn("name", F.when(F.col("ordinal") % 6 == 0, F.lit("brand ring")).otherwise(F.col("name"))), "then")
+    old = index.build_index(then, stage, 7)
+    changed = now.filter("ordinal % 4 = 1 or ordinal % 6 = 0").select("product_id")
+    updated = index.update_index(old, then, now, changed, stage)
+    fresh = index.build_index(now, stage, 7, vocab=old.vocab)
+    for name in ("members", "postings", "bounds"):
+        a, b = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in getattr(ix, name).select(*getattr(fresh, name).columns).collect())
+                for ix in (updated, fresh))
+        assert a == b, name

@@ -105,3 +105,14 @@ def test_row_contracts(spark):
     assert [r.k for r in parsed.collect()] == [3, None, None]
     churn = W.check(spark.createDataFrame([("1", "2", "3"), ("1", "2", "x")], "days_since_last_purchase string, total_order_count string, avg_order_value string"), W.churn_request_rules())
     assert [r.reason for r in churn.collect()] == [None, "avg_order_value:double"]
+
+
+def test_whole_numbers_and_nested_shapes(spark):
+    rows = spark.createDataFrame([(2.0,), (2.5,), (None,)], "days_since_last_purchase double").selectExpr("*", "1 AS total_order_count", "1.5 AS avg_order_value")
+    assert [r.reason for r in W.check(rows, W.churn_request_rules()).orderBy("days_since_last_purchase").collect()] == [
+        "days_since_last_purchase:bigint", None, "days_since_last_purchase:bigint"]
+    shape = ("user_vector array<double>, candidates array<struct<product_id:string,keyword_score:double>>, "
+             "search_intent struct<label:string,confidence:double>")
+    rows = spark.createDataFrame([([1.0], [("a", .5)], None), (None, [], None), ([], [("a", None)], None), ([], None, None), ([], [], ("x", None))], shape)
+    assert [r.reason for r in W.check(rows.coalesce(1), W.rerank_request_rules()).collect()] == [
+        None, "user_vector:required", "candidates:product_id,keyword_score", "candidates:product_id,keyword_score", "search_intent:label,confidence"]
