@@ -28,6 +28,7 @@ FOLDS = 5
 C_TRAINED = 0.1
 C_FALLBACK = 1.0
 SHUFFLE_BINS = 1024
+BIN_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -65,9 +66,10 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = FOLDS) ->
     """Add ``fold`` 0..folds-1, equally filled within each class.
 
     Rows of a class are numbered in the order of a hash of their key: per hash bin in parallel,
-    after the number of rows in earlier bins. There are ``SHUFFLE_BINS`` bins per class.
+    after the number of rows in earlier bins. A bin holds about ``BIN_ROWS`` rows at most.
     """
-    binned = df.withColumn("_h", F.xxhash64(key)).withColumn("_bin", F.pmod("_h", F.lit(SHUFFLE_BINS)))
+    bins = max(SHUFFLE_BINS, -(-df.count() // BIN_ROWS))
+    binned = df.withColumn("_h", F.xxhash64(key)).withColumn("_bin", F.pmod("_h", F.lit(bins)))
     before = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = binned.groupBy(label, "_bin").agg(F.count("*").alias("n")).select(
         label, "_bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")

@@ -15,6 +15,8 @@ def live_sessions(events: DataFrame, lateness: str = "1 hour", gap_minutes: int
     Recency is measured at the end of the session window. Sessions still open when a stream stops
     are not emitted; a finite one needs a closing row (``sources.finite``). ``events.ts`` has to be a timestamp with time zone semantics.
     """
+    # sessions of a user are merged where they were read first, so a busy user sends few rows
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = (
         events.withWatermark("ts", lateness)
         .groupBy("user_id", F.session_window("ts", f"{gap_minutes} minutes").alias("w"))
