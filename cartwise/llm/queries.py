@@ -103,6 +103,37 @@ def op10_url_templates(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
 
 
+ORACLE["op1_quality_rules"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g,
+  unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
+often AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM often WHERE c > 1) GROUP BY 1),
+m AS (SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+long AS (SELECT doc_id, lang, unnest(['symbols', 'capitals', 'repeated_lines', 'repeated_words', 'word_length']) AS rule, unnest([
+  1000 * n_symbols / nullif(n_words, 0), 1000 * n_capitals / nullif(word_chars, 0), 1000 * n_dup_lines / nullif(n_lines, 0),
+  1000 * n_repeat_words / nullif(n_words, 0), 10 * word_chars / nullif(n_words, 0)]) AS v FROM m),
+vals AS (SELECT doc_id, lang, rule, trunc(least(1000, coalesce(v, 0)))::INT AS v FROM long),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+counts AS (SELECT lang, rule, v, count(*) AS n FROM vals JOIN good USING (doc_id) GROUP BY ALL),
+sizes AS (SELECT lang, rule, sum(n) AS n, count(*) OVER () AS tests FROM counts GROUP BY lang, rule),
+cdf AS (SELECT lang, rule, i, tests, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE)))
+  OVER (PARTITION BY lang, rule ORDER BY i) AS c FROM sizes, range(0, 100000) r(i) WHERE i <= least(n, ceil(n * 0.02))),
+allowed AS (SELECT lang, rule, max(i) AS k FROM cdf WHERE c <= 0.05 / tests GROUP BY ALL),
+reach AS (SELECT lang, rule, v, sum(n) OVER (PARTITION BY lang, rule ORDER BY v DESC) AS r FROM counts),
+cutoffs AS (SELECT lang, rule, greatest(max(v), CASE rule WHEN 'symbols' THEN 100 WHEN 'repeated_lines' THEN 500 WHEN 'word_length' THEN 120 ELSE 300 END) AS cut
+  FROM reach JOIN allowed USING (lang, rule) WHERE r > k GROUP BY lang, rule),
+failed AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position(['symbols', 'capitals', 'repeated_lines', 'repeated_words', 'word_length'], rule)) AS failed_rules
+  FROM vals JOIN cutoffs USING (lang, rule) WHERE v > cut GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
+FROM m LEFT JOIN failed USING (doc_id)
+"""
+
 ORACLE["op2_impact_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
