@@ -94,6 +94,8 @@ def hilbert_shards(docs: DataFrame, dims: list[str], keys: list[str], shards: in
     names = [f"_key{i}" for i in range(len(keys))]
     df = docs.select(pack(docs, "curve", "shard", "slot"), *keyed, *[F.col(f"`{d}`").alias(f"_dim{i}") for i, d in enumerate(dims)])
     df, bins = quantise(df, [f"_dim{i}" for i in range(len(dims))], bits)
+    # as a table, for bins of an empty table or column are constants, which the optimiser would carry through every step
+    df = stage(df.select("_row", *names, *bins), "bins")
     df = stage(curve_index(df, bins, bits, "curve").select("_row", *names, "curve"), "curve")
     rows = df.count()
     cuts = [s * rows // shards for s in range(shards)]
