@@ -93,9 +93,9 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", key
     anything is ordered, so a stratum with most of the rows is no burden on one task.
     """
     good = labels.groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("_q")).filter("_q = 1 and _key is not null")
+    slim = stage(measured.select(F.col(key).alias("_key"), _stratum(stratum).alias("stratum"), _measures(measured).alias("_m")), "rule-measures")
     per_value = (
-        measured.select(F.col(key).alias("_key"), _stratum(stratum).alias("stratum"), _measures(measured).alias("_m"))
-        .join(good.select("_key"), "_key")
+        slim.join(good.select("_key"), "_key")
         .select("stratum", F.explode("_m").alias("_m"))
         .groupBy("stratum", "_m.rule", "_m.value").agg(F.count("*").alias("n"))
     )
