@@ -7,9 +7,9 @@ the sequences' free room finds that sequence in logarithmic time: each inner nod
 below it. A group wastes about one sequence more than packing everything at once would.
 
 Ids come from the rank file of the vocabulary, which gives the ids of the same vocabulary's ``tokenizers``
-file; strings of special tokens in a text are ordinary text. The pieces are a table in the shared
-folder before they are dealt, so a lost executor never changes which piece went where, and each task
-holds one group.
+file. Added tokens of that file, which lies beside the rank file, have their own ids wherever a text holds
+their strings, as there. The pieces are a table in the shared folder before they are dealt, so a lost
+executor never changes which piece went where, and each task holds one group.
 
 Cases: a null text is empty, one end id. Repeated rows are documents of their own. Null ids stay null.
 Other columns of the input are not kept. An empty table gives no pieces.
@@ -17,6 +17,8 @@ Other columns of the input are not kept. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +34,29 @@ GROUP_PIECES = 4096
 _PART_BYTES = 8 << 20
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the ``tokenizers`` file beside a rank file; none where there is no such file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if odd := [t["content"] for t in tokens if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+        raise ValueError(f"added tokens that depend on what is around them: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def encoder(path: str | None):
-    """Text -> ids by a rank file; by default the installed one of 50,256 tokens."""
+    """Text -> ids by a rank file; by default the installed one of 50,256 tokens. Added tokens count as such where allowed."""
     import base64
 
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
 def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +105,7 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
 
         for batch in batches:
             for doc, body in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(encode.encode_to_numpy(body or "").astype(kind), kind.type(end_id)) if body else np.array([end_id], kind)
+                ids = np.append(encode.encode_to_numpy(body, allowed_special="all").astype(kind), kind.type(end_id)) if body else np.array([end_id], kind)
                 for start in range(0, len(ids), length):
                     cut = ids[start:start + length]
                     rows.append((doc, start, len(cut), len(ids), cut.tobytes()))

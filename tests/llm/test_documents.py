@@ -196,6 +196,22 @@ def test_pieces_round_trip(docs, clashing, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<<|endoftext|>>\n <|endoftext", "x " * 3000 + "<|endoftext|>\ty", "plain"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = defaultdict(list)
+    for p in sorted(rows, key=lambda p: (p.doc_id, p.start)):
+        got[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+        assert p.length == len(p.ids) // 4
+    assert got[0] == [64, 220, 50256, 275, 1]
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert {(p.doc_id, p.doc_tokens) for p in rows} == {(i, len(ids)) for i, ids in got.items()}
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 63, 300):
