@@ -13,8 +13,15 @@ at the last segment; all that remain are rescored exactly.
 Each shard of the index meets each block of queries in one task, and hands on k rows per query; the
 best k of all shards are the answer. Shards, blocks and tasks are of fixed size.
 
-Cases: a vector that is null, holds a null or non-finite component, or a component of 2**28 or more once
-made whole, takes no part, nor does one without an id. Only vectors of equal length are compared. Rows
+Vectors with a component of ``LARGE`` or more once made whole are dealt into shards of their own, without
+segments. There, and wherever products of a shard and a query may not fit 64 bits, scores are taken in
+floating point with a bound on their error; vectors whose upper bound is below the k-th best lower bound
+are out, and the rest are rescored in whole numbers of any size.
+
+Cases: a vector that is null or holds a null or non-finite component takes no part, nor does one without
+an id. All others do: a component made whole is a double, which holds it exactly; one that is beyond
+doubles once scaled (2**1016 and more, in a column of doubles) is an error. A score that does not fit 64
+bits is null; its row has its id, and its rank by the exact score. Only vectors of equal length are compared. Rows
 with the query's id are not its candidates. Ties go to the smaller id; rows that repeat an id are
 candidates each. A query that repeats id and vector is answered once. Other columns are not kept. Empty
 tables give empty results.
@@ -24,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,28 +43,39 @@ SHARD = 16_384
 QUERY_BLOCK = 512
 RESCORE = 1024
 _CHECKS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-_LIMIT = 1 << 28
+LARGE = 1 << 28
 
 
 def whole_vectors(vectors: DataFrame, key: str, vector: str, scale: float = 256.0) -> DataFrame:
-    """(vec_id, x): components as floor(scale * component); vectors that take no part are left out."""
-    usable = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(_LIMIT / scale))
+    """(vec_id, x): components as floor(scale * component), in doubles; vectors that take no part are left out."""
+    usable = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+    def whole(c: Column) -> Column:  # from 2**53 on, every double is whole
+        scaled = c.cast("double") * scale
+        return F.when(F.abs(scaled) < float(1 << 53), F.floor(scaled).cast("double")).when(F.abs(scaled) < float("inf"), scaled).otherwise(
+            F.raise_error(F.lit("a component is beyond doubles once scaled")).cast("double"))
+
     return (
         vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(F.col(vector), usable))
-        .select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("x"))
+        .select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector), whole).alias("x"))
     )
 
 
 def build_index(whole: DataFrame, shard_rows: int = SHARD, width: int = WIDTH) -> DataFrame:
-    """Posting segments: dims, shard, axis, level, rows (binary, int32); axis -1 holds ids and vectors of the shard."""
+    """Posting segments: dims, shard, axis, level, rows (binary, int32); axis -1 holds ids and vectors of the shard.
+
+    Shards of vectors with large components have negative numbers and no segments; their vectors are doubles.
+    """
     shards = max(1, -(-whole.count() // shard_rows))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["vec_id"].to_numpy(np.int64)
-        x = np.stack(group["x"].to_numpy()).astype(np.int64) if len(group["x"].iloc[0]) else np.zeros((len(ids), 0), np.int64)
+        x = np.stack(group["x"].to_numpy()) if len(group["x"].iloc[0]) else np.zeros((len(ids), 0))
         dims, shard = int(group["dims"].iloc[0]), int(group["shard"].iloc[0])
-        rows = [(dims, shard, -1, 0, ids.tobytes(), x.astype("<i4").tobytes())]
-        for axis in range(x.shape[1]):
+        large = shard < 0
+        x = x if large else x.astype(np.int64)
+        rows = [(dims, shard, -1, 0, ids.tobytes(), x.astype("<f8" if large else "<i4").tobytes())]
+        for axis in () if large else range(x.shape[1]):
             level = x[:, axis] // width
             order = np.argsort(level, kind="stable")
             cuts = np.flatnonzero(np.diff(level[order])) + 1
@@ -65,10 +83,21 @@ def build_index(whole: DataFrame, shard_rows: int = SHARD, width: int = WIDTH) -
                 rows.append((dims, shard, axis, int(level[part[0]]), part.astype("<i4").tobytes(), None))
         return pd.DataFrame(rows, columns=["dims", "shard", "axis", "level", "rows", "vectors"])
 
-    placed = whole.withColumn("dims", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int"))
+    place = F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int")
+    large = F.exists("x", lambda c: F.abs(c) >= float(LARGE))
+    placed = whole.withColumn("dims", F.size("x")).withColumn("shard", F.when(large, -1 - place).otherwise(place))
     return placed.groupBy("dims", "shard").applyInPandas(build, "dims int, shard int, axis int, level long, rows binary, vectors binary")
 
 
+def _order(score: int) -> tuple[int, int | None, bytes | None]:
+    """(side, score, wide): scores are ordered as these are; ``side`` is 1 or -1 above or below 64 bits, where ``wide`` has the score."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, score, None
+    size = -(-abs(score).bit_length() // 8)
+    wide = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (1, None, wide) if score > 0 else (-1, None, bytes(255 - b for b in wide))
+
+
 class Shard:
     """One shard of the index, loaded."""
 
@@ -76,7 +105,13 @@ class Shard:
         head = rows[rows["axis"] == -1].iloc[0]
         dims = int(head["dims"])
         self.ids = np.frombuffer(head["rows"], np.int64)
-        self.x = np.frombuffer(head["vectors"], "<i4").reshape(len(self.ids), dims).astype(np.int64)
+        self.large = int(head["shard"]) < 0
+        self.x = np.frombuffer(head["vectors"], "<f8" if self.large else "<i4").reshape(len(self.ids), dims)
+        self.most = int(np.abs(self.x).max(initial=0))
+        self.scaled = None
+        if self.large:
+            return
+        self.x = self.x.astype(np.int64)
         segments = rows[rows["axis"] >= 0].sort_values(["axis", "level"])
         self.axis = segments["axis"].to_numpy(np.int64)
         self.middle = segments["level"].to_numpy(np.float64) * width + (width - 1) / 2
@@ -85,8 +120,11 @@ class Shard:
         self.off = np.sqrt((rest**2).sum(axis=1))
         self.first = np.searchsorted(self.axis, np.arange(dims))
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k, best first."""
+    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+        """Ids and scores of the best k, best first, for ``q``, whole numbers in doubles."""
+        if self.large or self.most * int(np.abs(q).max(initial=0)) * len(q) >= 1 << 63 or np.abs(q).max(initial=0) >= LARGE:
+            return self._search_wide(query_id, q, k)
+        q = q.astype(np.int64)
         weight = q[self.axis] * self.middle
         least = np.minimum.reduceat(weight, self.first) if len(weight) else np.zeros(0)
         gain = weight - least[self.axis]
@@ -113,7 +151,23 @@ class Shard:
                 break
         scores = self.x[alive] @ q
         best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
+        return self.ids[alive][best].tolist(), scores[best].tolist()
+
+    def _search_wide(self, query_id: int, q: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+        """As ``search``, for products of any size."""
+        if self.scaled is None:  # by a power of two, to at most 1, so that no product overflows
+            self.scaled = np.ldexp(self.x.astype(np.float64), -self.most.bit_length())
+        by = np.ldexp(q, -int(np.abs(q).max(initial=0)).bit_length())
+        about = self.scaled @ by
+        slack = (len(q) + 4) * (2.0**-52 * (np.abs(self.scaled) @ np.abs(by)) + 2.0**-1000)
+        alive = np.flatnonzero(self.ids != query_id)
+        if len(alive) > k:
+            lower = (about - slack)[alive]
+            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
+            alive = alive[(about + slack)[alive] >= bar]
+        whole = [int(c) for c in q]
+        found = sorted((-sum(int(a) * b for a, b in zip(self.x[i].tolist(), whole)), int(self.ids[i])) for i in alive.tolist())[:k]
+        return [i for _, i in found], [-score for score, _ in found]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -130,12 +184,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH,
         if len(rows) and len(wanted):
             shard = Shard(rows, width)
             for query_id, name, x in zip(wanted["vec_id"], wanted["name"], wanted["x"]):
-                ids, scores = shard.search(query_id, np.asarray(x, np.int64), k)
-                out.append(pd.DataFrame({"query_id": query_id, "name": name, "vec_id": ids, "score": scores}))
-        none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "name", "vec_id", "score")})
-        return pd.concat(out, ignore_index=True) if out else none
+                out += [(query_id, name, i, *_order(score)) for i, score in zip(*shard.search(query_id, np.asarray(x, np.float64), k))]
+        columns = list(zip(*out)) or [()] * 6
+        return pd.DataFrame({"query_id": np.array(columns[0], np.int64), "name": np.array(columns[1], np.int64), "vec_id": np.array(columns[2], np.int64),
+                             "side": np.array(columns[3], np.int32), "score": pd.array(columns[4], dtype="Int64"),
+                             "wide": pd.Series(columns[5], dtype=object)})
 
     keys = ["dims", "shard", "block"]
-    found = offered.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(answer, "query_id long, name long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "name").orderBy(F.desc("score"), "vec_id")
+    found = offered.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+        answer, "query_id long, name long, vec_id long, side int, score long, wide binary")
+    best = Window.partitionBy("query_id", "name").orderBy(F.desc("side"), F.desc("score"), F.desc("wide"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -53,6 +53,27 @@ def test_topk_odd_tables(spark):
     assert searched(some, 5) == set() and searched(some.limit(0), 5) == set()
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_topk_of_large_components(spark, kind):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(6)]) for i in range(60)]
+    for i, size in enumerate((2.0**20, 1e7, 3e9, 1e15, 1e30, 3e38, *((1e200, 1e305) if kind == "double" else ()))):
+        for j in range(10):
+            rows.append((100 + 10 * i + j, [rng.choice((0.25, -1.0, size, -size * rng.random())) for _ in range(6)]))
+    rows += [(400 + i, [1e30 if kind == "float" else 1e300, float(i // 2), 0.0, 0.0, 0.0, 1.0]) for i in range(20)]  # floating point cannot tell these apart
+    rows += [(500 + i, [rng.gauss(0, 0.2) if rng.random() < 0.8 else rng.choice((2.0**20, -1.5e6)) for _ in range(5)]) for i in range(80)]  # scores fit 64 bits
+    rows += [(900, [float("inf")] + [1.0] * 5), (905, [None] + [1.0] * 5), (910, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    usable = {r.vec_id: [math.floor(256 * x) for x in r.embedding] for r in df.collect() if r.vec_id < 900}
+    want = set()
+    for q in (i for i in usable if i % 5 == 0):
+        found = sorted((-sum(a * b for a, b in zip(usable[q], x)), j) for j, x in usable.items() if j != q and len(x) == len(usable[q]))
+        want |= {(q, n + 1, j, -s if -(1 << 63) <= -s < 1 << 63 else None) for n, (s, j) in enumerate(found[:7])}
+    assert any(s is None for *_, s in want) and any(s is not None for *_, s in want)
+    for shard_rows in (100_000, 16):
+        assert searched(df, 7, shard_rows=shard_rows, query_block=16) == want
+
+
 def split(url):
     if url is None or "://" not in url:
         return "", ""
