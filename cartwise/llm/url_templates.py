@@ -6,8 +6,10 @@ Template tree: each host is a tree of path segments. Numbers, hexadecimal ids an
 wildcards at once, for they vary by nature. Then, level by level from the host down, a node's branches
 are compared with the node: a branch seen fewer than ``SUPPORT`` times, or whose share of bad pages does
 not differ from the node's by ``Z`` standard errors, is merged with the others of its kind into one
-wildcard branch; the rest stay branches of their own. What a page's path has become after ``DEPTH``
-levels is its template (deeper segments are one wildcard).
+wildcard branch; the rest stay branches of their own. There is no fixed depth: levels go on as long as a
+node may still split. A node with fewer than ``SUPPORT`` pages, or whose labels are all alike, cannot, nor can
+any below it (all of a pure node's branches are within ``Z`` errors of it), so all that is deeper becomes
+wildcards there, one a segment, and its pages leave the tree. What a page's path has become is its template.
 
 A template is rejected if its smoothed share of bad labelled pages reaches ``PURITY``: the share of the
 whole table counts like ``PRIOR`` further labelled pages, so a template with few labels needs nearly all
@@ -28,9 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.llm.columns import let, pack, unpack
-from cartwise.session import stage
+from cartwise.session import shared_path, stage
 
-DEPTH = 4
 SUPPORT = 20
 Z = 2.58
 PRIOR = 10.0
@@ -59,33 +60,38 @@ def longest_rule(host_of: Column, path_of: Column, rules: list[tuple[str, str, s
 
 
 def _segments(path_of: Column) -> Column:
-    """First DEPTH segments, wildcards for what varies by nature; one more wildcard for all that is deeper."""
+    """Segments of a path, wildcards for what varies by nature."""
     parts = F.filter(F.split(path_of, "/", -1), lambda s: s != "")
-    shown = F.transform(F.slice(parts, 1, DEPTH), lambda s: F.when(s.rlike(_VARIES), "*").otherwise(s))
-    return let(parts, lambda p: F.when(F.size(p) > DEPTH, F.concat(shown, F.array(F.lit("*")))).otherwise(shown))
+    return F.transform(parts, lambda s: F.when(s.rlike(_VARIES), "*").otherwise(s))
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """(host, segments, template, bad_share) from ``paths`` (host, segments, n, labelled, bad), one row a host and path."""
+    spark = paths.sparkSession
     tree = stage(paths.withColumn("template", F.col("host")), "paths")
     totals = tree.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     overall = (totals["b"] or 0) / totals["l"] if totals["l"] else 0.0
-    for level in range(DEPTH):
+    folder, levels = shared_path(spark, "levels"), []
+    while not levels or not tree.isEmpty():
+        level = len(levels)
         segment = F.get("segments", F.lit(level))
         branch = tree.filter(segment.isNotNull()).groupBy("template", segment.alias("segment")).agg(
             F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         branch = stage(branch, "branches")
-        node = branch.groupBy("template").agg(F.sum("l").alias("node_l"), F.sum("b").alias("node_b"))
+        node = branch.groupBy("template").agg(F.sum("n").alias("node_n"), F.sum("l").alias("node_l"), F.sum("b").alias("node_b"))
+        node = node.filter((F.col("node_n") >= SUPPORT) & (F.col("node_b") > 0) & (F.col("node_b") < F.col("node_l")))
         share = (F.col("node_b") + 1) / (F.col("node_l") + 2)
         differs = F.abs(F.col("b") - share * F.col("l")) > Z * F.sqrt(F.col("l") * share * (1 - share))
-        kept = branch.join(node, "template").filter((F.col("n") >= SUPPORT) & (F.col("segment") != "*") & (F.col("l") > 0) & differs)
-        kept = kept.select("template", "segment", F.lit(True).alias("own"))
-        step = tree.withColumn("segment", segment).join(kept, ["template", "segment"], "left")
-        grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(
+        own = (F.col("n") >= SUPPORT) & (F.col("segment") != "*") & (F.col("l") > 0) & differs
+        split = branch.join(node, "template").select("template", "segment", own.alias("own"))
+        step = tree.withColumn("segment", segment).join(split, ["template", "segment"], "left")
+        grown = F.when(F.col("own").isNull(), F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - level))).otherwise(
             F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("segment")).otherwise("*")))
-        tree = stage(step.withColumn("template", grown).drop("segment", "own"), "paths")
-    deeper = F.when(F.size("segments") > DEPTH, F.concat("template", F.lit("/*"))).otherwise(F.col("template"))
-    tree = tree.withColumn("template", deeper)
+        step = step.select(*paths.columns, grown.alias("template"), F.col("own").isNull().alias("whole"))
+        levels.append(f"{folder}/{level}")
+        step.write.parquet(levels[-1])
+        tree = spark.read.schema(step.schema).parquet(levels[-1]).filter(~F.col("whole")).drop("whole")
+    tree = spark.read.schema(step.schema).parquet(*levels).filter("whole")
     share = tree.groupBy("template").agg(
         ((F.sum("bad") + PRIOR * overall) / (F.sum("labelled") + PRIOR)).alias("bad_share"))
     return tree.join(share, "template").select("host", "segments", "template", "bad_share")

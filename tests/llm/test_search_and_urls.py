@@ -118,6 +118,28 @@ def test_templates_split_by_labels(spark):
     assert by["few.net", "0"] == {("few.net/*", "allow")}  # three labels are too few
 
 
+@pytest.mark.parametrize("depth", [3, 4, 9])
+def test_templates_split_at_any_depth(spark, depth):
+    start = "".join(f"/p{i}" for i in range(depth))
+    rows = [(f"http://h.net{start}/{('spam', 'docs', 'wiki')[i % 3]}/{i}/end", i % 3 == 0) for i in range(600)]
+    rows += [(f"http://h.net{start}/wiki/y/{('bad', 'fine')[i % 2]}/z{'/q' * i}", i % 2 == 0) for i in range(60)]
+    rows += [(f"http://h.net{start}", None), (f"http://few.net{start}/spam/1/end", True)]
+    got = {r.url: r for r in url_templates.judge_urls(spark.createDataFrame(rows, "url string, bad boolean"), [], F.col("bad")).collect()}
+    assert len(got) == len(rows)
+    stars = "/*" * depth
+    for url, r in got.items():
+        parts = url.split("/")[3 + depth:]
+        if url.startswith("http://few") or not parts:
+            assert (r.template, r.verdict) == (r.host + stars + "/*" * len(parts), "allow")
+        elif parts[0] == "spam":
+            assert (r.template, r.verdict) == (f"h.net{stars}/spam/*/*", "block")
+        elif parts[0] == "docs":
+            assert r.template.startswith(f"h.net{stars}/docs/") and r.verdict == "allow"
+        elif parts[:2] == ["wiki", "y"]:
+            assert r.template.startswith(f"h.net{stars}/wiki/y/{parts[2]}/")
+        assert len(r.template.split("/")) == len(url.split("/")) - 2
+
+
 def test_registry_of_this_package(spark, sf):
     import __spark_entry__ as entry
 
