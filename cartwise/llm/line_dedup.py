@@ -6,11 +6,13 @@ similarity of their sets of ``SHINGLE`` characters is at least ``SIMILARITY``.
 1. Signatures: per distinct line of a batch, the least of its shingles' hashes under ``BANDS * ROWS``
    permutations; bands of ``ROWS`` values are bucket keys. A pair at the least similarity shares a bucket
    with probability 1 - (1 - 0.8**5)**14 = 0.996, more similar pairs more surely.
-2. Buckets with at least two distinct lines are kept; buckets of equal members are taken once.
+2. Buckets with at least two distinct lines are kept; buckets of equal members are taken once. Rows of a
+   bucket pass a task sorted and are handed on as they come, so that a bucket of any size takes no memory.
 3. Within a bucket lines are verified by exact Jaccard similarity, unless already linked through others.
-   A bucket beyond ``BLOCK`` lines is cut into blocks, and each pair of blocks is a unit of its own. Units
+   A bucket beyond ``BLOCK`` lines or ``BLOCK_CHARS`` characters is cut into blocks, and each pair of blocks is a unit of its own. Units
    of buckets with the same least line are dealt to one task, which verifies no pair twice. Pairs are never
-   written out, only an edge from each line to the root of its local component.
+   written out, only an edge from each line to the root of its local component. Shingles of lines beyond
+   ``LONG`` characters are sorted arrays of hashes, checked against the text, of twenty bytes a character.
 4. Union-find over the edges, in rounds of joins (``components``).
 5. Of each component, and of each group of equal lines, the first occurrence stays, by document id (null
    ids last), then line number. Other occurrences are dropped from their texts.
@@ -42,6 +44,8 @@ SHINGLE = 8
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 14
 BLOCK = 1024
+BLOCK_CHARS = 1 << 20
+LONG = 4096
 SEED = 42
 #: A list of candidate lines up to this many rows of 8 bytes is broadcast; a longer one is joined by a shuffle.
 BROADCAST_LINES = 1_000_000
@@ -90,7 +94,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows(lines: list[str], ids: list[int]) -> pd.DataFrame:
         keys = band_keys(lines)
-        return pd.DataFrame({"key": keys.ravel(), "line": np.tile(np.array(ids, np.int64), BANDS)})
+        sizes = np.fromiter(map(len, lines), np.int32, len(lines))
+        return pd.DataFrame({"key": keys.ravel(), "line": np.tile(np.array(ids, np.int64), BANDS), "size": np.tile(sizes, BANDS)})
 
     for batch in batches:
         seen: set[int] = set()
@@ -111,32 +116,22 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by key and line, the distinct lines of keys with several, their number, the name of the set, its least line."""
-    none = np.zeros(0, np.int64)
-    rest = (none, none)
-
-    def several(key: np.ndarray, line: np.ndarray) -> pd.DataFrame:
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        key, line = key[new], line[new]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(first)
-        n = np.diff(np.append(at, len(key)))
-        mixed = (line.view(np.uint64) ^ (line.view(np.uint64) >> np.uint64(32))) * _ODD
-        name = np.bitwise_xor.reduceat(mixed ^ (mixed >> np.uint64(29)), at).view(np.int64) if len(at) else none
-        keep = np.repeat(n > 1, n)
-        return pd.DataFrame({"key": key[keep], "line": line[keep], "n": np.repeat(n, n)[keep], "members": np.repeat(name, n)[keep],
-                             "least": np.repeat(line[at], n)[keep]})
-
+    """Of rows sorted by key and line, the distinct lines of keys with several. Of earlier batches only the last row is held."""
+    held, follows = None, False  # the last distinct row, and whether one of its key came before it
     for batch in batches:
         if not len(batch):
             continue
-        key, line = (np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "line")))
-        cut = int(np.searchsorted(key, key[-1], side="left"))
-        rest = (key[cut:], line[cut:])
-        yield several(key[:cut], line[:cut])
-    yield several(*rest)
+        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        key, line = batch["key"].to_numpy(), batch["line"].to_numpy()
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        batch, key = batch[new], key[new]
+        as_before = np.append(follows, key[1:] == key[:-1])
+        keep = as_before | np.append(key[1:] == key[:-1], False)
+        held, follows = batch.iloc[-1:], bool(as_before[-1])
+        yield batch[:-1][keep[:-1]]
+    if follows:
+        yield held
 
 
 def shingles(line: str) -> set[str]:
@@ -151,12 +146,46 @@ def similar(a: set[str], b: set[str]) -> bool:
     return common >= SIMILARITY * (small + large - common)
 
 
+class Shingles:
+    """Shingles of a long line: sorted distinct hashes, the place of each, and the line's characters."""
+
+    def __init__(self, line: str):
+        self.codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        h, base, width = self.codes.astype(np.uint64) + np.uint64(1), 0x100000001B3, 1
+        while width < SHINGLE:
+            h = h[:-width] * np.uint64(base) + h[width:]
+            h ^= h >> np.uint64(29)
+            base, width = base * base % (1 << 64), width * 2
+        at = np.argsort(h, kind="stable")
+        h = h[at]
+        new = np.append(True, h[1:] != h[:-1])
+        again = np.flatnonzero(~new)
+        #: Whether no two shingles of the line share a hash.
+        self.told_apart = bool(_same(self.codes, at[again], self.codes, at[again - 1]).all())
+        self.hashes, self.at = h[new], at[new]
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def common(self, other: Shingles) -> int:
+        _, i, j = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        return int(_same(self.codes, self.at[i], other.codes, other.at[j]).sum())
+
+
+def _same(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    same = np.ones(len(at_a), bool)
+    for k in range(SHINGLE):
+        same &= a[at_a + k] == b[at_b + k]
+    return same
+
+
 class _Links:
     """Union-find over the lines of units that are dealt together; no pair is verified twice, or once linked."""
 
     def __init__(self):
         self.parent: dict[int, int] = {}
-        self.sets: dict[int, set[str]] = {}
+        self.sets: dict[int, set[str] | Shingles] = {}
+        self.texts: dict[int, str] = {}
         self.differ: set[tuple[int, int]] = set()
 
     def find(self, line: int) -> int:
@@ -169,15 +198,30 @@ class _Links:
         pair = (a, b) if a < b else (b, a)
         if pair in self.differ:
             return False
-        if similar(self.sets[a], self.sets[b]):
+        if self._alike(a, b):
             return True
         self.differ.add(pair)
         return False
 
+    def _alike(self, a: int, b: int) -> bool:
+        x, y = self.sets[a], self.sets[b]
+        if not isinstance(x, Shingles) and not isinstance(y, Shingles):
+            return similar(x, y)
+        small, large = sorted((len(x), len(y)))
+        if small < SIMILARITY * large:
+            if all(s.told_apart for s in (x, y) if isinstance(s, Shingles)):
+                return False
+        x, y = (s if isinstance(s, Shingles) else Shingles(self.texts[i]) for s, i in ((x, a), (y, b)))
+        if not (x.told_apart and y.told_apart):
+            return similar(shingles(self.texts[a]), shingles(self.texts[b]))
+        common = x.common(y)
+        return common >= SIMILARITY * (small + large - common)
+
     def add_unit(self, lines: list[int], texts: list[str], blocks: list[int], cross: bool) -> None:
         for line, text in zip(lines, texts):
             if line not in self.sets:
-                self.sets[line] = shingles(text)
+                self.texts[line] = text
+                self.sets[line] = shingles(text) if len(text) <= LONG else Shingles(text)
         groups: dict[int, list[tuple[int, int]]] = {}
         for line, block in zip(lines, blocks):
             own = groups.pop(self.find(line), []) + [(line, block)]
@@ -190,7 +234,7 @@ class _Links:
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges (a, b) between lines, from rows sorted by deal and unit."""
-    rest = None
+    rest: list[pd.DataFrame] = []  # of the last deal
 
     def edges(part: pd.DataFrame) -> pd.DataFrame:
         deals, units = part["deal"].to_numpy(), part["unit"].to_numpy()
@@ -209,13 +253,15 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         whole = (batch["deal"] != batch["deal"].iloc[-1]).to_numpy()
-        rest = batch[~whole]
-        if whole.any():
+        if rest and (whole.any() or batch["deal"].iloc[0] != rest[-1]["deal"].iloc[-1]):
+            yield edges(pd.concat([*rest, batch[whole]], ignore_index=True))
+            rest = []
+        elif whole.any():
             yield edges(batch[whole])
-    if rest is not None:
-        yield edges(rest)
+        rest.append(batch[~whole])
+    if rest:
+        yield edges(pd.concat(rest, ignore_index=True))
 
 
 def _lines(text: Column) -> Column:
@@ -228,11 +274,13 @@ def _bare(line: Column) -> Column:
 
 def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root): for each line with a similar, not equal one, its hash and the least hash of its component."""
-    rows = docs.select(F.col(text).alias("text")).mapInPandas(_signatures, "key long, line long")
-    shared = stage(rows.repartition("key").sortWithinPartitions("key", "line")
-                   .mapInPandas(_shared, "key long, line long, n long, members long, least long"), "buckets")
-    once = shared.groupBy("members", "n").agg(F.min("key").alias("key"))
-    chosen = stage(shared.join(once, ["members", "n", "key"]).select("key", "line", "least", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "chosen-buckets")
+    rows = docs.select(F.col(text).alias("text")).mapInPandas(_signatures, "key long, line long, size int")
+    shared = stage(rows.repartition("key").sortWithinPartitions("key", "line").mapInPandas(_shared, "key long, line long, size int"), "buckets")
+    buckets = shared.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("line")).alias("members"), F.min("line").alias("least"), F.sum("size").alias("chars"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
+    once = buckets.groupBy("members", "n").agg(F.min_by(F.struct("key", "least", "chars"), "key").alias("b")).select("n", "b.*")
+    chosen = stage(shared.join(once, "key").select("key", "line", "least", F.least("n", blocks).cast("int").alias("blocks")), "chosen-buckets")
     wanted = stage(chosen.select("line").distinct(), "candidate-lines")
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)

@@ -136,6 +136,42 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch, block):
     assert Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()) == want
 
 
+def test_shared_holds_one_row():
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(40) if i % 3 else 7, rng.randrange(60), 9) for i in range(900)) + [(50, 1, 9), (51, 1, 9), (51, 1, 9), (52, 1, 9), (52, 2, 9)]
+    per = defaultdict(set)
+    for key, line, _ in rows:
+        per[key].add(line)
+    want = [(k, x, 9) for k in sorted(per) for x in sorted(per[k]) if len(per[k]) > 1]
+    frame = pd.DataFrame(rows, columns=["key", "line", "size"])
+    for step in (1, 2, 7, 1000):
+        parts = [frame[i:i + step] for i in range(0, len(frame), step)]
+        got = list(line_dedup._shared(iter(parts)))
+        assert [tuple(r) for g in got for r in g.itertuples(index=False)] == want
+        assert max(map(len, got)) <= step + 1  # a bucket is never gathered
+
+
+@pytest.mark.parametrize("long", [0, 100])
+def test_long_lines_by_characters(spark, monkeypatch, long):
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 2000)
+    base = [prose(n, n).replace("s", "é\U0001d54f") for n in (18, 25, 200, 1000)]
+    lines = [" ".join(w if rng.random() > 0.03 else "zz" for w in b.split(" ")) for b in base for rng in map(random.Random, range(12))]
+    sets = [line_dedup.shingles(x) for x in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.similar(sets[i], sets[j])]
+    held = line_dedup._Links()
+    held.add_unit(list(range(len(lines))), lines, [0] * len(lines), False)
+    want = roots_of(len(lines), links)
+    assert [[held.find(i) == held.find(j) for j in range(len(lines))] for i in range(len(lines))] == [[a == b for b in want] for a in want]
+    assert all(held._alike(i, j) == line_dedup.similar(sets[i], sets[j]) for i in range(len(lines)) for j in range(i))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    first = {r: want.index(r) for r in want}
+    kept = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.n_dropped == 0}
+    assert kept == set(first.values())
+
+
 def test_bands_recall(spark):
     rng = random.Random(8)
     hit = total = 0
