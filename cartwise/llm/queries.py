@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import crf, hilbert, line_dedup, packing, pii, poisson_mix, quality_rules, simhash, topk
+from cartwise.llm import crf, hilbert, line_dedup, merkle, packing, pii, poisson_mix, quality_rules, simhash, topk
 from cartwise.llm import url_templates
 from cartwise.session import stage
 
@@ -103,6 +103,20 @@ def op10_url_templates(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    doc_id, text = F.col("doc_id"), F.col("text")
+    tampered = F.when(F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    others = [doc_id, F.col("source"), F.col("lang"), F.col("n_chars")]
+    digests = _read(spark, sf, "documents").select(
+        doc_id.alias("key"), "source", merkle.leaf_digest(*others, text).alias("leaf"), merkle.leaf_digest(*others, tampered).alias("claimed"))
+    manifest = merkle.build(stage(digests, "digests"), "key", "source", "leaf")
+    proved = merkle.climb(manifest.leaves, manifest.nodes)
+    root = F.lit(manifest.root).cast("string")
+    return proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
 ORACLE["op1_quality_rules"] = r"""
 WITH t AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -154,3 +168,39 @@ counted AS (SELECT d.doc_id, d.source, count(*) AS n FROM drawn d JOIN cdf ON cd
 copies AS (SELECT doc_id, source, unnest(range(1, n + 1))::INT AS copy FROM counted)
 SELECT doc_id, source, copy, ('0x' || substr(md5('42-order:' || doc_id || ':' || copy), 1, 12))::BIGINT AS shuffle_key FROM copies
 """
+
+#: CRC-32 of a decimal or ASCII string ``s`` of a row, with ``t`` from ``CRC_TABLE``.
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t"""
+CRC = """xor(list_reduce(list_transform(string_split(s, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+d AS (SELECT *, doc_id::VARCHAR AS s FROM documents),
+twofold AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN {CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM d, crc),
+hashed AS (SELECT doc_id, source, row_number() OVER () AS r, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+  coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS claimed FROM twofold),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+up(source, lvl, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY pos) FROM leaves GROUP BY source
+  UNION ALL SELECT source, lvl + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank FROM up WHERE len(nodes) = 1),
+top(lvl, nodes) AS (
+  SELECT 0, list(subroot ORDER BY rank) FROM subroots
+  UNION ALL SELECT lvl + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM top WHERE len(nodes) > 1),
+climb(r, lvl, pos, h, proof) AS (
+  SELECT r, 0, pos, claimed, '' FROM leaves
+  UNION ALL SELECT c.r, c.lvl + 1, c.pos // 3, sha256(lft || c.h || rgt), c.proof || lft || rgt
+  FROM (SELECT k.*, array_to_string(nodes[k.pos - k.pos % 3 + 1:k.pos], '') AS lft, array_to_string(nodes[k.pos + 2:k.pos - k.pos % 3 + 3], '') AS rgt, len(nodes) AS n
+        FROM climb k JOIN leaves l USING (r) JOIN up ON up.source IS NOT DISTINCT FROM l.source AND up.lvl = k.lvl) c(r, lvl, pos, h, proof, lft, rgt, n) WHERE n > 1),
+crossed AS (SELECT r, rank, h, proof FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl DESC) AS last FROM climb) JOIN leaves USING (r)
+  JOIN subroots ON subroots.source IS NOT DISTINCT FROM leaves.source WHERE last = 1),
+climb2(r, lvl, pos, h, proof) AS (
+  SELECT r, 0, rank, h, proof FROM crossed
+  UNION ALL SELECT c.r, c.lvl + 1, c.pos // 3, sha256(lft || c.h || rgt), c.proof || lft || rgt
+  FROM (SELECT k.*, array_to_string(nodes[k.pos - k.pos % 3 + 1:k.pos], '') AS lft, array_to_string(nodes[k.pos + 2:k.pos - k.pos % 3 + 3], '') AS rgt, len(nodes) AS n
+        FROM climb2 k JOIN top USING (lvl)) c(r, lvl, pos, h, proof, lft, rgt, n) WHERE n > 1),
+ended AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl DESC) AS last FROM climb2)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM ended JOIN leaves USING (r) JOIN subroots ON subroots.source IS NOT DISTINCT FROM leaves.source, (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1) WHERE last = 1
+"""
