@@ -228,34 +228,37 @@ dealt AS (SELECT *, {CRC} % 20 AS fault FROM said, crc),
 damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM dealt WHERE fault <> 0),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS at FROM damaged),
-faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
-  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY at) > 1 THEN 'd'
-  WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
-  left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY at) AS before FROM numbered),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS nth FROM damaged),
+faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 THEN 'd'
+  WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+  left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY nth) AS before FROM numbered),
 moves(q, word, told, cost, t) AS (VALUES (0, '', '', 0, 0), (0, 'I', 'u', 5, 2), (0, 'II', 'ua', 10, 3), (1, '', '', 0, 1), (1, 'I', 'u', 5, 2), (1, 'II', 'ua', 10, 3),
   (2, '', '', 0, 2), (2, 'I', 'a', 5, 3), (3, '', '', 0, 3), (3, 'I', 'u', 5, 2)),
 steps AS (SELECT q, word || e.op AS word, told || e.r AS told, cost + e.c AS cost, e.t2 AS s, op, i AS needs FROM moves JOIN (VALUES
   (0, 'D', '-', 2, 0, ''), (1, 'D', '-', 2, 1, ''), (2, 'D', '-', 2, 2, ''), (3, 'D', '-', 2, 3, ''),
   (0, 'R', 'u', 1, 2, ''), (1, 'R', 'u', 1, 2, ''), (2, 'R', 'a', 1, 3, ''), (3, 'R', 'u', 1, 2, ''),
   (0, 'K', 'k', 0, 1, 's'), (0, 'K', 'k', 0, 2, 'u'), (1, 'K', 'k', 0, 2, 'u'), (3, 'K', 'k', 0, 2, 'u'), (2, 'K', 'k', 0, 3, 'a')) e(t1, op, r, c, t2, i) ON t1 = t),
-best(conv_id, at, state, way) AS (
+best(conv_id, nth, state, way) AS (
   SELECT conv_id, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'told': ''}} FROM (SELECT DISTINCT conv_id FROM faulty)
-  UNION ALL SELECT conv_id, at, state, min(way) FROM (
-    SELECT b.conv_id, f.at, p.s AS state, {{'cost': b.way.cost + p.cost + CASE WHEN f.fault = 't' AND op <> 'D' THEN 5 ELSE 0 END,
+  UNION ALL SELECT conv_id, nth, state, min(way) FROM (
+    SELECT b.conv_id, f.nth, p.s AS state, {{'cost': b.way.cost + p.cost + CASE WHEN f.fault = 't' AND op <> 'D' THEN 5 ELSE 0 END,
       'audit': b.way.audit || p.word, 'told': b.way.told || p.told}} AS way
-    FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.at = b.at + 1
+    FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.nth = b.nth + 1
     JOIN steps p ON p.q = b.state AND (op = 'D' OR f.fault IN ('.', 't') AND (op = 'R' OR needs = f.i))) GROUP BY ALL),
-ended AS (SELECT conv_id, min({{'cost': way.cost + m.cost, 'audit': way.audit || m.word, 'told': way.told || m.told}}) AS way FROM best b
-  JOIN (SELECT conv_id, max(at) AS at FROM best GROUP BY 1) l ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND l.at = b.at
-  JOIN moves m ON m.q = b.state AND (m.t = 3 OR m.t = 0) GROUP BY conv_id),
+ended AS (SELECT b.conv_id, min({{'cost': way.cost + m.cost, 'audit': way.audit || m.word, 'told': way.told || m.told}}) AS way FROM best b
+  JOIN (SELECT conv_id, max(nth) AS nth FROM best GROUP BY 1) l ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND l.nth = b.nth
+  JOIN moves m ON m.q = b.state AND (m.t = 3 OR m.t = 0) GROUP BY b.conv_id),
 letters AS (SELECT conv_id, unnest(range(1, length(way.audit) + 1)) AS n, way FROM ended),
-edits AS (SELECT conv_id, n, way.audit[n] AS op, way.told[n] AS told, sum((way.audit[n] <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY n) AS at FROM letters),
+edits AS (SELECT conv_id, n, way.audit[n] AS op, way.told[n] AS told, sum((way.audit[n] <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY n) AS nth FROM letters),
 lines AS (SELECT e.conv_id, n, CASE WHEN op = 'K' THEN f.role WHEN e.told = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE f.text END AS line
-  FROM edits e LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.at = e.at WHERE op <> 'D'),
+  FROM edits e LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.nth = e.nth WHERE op <> 'D'),
 repaired AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY n) AS text FROM lines GROUP BY conv_id),
 counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
-  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (at > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (nth > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
 SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
   coalesce(illegal, 0) AS illegal, coalesce(e.way.cost, 0)::BIGINT AS cost, coalesce(e.way.audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
