@@ -5,12 +5,10 @@ postings, and the largest weights of their terms. It also names the groups that
 which hide these groups in all segments before it. An update so writes in proportion to what changed; segments
 that have become many are folded into one.
 
-A version of the index is a list of segments, a file of a few lines. It is published by a Spark write
-of one file, which the commit protocol moves into place in one step, after all of its segments are there.
-Readers take the newest version once and keep it: segments are never changed, so they see the index
-before an update or after it, never between. Versions are written by one writer at a time; a second one fails, because
-the version it wants to write is there. A version also says which batch of a stream it holds, and a batch
-that is already held is not applied again.
+A version of the index is a list of segments (``sources.versions``), published in one step after all of
+them are there. Readers take the newest version once and keep it: segments are never changed, so they see
+the index before an update or after it, never between. Versions are written by one writer at a time; a second
+one fails. A version also says which batch of a stream it holds, and a batch it holds is not applied again.
 """
 
 from __future__ import annotations
@@ -27,23 +25,7 @@ from cartwise.operators import tfidf as TF
 from cartwise.operators.index import SearchIndex
 from cartwise.operators.upsert import latest
 from cartwise.session import remove, stage
-
-FAN = 8  # so many segments of like size become one
-
-
-@dataclass(frozen=True)
-class Segment:
-    seq: int        # later segments hide groups of earlier ones
-    name: str       # of its folder
-    postings: int
-
-
-@dataclass(frozen=True)
-class Version:
-    number: int
-    segments: tuple[Segment, ...]
-    batch: int | None
-
+from cartwise.sources.versions import FAN, Folder, Version, like_sized, publish, read_version, unused
 
 @dataclass(frozen=True)
 class IndexStore:
@@ -58,26 +40,18 @@ class IndexStore:
 
     def version(self, number: int | None = None) -> Version:
         """The newest version, or an earlier one."""
-        rows = self.spark.read.schema(_VERSION).parquet(f"{self.path}/versions")
-        if number is None:
-            number = rows.agg(F.max("version")).first()[0]
-        found = rows.filter(F.col("version") == number).collect()  # a row per segment
-        segments = sorted((Segment(r["seq"], r["name"], r["postings"]) for r in found), key=lambda s: s.seq)
-        return Version(number, tuple(segments), found[0]["batch"])
+        return read_version(self.spark, self.path, number)
 
     def publish(self, version: Version) -> Version:
-        rows = [(s.seq, s.name, s.postings, version.batch) for s in version.segments]
-        named = self.spark.createDataFrame(rows, "seq long, name string, postings long, batch long").coalesce(1)
-        named.write.mode("errorifexists").parquet(f"{self.path}/versions/version={version.number}")
-        return version
+        return publish(self.spark, self.path, version)
 
     # --- reading
 
-    def _table(self, segments: tuple[Segment, ...], name: str) -> DataFrame:
+    def _table(self, segments: tuple[Folder, ...], name: str) -> DataFrame:
         """Rows of all segments, with the ``seq`` of theirs."""
         return self.spark.read.parquet(*[f"{self.path}/segments/{s.name}/{name}" for s in segments])
 
-    def _live(self, segments: tuple[Segment, ...], name: str) -> DataFrame:
+    def _live(self, segments: tuple[Folder, ...], name: str) -> DataFrame:
         """Rows of groups that no later segment hides."""
         rows = self._table(segments, name)
         if len(segments) == 1:
@@ -87,7 +61,7 @@ class IndexStore:
 
     def open(self, version: Version | None = None) -> SearchIndex:
         """The index of a version, by default of the newest one, over all its segments."""
-        segments = (version or self.version()).segments
+        segments = (version or self.version()).folders
         return SearchIndex(self.vocab(), self._live(segments, "members"), self._live(segments, "postings"), self._bounds(segments), self.k)
 
     def vocab(self) -> DataFrame:
@@ -95,9 +69,9 @@ class IndexStore:
 
     def catalogue(self, version: Version | None = None) -> DataFrame:
         """Products of a version."""
-        return _newest(self._table((version or self.version()).segments, "products")).filter(~F.col("removed")).drop("removed")
+        return _newest(self._table((version or self.version()).folders, "products")).filter(~F.col("removed")).drop("removed")
 
-    def _bounds(self, segments: tuple[Segment, ...]) -> DataFrame:
+    def _bounds(self, segments: tuple[Folder, ...]) -> DataFrame:
         """Bounds over all segments. Largest weights may be those of hidden groups, which only makes them less
         tight; the k-th largest ones are taken over visible groups among the first of each segment."""
         merged = self._table(segments, "bounds").groupBy("tid").agg(
@@ -109,7 +83,7 @@ class IndexStore:
 
     # --- writing
 
-    def _write_segment(self, seq: int, products: DataFrame, groups: DataFrame, gone: DataFrame, vocab: DataFrame) -> Segment:
+    def _write_segment(self, seq: int, products: DataFrame, groups: DataFrame, gone: DataFrame, vocab: DataFrame) -> Folder:
         """``products`` with ``removed``, ``groups`` of ``copy_groups``."""
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
         folder = f"{self.path}/segments/{name}"
@@ -119,7 +93,7 @@ class IndexStore:
         gone.select("gid", of.alias("seq")).write.parquet(f"{folder}/tombstones")
         return self._write_postings(seq, name, IX.postings(groups, vocab))
 
-    def _write_postings(self, seq: int, name: str, postings: DataFrame) -> Segment:
+    def _write_postings(self, seq: int, name: str, postings: DataFrame) -> Folder:
         folder = f"{self.path}/segments/{name}"
         written = postings.withColumn("seq", F.lit(seq).cast("long"))
         written.write.parquet(f"{folder}/postings")
@@ -128,7 +102,7 @@ class IndexStore:
             F.count("*").alias("list_length"), F.max("dense").alias("top_dense"), F.max("sparse").alias("top_sparse"),
             F.min("bucket").alias("low_bucket"), F.max("bucket").alias("high_bucket")).write.parquet(f"{folder}/bounds")
         _first(stored, "dense", self.k).union(_first(stored, "sparse", self.k)).distinct().write.parquet(f"{folder}/heads")
-        return Segment(seq, name, stored.count())
+        return Folder(seq, name, stored.count())
 
     def apply(self, changes: DataFrame, batch: int | None = None) -> Version:
         """Publish the version after ``changes``: whole products that are new or replace those of their product_id, or,
@@ -139,9 +113,9 @@ class IndexStore:
         already holds that batch or a later one.
         """
         now = self.version()
-        if batch is not None and now.batch is not None and batch <= now.batch:
+        if now.holds(batch):
             return now
-        stored = self._table(now.segments, "products")
+        stored = self._table(now.folders, "products")
         removed = F.coalesce("removed", F.lit(False)) if "removed" in changes.columns else F.lit(False)
         columns = [c for c in stored.columns if c not in ("removed", "seq")]
         typed = [F.col(c).cast(stored.schema[c].dataType).alias(c) if c in changes.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c)
@@ -161,31 +135,21 @@ class IndexStore:
         after = before.join(ids, "product_id", "left_anti").unionByName(new)
         gone = IX.copy_groups(before, self.k, self.stock_only).select("gid").distinct()
         groups = stage(IX.copy_groups(after, self.k, self.stock_only), "groups-new")
-        segment = self._write_segment(now.segments[-1].seq + 1, changes, groups, gone, self.vocab())
-        return self.publish(Version(now.number + 1, (*now.segments, segment), now.batch if batch is None else batch))
+        segment = self._write_segment(now.folders[-1].seq + 1, changes, groups, gone, self.vocab())
+        return self.publish(Version(now.number + 1, (*now.folders, segment), now.batch if batch is None else batch))
 
     def fold(self, fan: int | None = FAN) -> Version:
-        """Publish a version in which the newest segments are one where ``fan`` or more of them are of like size.
+        """Publish a version in which the newest segments are one where ``fan`` or more are of like size (``versions.like_sized``).
 
-        A segment is like those after it unless it has ``fan`` times the postings of their average. So a posting is
-        written again once each time the index has grown by about ``fan``. Without such a run the newest version stays.
-        With ``fan`` None all segments become one.
+        Without such a run the newest version stays. With ``fan`` None all segments become one.
         """
         now = self.version()
-        segments = now.segments
-        while True:
-            run: list[Segment] = []
-            for s in reversed(segments):
-                if run and fan and s.postings >= fan * max(1, sum(x.postings for x in run) / len(run)):
-                    break
-                run.insert(0, s)
-            if len(run) < max(2, fan or 0):
-                break
-            old = segments[:-len(run)]
-            segments = (*old, self._fold(old, tuple(run)))
-        return now if segments == now.segments else self.publish(Version(now.number + 1, segments, now.batch))
-
-    def _fold(self, old: tuple[Segment, ...], folded: tuple[Segment, ...]) -> Segment:
+        segments = now.folders
+        while n := like_sized(segments, fan):
+            segments = (*segments[:-n], self._fold(segments[:-n], segments[-n:]))
+        return now if segments == now.folders else self.publish(Version(now.number + 1, segments, now.batch))
+
+    def _fold(self, old: tuple[Folder, ...], folded: tuple[Folder, ...]) -> Folder:
         seq = folded[-1].seq
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
         folder = f"{self.path}/segments/{name}"
@@ -201,16 +165,10 @@ class IndexStore:
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete segments that none of the newest ``keep`` versions names. Older versions cannot be read from then on."""
-        rows = self.spark.read.schema(_VERSION).parquet(f"{self.path}/versions")
-        newest = rows.agg(F.max("version")).first()[0]
-        names = {used: {r["name"] for r in rows.filter((F.col("version") > newest - keep) == F.lit(used)).select("name").distinct().collect()} for used in (True, False)}
-        for name in names[False] - names[True]:
+        for name in unused(self.spark, self.path, keep):
             remove(self.spark, f"{self.path}/segments/{name}")
 
 
-_VERSION = "version long, seq long, name string, postings long, batch long"
-
-
 def _newest(rows: DataFrame) -> DataFrame:
     return latest(rows, "product_id", "seq").drop("seq")
 

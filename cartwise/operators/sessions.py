@@ -40,9 +40,8 @@ def _signals(as_of: Column, value_scale: float = 1.0) -> list[Column]:
     ]
 
 
-def session_features(events: DataFrame, as_of: Column | None = None, gap_minutes: int = GAP_MINUTES,
-                     view_seconds: float = 1.0, value_scale: float = 1.0) -> DataFrame:
-    """One row per session: events of a user at most ``gap_minutes`` apart.
+def session_sums(events: DataFrame, gap_minutes: int = GAP_MINUTES, view_seconds: float = 1.0) -> DataFrame:
+    """Sums of each session: events of a user at most ``gap_minutes`` apart; first and last time.
 
     Events are first summed per user and time slot as long as the gap. Two events of one slot always
     belong together, so this loses nothing, combines before the shuffle, and leaves even the busiest
@@ -62,14 +61,23 @@ def session_features(events: DataFrame, as_of: Column | None = None, gap_minutes
     marked = slots.withColumn("opens", F.when(idle <= gap_us, 0).otherwise(1)).withColumn(
         "session_no", F.sum("opens").over(by_user)
     )
-    summed = marked.groupBy("user_id", "session_no").agg(
+    return marked.groupBy("user_id", "session_no").agg(
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         *[F.sum(n).alias(n) for n in _event_sums()],
     )
+
+
+def features_of_sums(sums: DataFrame, as_of: Column, value_scale: float = 1.0) -> DataFrame:
+    return sums.select("user_id", F.col("first_ts").alias("session_start"),
+                       F.col("last_ts").alias("session_end"), *_signals(as_of, value_scale))
+
+
+def session_features(events: DataFrame, as_of: Column | None = None, gap_minutes: int = GAP_MINUTES,
+                     view_seconds: float = 1.0, value_scale: float = 1.0) -> DataFrame:
+    """One row per session. Recency is measured at ``as_of``, by default the last event of all."""
     if as_of is None:
         as_of = events.agg(F.max("ts").cast("timestamp_ntz")).scalar()
-    return summed.select("user_id", F.col("first_ts").alias("session_start"),
-                         F.col("last_ts").alias("session_end"), *_signals(as_of, value_scale))
+    return features_of_sums(session_sums(events, gap_minutes, view_seconds), as_of, value_scale)
 
 
 def normalize_signals(df: DataFrame) -> DataFrame:

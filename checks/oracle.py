@@ -188,6 +188,7 @@ SELECT user_id, {_START}, round(s_time, 9) AS time_on_product_page, round(s_visi
 ORACLE["intent_score"] = _with(SESSIONS, SIGNALS, SCORED) + f"""
 SELECT user_id, {_START}, intent_score, score_bucket, dominant_signal, cs[1] AS c_time_on_product_page, cs[2] AS c_product_visit_count,
   cs[3] AS c_cart_add_events, cs[4] AS c_scroll_depth, cs[5] AS c_avg_spend_score, cs[6] AS c_session_recency FROM intent"""
+ORACLE["live_session_scores"] = ORACLE["intent_score"]
 # as a stream: recency is measured at the end of the session window, half an hour after the last event
 ORACLE["session_intent_stream"] = _with(SESSIONS.replace("idle_us / 3.6e9::DOUBLE AS hours", "0.5::DOUBLE AS hours"), SIGNALS, SCORED) + f"""
 SELECT user_id, {_START}, intent_score, score_bucket, dominant_signal FROM intent"""
@@ -284,6 +285,14 @@ ORACLE["tfidf_vocab_sparse"] = _with(_tokens("d", "documents", "doc_id"), _terms
 ORACLE["tfidf_vectors"] = _with(_tokens("d", "documents", "doc_id"), _terms("d", "doc_id", 1),
                                 _vocab("v", "d_terms", "documents", "doc_id", K.DENSE_DIM), _weights("w", "d_terms", "v", "doc_id")) + """
 SELECT doc_id, CAST(fid AS BIGINT) AS fid, round(weight, 6) AS weight FROM w"""
+ORACLE["embed_once_store"] = _with(_tokens("d", "documents", "doc_id"), _terms("d", "doc_id", 1),
+                                   _vocab("v", "d_terms", "documents", "doc_id", K.DENSE_DIM), _weights("w", "d_terms", "v", "doc_id"), """
+sums AS (SELECT doc_id, count(*) AS terms, sum(weight) AS weight FROM w GROUP BY 1),
+early AS (SELECT DISTINCT md5(text) AS h FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL),
+runs AS (SELECT (SELECT count(*) FROM early) AS reused, count(DISTINCT md5(text)) AS texts FROM documents)""") + """
+SELECT doc_id, md5(text) AS text_hash, CASE WHEN md5(text) IN (SELECT h FROM early) THEN 0 ELSE 1 END::BIGINT AS run,
+  coalesce(terms, 0) AS terms, round(coalesce(sums.weight, 0.0), 6) AS weight, texts - reused AS embedded, reused
+FROM documents LEFT JOIN sums USING (doc_id), runs WHERE text IS NOT NULL"""
 ORACLE["product_vectors_legacy"] = _with(
     PRODUCTS, _tokens("p", "products", "product_id"), _terms("p", "product_id", 1),
     _vocab("v", "p_terms", "products", "product_id", K.LEGACY_DIM), _weights("w", "p_terms", "v", "product_id", False)) + """
@@ -388,6 +397,7 @@ earlier AS (SELECT product_id, CASE WHEN product_id % 7 = 0 THEN concat_ws(' ',
     "vocab AS (SELECT * FROM vd UNION ALL SELECT * FROM vs)", _tokens("c", "products", "product_id"), _terms("c", "product_id", 2))
 ORACLE["index_update_search"] = _with(*_EARLIER, *RETRIEVED[len(VOCABS):]) + """
 SELECT query_id, product_id, retrieval_rank, round(dense_sim, 6) AS dense_sim, round(sparse_score, 6) AS sparse_score FROM retrieved"""
+ORACLE["segment_update_search"] = ORACLE["index_stream_search"] = ORACLE["index_update_search"]
 ORACLE["catalog_files"] = _with(PRODUCTS) + """
 SELECT fmt, product_id, name, category, CASE WHEN product_id % 9 <> 0 THEN brand ELSE 'Generic' END AS brand, price, rating, stock,
   round(discount, 4) AS discount FROM products, (VALUES ('jsonl'), ('parquet')) f(fmt)"""

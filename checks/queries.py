@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from cartwise import constants as K
 from cartwise.functions import scores, text as X, vectors as V
 from cartwise.operators import churn, churn_model, cleaning, dense, index, logstats, quantiles, query_intent, rerank
-from cartwise.operators import retrieval, rfm, sessions, tfidf, upsert, user_vectors, validate
+from cartwise.operators import retrieval, rfm, segments, sessions, tfidf, upsert, user_vectors, validate, vector_store
 from cartwise.operators.rerank_candidates import rerank_candidates
 from cartwise.plans import churn_training, embedding, search as search_plan
 from cartwise.session import shared_path, stage
 from cartwise.sources import artefacts, catalog, tables as T
 from cartwise.sources.transactions import read_transactions_csv
-from cartwise.streaming import product_vectors, sessions as live, sources as streams
+from cartwise.streaming import index_updates, live_scores, product_vectors, sessions as live, sources as streams
 
 REGISTRY: dict = {}
 
@@ -230,6 +230,21 @@ def session_intent_stream(spark, sf):
     return s.select("user_id", _text("session_start"), "intent_score", "score_bucket", "dominant_signal")
 
 
+@query
+def live_session_scores(spark, sf):
+    """Scores kept batch by batch while events come out of order: four files dealt by hash, and some folders folded."""
+    path = shared_path(spark, "live")
+    columns = ["event_id", "user_id", "ts", "event_type", "value"]
+    events = T.events(spark, sf).select(*columns)
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{path}/events")
+    table = live_scores.create(spark, f"{path}/table", **T.EVENT_SCALES)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+    live_scores.score_stream(stream, table, f"{path}/checkpoint", fan=3).awaitTermination()
+    s = table.scores()
+    return s.select("user_id", _text("session_start"), "intent_score", "score_bucket", "dominant_signal",
+                    *sessions.contribution_columns(s))
+
+
 # --- query understanding -----------------------------------------------------------
 
 @query
@@ -299,6 +314,19 @@ def embed_dedupe_md5(spark, sf):
     return upsert.embed_copies(docs, "doc_id", "text", todo)
 
 
+@query
+def embed_once_store(spark, sf):
+    """Labelled documents are embedded first, then all: the second run embeds only texts that the first had not."""
+    docs = T.table(spark, sf, "documents")
+    path = shared_path(spark, "vector-store")
+    store = vector_store.create(spark, path, tfidf.fit_vocab(docs, "text", tfidf.DENSE), tfidf.DENSE)
+    store.embed(docs.join(T.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
+    vectors, counts = store.embed(docs, "doc_id", "text")
+    weight = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["weight"])
+    return vectors.select("doc_id", "text_hash", F.col("seq").alias("run"), F.size("entries").cast("long").alias("terms"), F.round(weight, 6).alias("weight"),
+                          F.lit(counts.embedded).cast("long").alias("embedded"), F.lit(counts.reused).cast("long").alias("reused"))
+
+
 @query
 def mean_pool(spark, sf):
     pooled = dense.mean_pool(T.table(spark, sf, "embeddings"), "label", "embedding")
@@ -417,6 +445,47 @@ def index_update_search(spark, sf):
                       _r("dense_sim", 6), _r("sparse_score", 6))
 
 
+def _earlier(spark, sf):
+    """The catalogue, an earlier one (products missing, names reversed), and the products in which they differ."""
+    now = _catalog(spark, sf)
+    replaced = F.col("product_id") % 7 == 0
+    earlier = now.filter("product_id % 5 <> 0").withColumn("name", F.when(replaced, F.reverse("name")).otherwise(F.col("name")))
+    return now, earlier, now.filter("product_id % 5 = 0 or product_id % 7 = 0")
+
+
+def _retrieved(spark, sf, ix):
+    out = retrieval.hybrid_retrieve(T.search_requests(spark, sf), ix)
+    return out.select("query_id", "product_id", F.col("retrieval_rank").cast("long").alias("retrieval_rank"),
+                      _r("dense_sim", 6), _r("sparse_score", 6))
+
+
+@query
+def segment_update_search(spark, sf):
+    """An index on files after four updates, each a segment; among them products that came, went and came again."""
+    now, earlier, changed = _earlier(spark, sf)
+    store = segments.create(earlier, shared_path(spark, "index"))
+    store.apply(changed.filter("product_id % 3 = 0"))
+    store.apply(changed.filter("product_id % 3 <> 2").withColumn("name", F.lit("not the last name")))
+    store.apply(changed.filter("product_id % 3 = 1").select("product_id", F.lit(True).alias("removed")))
+    store.apply(changed)
+    return _retrieved(spark, sf, store.open())
+
+
+@query
+def index_stream_search(spark, sf):
+    """An index kept up to date by a stream of product changes, with segments folded on the way."""
+    now, earlier, changed = _earlier(spark, sf)
+    path = shared_path(spark, "streamed-index")
+    store = segments.create(earlier, f"{path}/index")
+    versions = changed.select("*", F.inline(F.array(F.struct(F.lit("an older name").alias("_name"), F.lit(1).alias("version")),
+                                                   F.struct(F.col("name").alias("_name"), F.lit(2).alias("version")))))
+    versions.withColumn("name", F.col("_name")).drop("_name").repartition(4, "product_id").write.parquet(f"{path}/changes")
+    schema = spark.read.parquet(f"{path}/changes").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/changes")
+    index_updates.index_stream(stream, store, f"{path}/checkpoint", fan=3).awaitTermination()
+    return _retrieved(spark, sf, store.open())
+
+
 @query
 def external_candidates_topk(spark, sf):
     """Order lines as candidates scored elsewhere: 100 best lines per supplier by price."""

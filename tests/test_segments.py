@@ -67,15 +67,15 @@ def test_updates_folding_and_versions(spark, products, queries):
     now = stage(spark.createDataFrame([[r[c] for c in products.columns] for r in catalogue.values()], products.schema), "now")
     assert rows(store.catalogue().select(*now.columns)) == rows(now)
     apart = store.version()
-    assert len(apart.segments) == 4
+    assert len(apart.folders) == 4
     same_as_new(store, now, queries)
     folded = store.fold(fan=3)
-    assert len(folded.segments) == 2 and folded.number == apart.number + 1
+    assert len(folded.folders) == 2 and folded.number == apart.number + 1
     same_as_new(store, now, None)
     same_as_new(store, now, None, apart)          # a reader of the version before
     assert rows(store.catalogue().select(*now.columns)) == rows(now) and rows(store.catalogue(old)) == rows(products.filter("ordinal % 10 <> 3"))
     whole = store.fold(None)
-    assert len(whole.segments) == 1 and spark.read.parquet(f"{path}/segments/{whole.segments[0].name}/tombstones").count() == 0
+    assert len(whole.folders) == 1 and spark.read.parquet(f"{path}/segments/{whole.folders[0].name}/tombstones").count() == 0
     store.vacuum()
     assert len(os.listdir(f"{path.removeprefix('file://')}/segments")) == 1 and bytes_of(f"{path}/segments") < 2 * base
     same_as_new(segments.open_store(spark, path), now, queries)
@@ -85,11 +85,11 @@ def test_small_updates_write_little(spark, products):
     path = shared_path(spark, "store")
     plain = products.filter("ordinal < 100000")
     store = segments.create(plain, path, 7)
-    whole = store.version().segments[0].postings
+    whole = store.version().folders[0].size
     one = store.apply(plain.filter("ordinal = 5").withColumn("name", F.lit("a new ring")))
-    assert one.segments[-1].postings < whole / 20
+    assert one.folders[-1].size < whole / 20
     again = store.apply(plain.filter("ordinal = 5"))
-    assert again.segments[-1].postings < whole / 20 and store.version().number == 2
+    assert again.folders[-1].size < whole / 20 and store.version().number == 2
     same_as_new(store, plain, None)
 
 
