@@ -1,4 +1,4 @@
-"""Search index over a catalogue: copies, postings and per-term bounds."""
+"""Search index over a catalogue: copies, postings, the best postings of each term, and blocks with their largest weights."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from cartwise import constants as K
 from cartwise.functions import text as X
 from cartwise.operators import tfidf as TF
 
-BUCKETS = 16
+BUCKETS = 64  # blocks of a list, by weight
 
 
 @dataclass(frozen=True)
@@ -21,9 +21,18 @@ class SearchIndex:
     vocab: DataFrame      # term, fid, space, idf, tf, df
     members: DataFrame    # gid, copies, ordinal, product_id
     postings: DataFrame   # gid, tid, bucket, dense, sparse
-    bounds: DataFrame     # tid, largest and k-th largest weights, bucket range
+    heads: DataFrame      # tid, gid, dense, sparse: postings among the k largest weights of their term in a space
+    blocks: DataFrame     # tid, bucket, n, top_dense, top_sparse: at most BUCKETS rows a term
     k: int
 
+    @property
+    def bounds(self) -> DataFrame:
+        """Per term the length of its list, the largest weights, and the ``k``-th largest; 0 for lists shorter than ``k``."""
+        span = self.blocks.groupBy("tid").agg(
+            F.sum("n").alias("list_length"), F.max("top_dense").alias("top_dense"), F.max("top_sparse").alias("top_sparse"))
+        kth = [_ranked(self.heads, w, self.k).filter(F.col("rn") == self.k).select("tid", F.col(w).alias(f"kth_{w}")) for w in ("dense", "sparse")]
+        return span.join(kth[0], "tid", "left").join(kth[1], "tid", "left").fillna(0.0)
+
 
 def with_corpus_text(products: DataFrame) -> DataFrame:
     return products.withColumn(
@@ -61,19 +70,20 @@ def postings(groups: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def term_bounds(post: DataFrame, k: int) -> DataFrame:
-    """Per vocabulary term the largest and ``k``-th largest weights; 0 for lists shorter than ``k``."""
-    def kth(weight: str) -> DataFrame:
-        order = Window.partitionBy("tid").orderBy(F.desc(weight), "gid")
-        best = post.select("tid", weight, "gid").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-        return best.filter(F.col("rn") == k).select("tid", F.col(weight).alias(f"kth_{weight}"))
+def _ranked(post: DataFrame, weight: str, k: int) -> DataFrame:
+    """The ``k`` largest weights of each term. The rank limit runs before the shuffle."""
+    order = Window.partitionBy("tid").orderBy(F.desc(weight), "gid")
+    return post.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 
-    span = post.groupBy("tid").agg(
-        F.count("*").alias("list_length"),
-        F.max("dense").alias("top_dense"), F.max("sparse").alias("top_sparse"),
-        F.min("bucket").alias("low_bucket"), F.max("bucket").alias("high_bucket"),
-    )
-    return span.join(kth("dense"), "tid", "left").join(kth("sparse"), "tid", "left").fillna(0.0)
+
+def term_heads(post: DataFrame, k: int) -> DataFrame:
+    columns = ("tid", "gid", "dense", "sparse")
+    return _ranked(post, "dense", k).select(*columns).union(_ranked(post, "sparse", k).select(*columns)).distinct()
+
+
+def term_blocks(post: DataFrame) -> DataFrame:
+    return post.groupBy("tid", "bucket").agg(
+        F.count("*").alias("n"), F.max("dense").alias("top_dense"), F.max("sparse").alias("top_sparse"))
 
 
 def build_index(products: DataFrame, keep, k: int = K.TOP_CANDIDATES, stock_only: bool = True,
@@ -87,15 +97,15 @@ def build_index(products: DataFrame, keep, k: int = K.TOP_CANDIDATES, stock_only
         vocab = keep(TF.fit_hybrid_vocab(texts, "text"), "vocab")
     groups = keep(copy_groups(texts, k, stock_only), "copy-groups")
     post = keep(postings(groups, vocab), "postings")
-    bounds = keep(term_bounds(post, k), "term-bounds")
-    return SearchIndex(vocab, groups.select("gid", "copies", "ordinal", "product_id"), post, bounds, k)
+    heads, blocks = keep(term_heads(post, k), "term-heads"), keep(term_blocks(post), "term-blocks")
+    return SearchIndex(vocab, groups.select("gid", "copies", "ordinal", "product_id"), post, heads, blocks, k)
 
 
 def update_index(index: SearchIndex, before: DataFrame, after: DataFrame, changed: DataFrame, keep, stock_only: bool = True) -> SearchIndex:
     """The index of the catalogue ``after``, from that of ``before``, with the vocabularies fitted then.
 
     ``changed`` are the product_ids that were added, replaced or removed. Only the groups of equal text
-    that such a product left or joined are formed again, and only bounds of terms they hold or held.
+    that such a product left or joined are formed again, and only heads and blocks of terms they hold or held.
     """
     def having(products: DataFrame) -> DataFrame:
         """Products of a text that a changed product has or had; a missing text counts as one."""
@@ -111,6 +121,8 @@ def update_index(index: SearchIndex, before: DataFrame, after: DataFrame, change
     fresh = keep(postings(groups, index.vocab), "postings-new")
     terms = keep(index.postings.join(gone, "gid", "left_semi").select("tid").union(fresh.select("tid")).distinct(), "terms-touched")
     post = keep(index.postings.join(gone, "gid", "left_anti").unionByName(fresh), "postings")
-    bounds = index.bounds.join(terms, "tid", "left_anti").unionByName(term_bounds(post.join(terms, "tid", "left_semi"), index.k))
+    again = post.join(terms, "tid", "left_semi")
+    heads = index.heads.join(terms, "tid", "left_anti").unionByName(term_heads(again, index.k))
+    blocks = index.blocks.join(terms, "tid", "left_anti").unionByName(term_blocks(again))
     members = index.members.join(gone, "gid", "left_anti").unionByName(groups.select("gid", "copies", "ordinal", "product_id"))
-    return SearchIndex(index.vocab, keep(members, "members"), post, keep(bounds, "term-bounds"), index.k)
+    return SearchIndex(index.vocab, keep(members, "members"), post, keep(heads, "term-heads"), keep(blocks, "term-blocks"), index.k)

@@ -1,15 +1,20 @@
 """Exact hybrid retrieval of many queries over an indexed catalogue.
 
 The score of a pair is a sum over shared terms, so pairs without a shared term score 0 and are never
-formed. Every list is read only as far as it can matter, whatever its length:
+formed. Lists are cut into blocks by weight, each with its own largest weights, and are read only as far as
+they can matter, whatever their length:
 
 1. ``floor`` of a query: the ``k``-th best weight of any one term, times its query weight, is
    reached by ``k`` products, so nothing below it can be in the result.
-2. Terms are ordered by their largest possible contribution (of both spaces together). A product in
-   the result is found through the first of its terms in this order, hence a list is read only
-   down to the weight at which it and all later terms together still reach the floor. Buckets of
-   weights make this an equi-join.
-3. What was read gives a lower and an upper bound per pair. The ``k``-th best lower bound raises
+2. The floor is raised before any list is read: the ``k`` best postings of the query's shortest lists,
+   which are stored beside the lists, are scored in full, and the ``k``-th best score is reached by ``k`` products too.
+3. Terms are ordered by the length of their list over their largest possible contribution (of both spaces
+   together), short lists of much weight first. A product in the result is found through the first of its terms in this
+   order, so a block is read only if its largest weights and all later terms together still reach the
+   floor. Long lists of frequent words come last, where the later terms are few, and are mostly never read.
+4. Lists no longer than those read together are read beside them, but only for the pairs found there: that costs
+   less than looking their terms up pair by pair.
+5. What was read gives a lower and an upper bound per pair. The ``k``-th best lower bound raises
    the floor; pairs whose upper bound stays below it are dropped. For the others the terms not read
    in full are looked up.
 
@@ -24,11 +29,12 @@ from pyspark.sql import functions as F
 
 from cartwise import constants as K
 from cartwise.operators import tfidf as TF
-from cartwise.operators.index import BUCKETS, SearchIndex
+from cartwise.operators.index import SearchIndex
 from cartwise.operators.joins import block_join
 from cartwise.session import stage
 
 SLACK = 1e-8
+SEEDS = 1  # times k postings of a query are scored before lists are read
 SCORE_DIGITS = 9  # scores closer than this count as equal and keep catalogue order
 
 
@@ -42,47 +48,69 @@ def _adds(dense: str, sparse: str) -> Column:
     return K.W_DENSE * F.col("q_dense") * F.col(dense) + K.W_SPARSE * F.col("q_sparse") * F.col(sparse)
 
 
-def _reading_plan(qv: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Per query term: how far its list is read, and the most an unread posting can add."""
-    per_query = Window.partitionBy("qkey")
-    later = per_query.orderBy(F.desc("most"), "tid").rowsBetween(1, Window.unboundedFollowing)
+def _query_terms(qv: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Query terms with the most a posting of theirs can add, and the floor by single terms."""
     # one row per vocabulary term
     terms = qv.join(F.broadcast(bounds), "tid").withColumn("most", _adds("top_dense", "top_sparse"))
     kth = F.greatest(K.W_DENSE * F.col("q_dense") * F.col("kth_dense"), K.W_SPARSE * F.col("q_sparse") * F.col("kth_sparse"))
-    placed = terms.withColumn("rest", F.coalesce(F.sum("most").over(later), F.lit(0.0))).withColumn(
-        "floor", F.max(kth).over(per_query) - SLACK
+    return terms.withColumn("floor", F.max(kth).over(Window.partitionBy("qkey")) - SLACK)
+
+
+def _scored_seeds(terms: DataFrame, index: SearchIndex) -> DataFrame:
+    """Per query the ``k``-th best score among the best postings of its shortest lists: (qkey, reached)."""
+    shortest = Window.partitionBy("qkey").orderBy("list_length", "tid").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.least("list_length", F.lit(index.k))).over(shortest), F.lit(0))
+    chosen = terms.withColumn("before", before).filter(F.col("before") < SEEDS * index.k).select("qkey", "tid")
+    seeds = block_join(chosen, index.heads.select("tid", "gid"), ["tid"], "qkey", "gid").select("qkey", "gid").distinct()
+    scored = (
+        seeds.join(terms.select("qkey", "tid", "q_dense", "q_sparse"), "qkey")
+        .join(index.postings.select("gid", "tid", "dense", "sparse"), ["gid", "tid"])
+        .groupBy("qkey", "gid").agg(F.sum(_adds("dense", "sparse")).alias("score"))
     )
+    order = Window.partitionBy("qkey").orderBy(F.desc("score"), "gid")
+    ranked = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= index.k)
+    return ranked.filter(F.col("rn") == index.k).select("qkey", (F.col("score") - SLACK).alias("reached"))
+
+
+def reading_plan(qv: DataFrame, index: SearchIndex) -> DataFrame:
+    """Per query term: how far its list is read, and the most an unread posting can add."""
+    terms = stage(_query_terms(qv, index.bounds), "query-terms")
+    raised = terms.join(_scored_seeds(terms, index), "qkey", "left").withColumn(
+        "floor", F.greatest("floor", F.coalesce("reached", F.lit(0.0)))).drop("reached")
+    per_query = Window.partitionBy("qkey")
+    later = per_query.orderBy(F.col("list_length") / F.greatest("most", F.lit(SLACK)), "tid").rowsBetween(1, Window.unboundedFollowing)
+    placed = raised.withColumn("rest", F.coalesce(F.sum("most").over(later), F.lit(0.0)))
     gap = F.greatest(F.col("floor") - F.col("rest"), F.lit(0.0))
-    unread = F.least("most", "gap")
-    # a posting whose larger weight is below gap / per_weight adds less than the gap
-    per_weight = K.W_DENSE * F.col("q_dense") + K.W_SPARSE * F.col("q_sparse")
-    return placed.withColumn("gap", gap).withColumns({
-        "in_full": F.col("gap") == 0,
-        "down_to": F.col("gap") / per_weight,
-        "unread": unread,
-        "unread_sum": F.sum(unread).over(per_query),
-    })
+    reads = F.sum(F.when(F.col("most") >= F.col("gap"), F.col("list_length")).otherwise(0)).over(per_query)
+    unread = F.when(F.col("in_full"), 0.0).otherwise(F.least("most", "gap"))
+    planned = placed.withColumn("gap", gap).withColumn("in_full", (F.col("gap") == 0) | (F.col("list_length") <= reads))
+    return planned.withColumns({"unread": unread, "unread_sum": F.sum(unread).over(per_query)})
+
+
+def blocks_to_read(plan: DataFrame, index: SearchIndex) -> DataFrame:
+    """Rows of the plan, one for each block that is read: those whose largest weights reach the gap, and all of terms read in full."""
+    blocks = F.broadcast(index.blocks)  # BUCKETS rows a vocabulary term at most
+    return plan.filter((F.col("most") >= F.col("gap")) | F.col("in_full")).drop("top_dense", "top_sparse").join(blocks, "tid").filter(
+        (_adds("top_dense", "top_sparse") >= F.col("gap")) | F.col("in_full")).select(
+        "qkey", "tid", "bucket", "n", "q_dense", "q_sparse", "gap", "in_full", "unread", "unread_sum", "floor")
 
 
 def _read_lists(plan: DataFrame, index: SearchIndex) -> DataFrame:
     """Pairs (qkey, gid) met while reading that may reach the floor, with their bounds and the sums
     over terms read in full."""
-    low = F.greatest(F.floor(F.col("down_to") * BUCKETS).cast("int"), F.col("low_bucket"))
-    lists = plan.filter((low <= F.col("high_bucket")) & (F.col("most") >= F.col("gap"))).select(
-        "qkey", "tid", "q_dense", "q_sparse", "gap", "unread", "unread_sum", "floor",
-        F.explode(F.sequence(low, "high_bucket")).alias("bucket"))
     stored = index.postings.select("tid", "bucket", "gid", "dense", "sparse")
     adds, none = _adds("dense", "sparse"), F.lit(0.0)
-    read = block_join(lists, stored, ["tid", "bucket"], "qkey", "gid")
-    read = read.filter(adds >= F.col("gap"))
-    whole = F.col("gap") == 0
+    read = block_join(blocks_to_read(plan, index).drop("n"), stored, ["tid", "bucket"], "qkey", "gid")
+    read = read.filter((adds >= F.col("gap")) | F.col("in_full"))
+    whole = F.col("in_full")
     pairs = read.groupBy("qkey", "gid").agg(
         F.sum(F.when(whole, F.col("q_dense") * F.col("dense")).otherwise(none)).alias("dense_sim"),
         F.sum(F.when(whole, F.col("q_sparse") * F.col("sparse")).otherwise(none)).alias("sparse_score"),
         F.sum(F.when(whole, none).otherwise(adds)).alias("partly"),
         (F.first("unread_sum") - F.sum("unread")).alias("open"),
         F.first("floor").alias("floor"),
-    )
+        F.bool_or(adds >= F.col("gap")).alias("found"),
+    ).filter("found")
     at_least = K.W_DENSE * F.col("dense_sim") + K.W_SPARSE * F.col("sparse_score") + F.col("partly")
     bounded = pairs.select("qkey", "gid", "dense_sim", "sparse_score", "floor", at_least.alias("at_least"),
                            (at_least + F.col("open")).alias("at_most"))
@@ -152,7 +180,7 @@ def hybrid_retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
     """
     texts = queries.filter(F.col("query").isNotNull()).groupBy("query").agg(F.min("query_id").alias("qkey"))
     qv = query_vectors(texts, "qkey", "query", index.vocab)
-    plan = stage(_reading_plan(qv, index.bounds), "reading-plan")
+    plan = stage(reading_plan(qv, index), "reading-plan")
     pairs = stage(candidate_pairs(plan, index), "pairs")
     scored = score_pairs(pairs, plan, index.postings).withColumn("hybrid", hybrid_score(F.col("dense_sim"), F.col("sparse_score")))
     sizes = index.members.filter("ordinal = gid").select("gid", "copies")

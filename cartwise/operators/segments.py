@@ -16,7 +16,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise import constants as K
@@ -60,9 +60,13 @@ class IndexStore:
         return rows.join(hidden, (rows["gid"] == hidden["gid"]) & (F.col("seq") < F.col("until")), "left_anti").drop("seq")
 
     def open(self, version: Version | None = None) -> SearchIndex:
-        """The index of a version, by default of the newest one, over all its segments."""
+        """The index of a version, by default of the newest one, over all its segments.
+
+        The best postings of a term are visible ones among the best of each segment, so bounds taken from them hold.
+        """
         segments = (version or self.version()).folders
-        return SearchIndex(self.vocab(), self._live(segments, "members"), self._live(segments, "postings"), self._bounds(segments), self.k)
+        return SearchIndex(self.vocab(), self._live(segments, "members"), self._live(segments, "postings"),
+                           self._live(segments, "heads"), self._blocks(segments), self.k)
 
     def vocab(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/vocab")
@@ -71,15 +75,10 @@ class IndexStore:
         """Products of a version."""
         return _newest(self._table((version or self.version()).folders, "products")).filter(~F.col("removed")).drop("removed")
 
-    def _bounds(self, segments: tuple[Folder, ...]) -> DataFrame:
-        """Bounds over all segments. Largest weights may be those of hidden groups, which only makes them less
-        tight; the k-th largest ones are taken over visible groups among the first of each segment."""
-        merged = self._table(segments, "bounds").groupBy("tid").agg(
-            F.sum("list_length").alias("list_length"), F.max("top_dense").alias("top_dense"), F.max("top_sparse").alias("top_sparse"),
-            F.min("low_bucket").alias("low_bucket"), F.max("high_bucket").alias("high_bucket"))
-        seen = self._live(segments, "heads")
-        kth = _kth(seen, "dense", self.k).join(_kth(seen, "sparse", self.k), "tid", "full")
-        return merged.join(kth, "tid", "left").fillna(0.0, ["kth_dense", "kth_sparse"])
+    def _blocks(self, segments: tuple[Folder, ...]) -> DataFrame:
+        """Blocks over all segments. They may count hidden groups, which only makes them less tight."""
+        return self._table(segments, "blocks").groupBy("tid", "bucket").agg(
+            F.sum("n").alias("n"), F.max("top_dense").alias("top_dense"), F.max("top_sparse").alias("top_sparse"))
 
     # --- writing
 
@@ -98,10 +97,8 @@ class IndexStore:
         written = postings.withColumn("seq", F.lit(seq).cast("long"))
         written.write.parquet(f"{folder}/postings")
         stored = self.spark.read.schema(written.schema).parquet(f"{folder}/postings")
-        stored.groupBy("tid", "seq").agg(
-            F.count("*").alias("list_length"), F.max("dense").alias("top_dense"), F.max("sparse").alias("top_sparse"),
-            F.min("bucket").alias("low_bucket"), F.max("bucket").alias("high_bucket")).write.parquet(f"{folder}/bounds")
-        _first(stored, "dense", self.k).union(_first(stored, "sparse", self.k)).distinct().write.parquet(f"{folder}/heads")
+        IX.term_blocks(stored).write.parquet(f"{folder}/blocks")
+        IX.term_heads(stored, self.k).withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{folder}/heads")
         return Folder(seq, name, stored.count())
 
     def apply(self, changes: DataFrame, batch: int | None = None) -> Version:
@@ -173,18 +170,6 @@ def _newest(rows: DataFrame) -> DataFrame:
     return latest(rows, "product_id", "seq").drop("seq")
 
 
-def _first(post: DataFrame, weight: str, k: int) -> DataFrame:
-    """The ``k`` largest weights of each term."""
-    order = Window.partitionBy("tid").orderBy(F.desc(weight), "gid")
-    return post.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select("tid", "gid", "dense", "sparse", "seq")
-
-
-def _kth(post: DataFrame, weight: str, k: int) -> DataFrame:
-    order = Window.partitionBy("tid").orderBy(F.desc(weight), "gid")
-    best = post.select("tid", weight, "gid").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-    return best.filter(F.col("rn") == k).select("tid", F.col(weight).alias(f"kth_{weight}"))
-
-
 def create(products: DataFrame, path: str, k: int = K.TOP_CANDIDATES, stock_only: bool = True, vocab: DataFrame | None = None) -> IndexStore:
     """An index of ``products`` at ``path``, with the vocabularies fitted on them (unless given)."""
     spark = products.sparkSession

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 
 from cartwise.operators.index import SearchIndex
 
-_INDEX_TABLES = ("vocab", "members", "postings", "bounds")
+_INDEX_TABLES = ("vocab", "members", "postings", "heads", "blocks")
 
 
 def load_or_fit(spark: SparkSession, path: str, fit: Callable[[], DataFrame]) -> DataFrame:

@@ -147,3 +147,17 @@ def test_updated_index_equals_a_new_one(spark, products, queries):
         a, b = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in getattr(ix, name).select(*getattr(fresh, name).columns).collect())
                 for ix in (updated, fresh))
         assert a == b, name
+
+
+def test_frequent_words_are_not_read_whole(spark, products, queries):
+    ix = index.build_index(products, stage, 5)
+    texts = queries.filter("query <> ''").groupBy("query").agg(F.min("query_id").alias("qkey"))
+    plan = stage(retrieval.reading_plan(retrieval.query_vectors(texts, "qkey", "query", ix.vocab), ix), "plan")
+    frequent = ix.vocab.filter("term = 'brand'").agg(F.max("fid")).first()[0]
+    of_word = plan.filter(F.col("tid") == frequent)
+    whole = of_word.agg(F.sum("list_length")).first()[0]
+    read = retrieval.blocks_to_read(plan, ix).filter(F.col("tid") == frequent).agg(F.sum("n")).first()[0] or 0
+    assert of_word.count() > 50 and read < whole / 10
+    groups = ix.members.filter("gid = ordinal").count()
+    pairs = retrieval.candidate_pairs(plan, ix).count()
+    assert pairs < plan.select("qkey").distinct().count() * groups / 5

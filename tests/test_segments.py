@@ -39,10 +39,11 @@ def same_as_new(store, products, queries, version=None):
     for name in ("members", "postings"):
         columns = getattr(fresh, name).columns
         assert rows(getattr(opened, name).select(*columns)) == rows(getattr(fresh, name)), name
-    loose = opened.bounds.alias("a").join(fresh.bounds.alias("b"), "tid").filter(
-        "a.top_dense < b.top_dense or a.top_sparse < b.top_sparse or a.kth_dense > b.kth_dense or a.kth_sparse > b.kth_sparse"
-        " or a.low_bucket > b.low_bucket or a.high_bucket < b.high_bucket")
+    a, b = opened.bounds.alias("a"), fresh.bounds.alias("b")
+    loose = a.join(b, "tid").filter("a.top_dense < b.top_dense or a.top_sparse < b.top_sparse or a.kth_dense > b.kth_dense or a.kth_sparse > b.kth_sparse")
     assert loose.count() == 0 and fresh.bounds.join(opened.bounds, "tid", "left_anti").count() == 0
+    blocks = fresh.blocks.alias("b").join(opened.blocks.alias("a"), ["tid", "bucket"], "left")
+    assert blocks.filter("a.n is null or a.n < b.n or a.top_dense < b.top_dense or a.top_sparse < b.top_sparse").count() == 0
     if queries is not None:
         order = ["query_id", "retrieval_rank", "product_id"]
         assert rows(retrieval.hybrid_retrieve(queries, opened).select(*order)) == rows(retrieval.hybrid_retrieve(queries, fresh).select(*order))
