@@ -28,7 +28,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Set
 
 import numpy as np
 import pandas as pd
@@ -78,11 +78,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
     inside[over.ravel()] = False
     x = h[inside]
     counts = sizes - SHINGLE + 1
-    starts = np.cumsum(counts) - counts
-    keys = np.empty((BANDS, len(lines)), np.uint64)
+    return least_keys(x, np.cumsum(counts) - counts)
+
+
+def least_keys(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bucket keys (BANDS x sets) of sets of 32-bit hashes that lie one after another in ``x``, from ``starts`` on."""
+    keys = np.empty((BANDS, len(starts)), np.uint64)
     v = np.empty_like(x)
     for band in range(BANDS):
-        key = np.full(len(lines), band + 1, np.uint64) * _ODD
+        key = np.full(len(starts), band + 1, np.uint64) * _ODD
         for r in range(ROWS):
             i = band * ROWS + r
             np.multiply(x, _FACTORS[i], out=v)
@@ -180,9 +184,13 @@ def _same(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> n
 
 
 class _Links:
-    """Union-find over the lines of units that are dealt together; no pair is verified twice, or once linked."""
+    """Union-find over the lines of units that are dealt together; no pair is verified twice, or once linked.
+
+    ``shingled`` gives a line's set of shingles; by default those of its characters.
+    """
 
-    def __init__(self):
+    def __init__(self, shingled: Callable[[str], Set] | None = None):
+        self.shingled = shingled or (lambda text: shingles(text) if len(text) <= LONG else Shingles(text))
         self.parent: dict[int, int] = {}
         self.sets: dict[int, set[str] | Shingles] = {}
         self.texts: dict[int, str] = {}
@@ -221,7 +229,7 @@ class _Links:
         for line, text in zip(lines, texts):
             if line not in self.sets:
                 self.texts[line] = text
-                self.sets[line] = shingles(text) if len(text) <= LONG else Shingles(text)
+                self.sets[line] = self.shingled(text)
         groups: dict[int, list[tuple[int, int]]] = {}
         for line, block in zip(lines, blocks):
             own = groups.pop(self.find(line), []) + [(line, block)]
@@ -232,7 +240,7 @@ class _Links:
             groups[self.find(line)] = own
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verified(batches: Iterator[pd.DataFrame], shingled: Callable[[str], Set] | None = None) -> Iterator[pd.DataFrame]:
     """Edges (a, b) between lines, from rows sorted by deal and unit."""
     rest: list[pd.DataFrame] = []  # of the last deal
 
@@ -241,11 +249,11 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero(np.append(True, (units[1:] != units[:-1]) | (deals[1:] != deals[:-1])))
         lines, texts, blocks, cross = (part[c].tolist() for c in ("line", "text", "block", "cross"))
         found: list[tuple[int, int]] = []
-        links, deal = _Links(), None
+        links, deal = _Links(shingled), None
         for lo, hi in zip(at, np.append(at[1:], len(units))):
             if deals[lo] != deal:
                 found += [(x, r) for x in links.parent if (r := links.find(x)) != x]
-                links, deal = _Links(), deals[lo]
+                links, deal = _Links(shingled), deals[lo]
             links.add_unit(lines[lo:hi], texts[lo:hi], blocks[lo:hi], bool(cross[lo]))
         found += [(x, r) for x in links.parent if (r := links.find(x)) != x]
         return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
@@ -272,20 +280,18 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, root): for each line with a similar, not equal one, its hash and the least hash of its component."""
-    rows = docs.select(F.col(text).alias("text")).mapInPandas(_signatures, "key long, line long, size int")
-    shared = stage(rows.repartition("key").sortWithinPartitions("key", "line").mapInPandas(_shared, "key long, line long, size int"), "buckets")
+def chosen_buckets(signed: DataFrame) -> DataFrame:
+    """Staged (key, line, least, blocks) of buckets with several lines, each set of lines once; ``signed``: key, line, size."""
+    shared = stage(signed.repartition("key").sortWithinPartitions("key", "line").mapInPandas(_shared, "key long, line long, size int"), "buckets")
     buckets = shared.groupBy("key").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("line")).alias("members"), F.min("line").alias("least"), F.sum("size").alias("chars"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
     once = buckets.groupBy("members", "n").agg(F.min_by(F.struct("key", "least", "chars"), "key").alias("b")).select("n", "b.*")
-    chosen = stage(shared.join(once, "key").select("key", "line", "least", F.least("n", blocks).cast("int").alias("blocks")), "chosen-buckets")
-    wanted = stage(chosen.select("line").distinct(), "candidate-lines")
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    exploded = docs.select(F.explode(_lines(F.col(text))).alias("raw")).select(_bare(F.col("raw")).alias("text"))
-    texts = exploded.withColumn("line", F.xxhash64("text")).join(wanted, "line").groupBy("line").agg(F.min("text").alias("text"))
+    return stage(shared.join(once, "key").select("key", "line", "least", F.least("n", blocks).cast("int").alias("blocks")), "chosen-buckets")
+
+
+def verified_links(chosen: DataFrame, texts: DataFrame, shingled: Callable[[str], Set] | None = None) -> DataFrame:
+    """Edges (a, b) that connect what pairs of similar lines within buckets connect. ``texts``: line, text."""
     units = (
         chosen.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
         .select("line", "key", "least", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
@@ -293,9 +299,19 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                 F.xxhash64("least", F.least("block", "other"), F.greatest("block", "other")).alias("deal"), "block",
                 (F.col("block") != F.col("other")).cast("int").alias("cross"))
     )
-    edges = units.join(stage(texts, "candidate-texts"), "line").repartition("deal").sortWithinPartitions("deal", "unit", "line").mapInPandas(
-        _verified, "a long, b long")
-    return components(stage(edges, "line-links"))
+    return units.join(texts, "line").repartition("deal").sortWithinPartitions("deal", "unit", "line").mapInPandas(
+        lambda batches: _verified(batches, shingled), "a long, b long")
+
+
+def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, root): for each line with a similar, not equal one, its hash and the least hash of its component."""
+    chosen = chosen_buckets(docs.select(F.col(text).alias("text")).mapInPandas(_signatures, "key long, line long, size int"))
+    wanted = stage(chosen.select("line").distinct(), "candidate-lines")
+    if wanted.count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    exploded = docs.select(F.explode(_lines(F.col(text))).alias("raw")).select(_bare(F.col("raw")).alias("text"))
+    texts = exploded.withColumn("line", F.xxhash64("text")).join(wanted, "line").groupBy("line").agg(F.min("text").alias("text"))
+    return components(stage(verified_links(chosen, stage(texts, "candidate-texts")), "line-links"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

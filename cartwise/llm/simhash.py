@@ -38,6 +38,7 @@ from pyspark.sql.window import Window
 
 from cartwise.llm.columns import pack, unpack
 from cartwise.llm.components import components, local_roots
+from cartwise.llm.near_copies import similar_texts
 from cartwise.session import stage
 
 SHINGLE = 3
@@ -178,18 +179,30 @@ def _classes(printed: DataFrame) -> DataFrame:
     return unpack(printed.join(classes, "fp"), digits("fp").alias("fingerprint"), "component_id", digits("root").alias("class_print"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near_copies: bool = False) -> DataFrame:
     """``docs`` with one row of each class: of its least id (nulls last), then of the least fingerprint and text hash.
 
-    Which row stays is decided on ids and fingerprints alone; rows are shuffled once, to pick it.
+    Which row stays is decided on ids and fingerprints alone; rows are shuffled once, to pick it. With ``near_copies``
+    links are also those of ``near_copies.similar_texts``, since texts that share four fifths of their shingles differ
+    by seven bits in the mean.
     """
-    printed = stage(docs.select(pack(docs), F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp"), F.xxhash64(text).alias("_hash")), "fingerprints")
+    printed = stage(docs.select(pack(docs), F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp"),
+                                F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash")), "fingerprints")
     slim = printed.select("fp", "_key", "_hash")
     classes = _print_classes(slim)
+    if near_copies:
+        rooted = stage(slim.join(classes.select("fp", "root"), "fp").select("_hash", "root").distinct(), "texts-by-class")
+        pivots = rooted.groupBy("root").agg(F.min("_hash").alias("pivot"))
+        own = rooted.join(pivots, "root").select(F.col("_hash").alias("a"), F.col("pivot").alias("b"))
+        near = similar_texts(printed.select(F.col("_hash").alias("line"), F.col("_row").getField(text).alias("text")))
+        classes = components(stage(own.unionByName(near), "text-links")).select(F.col("node").alias("_hash"), "root")
+        rooted = slim.join(classes, "_hash")
+    else:
+        rooted = slim.join(classes, "fp")
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("id"), "fp", "_hash")
-    first = slim.join(classes, "fp").groupBy("root").agg(F.min(order).alias("o")).select(
+    first = rooted.groupBy("root").agg(F.min(order).alias("o")).select(
         F.col("o.fp").alias("_fp"), F.col("o.id").alias("_id"), F.col("o._hash").alias("_first"))
-    same = (F.col("fp") == F.col("_fp")) & F.col("_key").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_first"))
+    same = (F.col("fp") == F.col("_fp")) & F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_first"))
     # rows that repeat id and text: a rank limit leaves one a task before the shuffle, and one after it
     one = Window.partitionBy("fp", "_key", "_hash").orderBy(F.xxhash64("_row"))
     return unpack(printed.join(first, same, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1"))
