@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -38,11 +39,14 @@ def local_session(app: str = "cartwise", cpus: int | str = 8, memory: str = "16g
 def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors reach: ``spark.checkpoint.dir``.
 
-    Where a session names none, as in a trial, a folder in the warehouse is used, which is shared by
-    definition. It is removed when the driver ends, if it is on the driver's own disk.
+    Where a session on one machine names none, as in a trial, a folder in the warehouse is used, and removed
+    when the driver ends. On a cluster that is an error.
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"{_CHECKPOINT_KEY} has to name a folder that all executors of {master} reach")
         app = spark.sparkContext.applicationId
         root = _own_folders.get(app)
         if root is None:

@@ -540,3 +540,22 @@ broken AS (
   SELECT 'rerank', CASE WHEN event_type = 'view' THEN 'user_vector:required' WHEN event_type = 'error' THEN 'candidates:product_id,keyword_score'
     WHEN event_type = 'signup' THEN 'search_intent:label,confidence' END FROM e)
 SELECT endpoint, reason, count(*) AS n_rows FROM broken WHERE reason IS NOT NULL GROUP BY ALL"""
+
+# --- round trips, counters of running jobs, running sums ---------------------------------------
+
+ORACLE["funnel_of_one_run"] = ORACLE["rfm_clean_funnel"]
+ORACLE["vocab_load_or_fit"] = ORACLE["tfidf_vocab_legacy"]
+ORACLE["user_vectors_running"] = ORACLE["user_vectors_recent"]
+ORACLE["search_responses_json"] = ORACLE["search_rerank"]
+ORACLE["legacy_catalog_file"] = _with(PRODUCTS) + """
+SELECT product_id, name, descr AS "desc", category, price FROM products"""
+ORACLE["churn_model_files"] = _with(*_RFM) + """
+SELECT count(*) AS answers, count(*) AS same FROM rfm"""
+ORACLE["vectors_of_384"] = """
+WITH v AS (SELECT vec_id, unnest(range(0, 384)) AS i, embedding FROM embeddings),
+x AS (SELECT vec_id, i, embedding[i % 64 + 1]::DOUBLE AS x FROM v)
+SELECT vec_id, 384 AS padded_size, 384 AS cut_size, round(sum(CASE WHEN i < 64 THEN x * (i + 1) ELSE 0 END), 4) AS padded_sum, round(sum(x * (i + 1)), 4) AS cut_sum
+FROM x GROUP BY vec_id"""
+ORACLE["stream_counters"] = _with(LOG) + """
+SELECT unnest(['requests', 'malformed', 'business_error', 'slow']) AS label,
+  unnest([count(*), count(*) FILTER (status = 422), count(*) FILTER (status >= 500), count(*) FILTER (dur > 0.1)]) AS n FROM log"""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from cartwise import constants as K
 from cartwise.functions import scores, text as X, vectors as V
-from cartwise.operators import churn, churn_model, cleaning, dense, index, logstats, quantiles, query_intent, rerank
-from cartwise.operators import retrieval, rfm, segments, sessions, tfidf, upsert, user_vectors, validate, vector_store
+from cartwise.operators import churn, churn_model, cleaning, dense, index, logstats, metrics, quantiles, query_intent, rerank, responses
+from cartwise.operators import retrieval, rfm, segments, sessions, tfidf, upsert, user_state, user_vectors, validate, vector_store
 from cartwise.operators.rerank_candidates import rerank_candidates
 from cartwise.plans import churn_training, embedding, search as search_plan
 from cartwise.session import shared_path, stage
@@ -46,6 +46,14 @@ def rfm_clean_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.cleaning_funnel(T.transactions(spark, sf)).withColumn("step", F.col("step").cast("long"))
 
 
+@query
+def funnel_of_one_run(spark, sf):
+    """The funnel as counters of the run that cleans, without another scan."""
+    run = metrics.CleaningRun(T.transactions(spark, sf))
+    run.write()
+    return run.funnel().withColumn("step", F.col("step").cast("long"))
+
+
 @query
 def transaction_summary(spark, sf):
     s = cleaning.transaction_summary(cleaning.clean_transactions(T.transactions(spark, sf)))
@@ -83,6 +91,41 @@ def catalog_files(spark, sf):
     return out
 
 
+@query
+def legacy_catalog_file(spark, sf):
+    """Products in files of one JSON array each, in the columns of the older catalogue, and read back."""
+    path = shared_path(spark, "legacy-catalog")
+    product = F.struct(F.col("product_id").cast("string").alias("id"), "name", "desc", "category", "price")
+    arrays = T.products(spark, sf).groupBy((F.col("product_id") / 1000).cast("long").alias("thousand")).agg(
+        F.to_json(F.collect_list(product)).alias("value"))
+    arrays.write.partitionBy("thousand").text(path)
+    back = catalog.read_legacy_catalog(spark, f"{path}/*")
+    return back.select(F.col("product_id").cast("long").alias("product_id"), "name", "desc", "category", "price")
+
+
+@query
+def vocab_load_or_fit(spark, sf):
+    """A vocabulary fitted and written by the first call, and read by the second, which could not fit one."""
+    path = shared_path(spark, "vocab")
+    products = embedding.with_product_text(T.products(spark, sf))
+    artefacts.load_or_fit(spark, path, lambda: tfidf.fit_vocab(products, "text", tfidf.LEGACY))
+    again = artefacts.load_or_fit(spark, path, lambda: products.select(F.raise_error(F.lit("fitted again")).alias("term")))
+    return again.select("term", F.col("fid").cast("long").alias("fid"), "tf", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def churn_model_files(spark, sf):
+    """A model and its scaling written to files: answers of the one read back against those of the one trained."""
+    base = stage(_rfm(spark, sf), "rfm")
+    model = churn_model.train_churn_model(churn_model.training_rows(base))
+    path = shared_path(spark, "churn-model")
+    model.save(spark, path)
+    answers = ["churn_probability", "churn_risk_level", "recommended_action", "model_type"]
+    own = churn_model.predict(base, model).select("customer_id", F.struct(*answers).alias("own"))
+    read = churn_model.predict(base, churn_model.ChurnModel.load(spark, path)).select("customer_id", F.struct(*answers).alias("read"))
+    return own.join(read, "customer_id").agg(F.count("*").alias("answers"), F.count_if(F.col("own") == F.col("read")).alias("same"))
+
+
 @query
 def index_file_search(spark, sf):
     """An index written to files and read back."""
@@ -358,6 +401,31 @@ def user_vectors_recent(spark, sf):
         "user_id", F.col("fid").cast("long").alias("pos"), _r("x", 6))
 
 
+@query
+def user_vectors_running(spark, sf):
+    """User vectors after three loads of interactions, with product vectors that came late or were wrong at first, and folded once."""
+    vectors = _legacy_vectors(spark, sf)
+    items = stage(T.interactions(spark, sf), "interactions")
+    store = user_state.create(spark, shared_path(spark, "user-vectors"))
+    part = lambda n: items.filter(F.pmod(F.xxhash64("user_id", "product_id"), F.lit(3)) == n)
+    wrong = F.transform("entries", lambda e: F.struct(((e["fid"] + 1) % 50).cast("int").alias("fid"), (e["weight"] * 2).alias("weight")))
+    store.add(part(0), vectors.filter("product_id % 3 <> 0").withColumn("entries", F.when(F.col("product_id") % 5 == 0, wrong).otherwise(F.col("entries"))))
+    store.add(part(1), vectors.filter("product_id % 3 = 0"))
+    store.fold(None)
+    store.add(part(2), vectors.filter("product_id % 5 = 0"))
+    return store.entries().select("user_id", F.inline("entries").alias("fid", "x")).select(
+        "user_id", F.col("fid").cast("long").alias("pos"), _r("x", 6))
+
+
+@query
+def vectors_of_384(spark, sf):
+    """Vectors of 64 numbers padded to 384, and seven in a row, 448 numbers, cut to 384."""
+    e = T.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    both = e.select("vec_id", V.pad(F.col("v"), K.DENSE_DIM).alias("padded"), V.pad(F.concat(*["v"] * 7), K.DENSE_DIM).alias("cut"))
+    weighed = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return both.select("vec_id", *[F.size(c).cast("long").alias(f"{c}_size") for c in ("padded", "cut")], *[F.round(weighed(c), 4).alias(f"{c}_sum") for c in ("padded", "cut")])
+
+
 @query
 def recent_product_arrays(spark, sf):
     """Orders as user vector requests: without weights, with a weight too few, or with all."""
@@ -517,6 +585,16 @@ def search_rerank(spark, sf):
         "pricing_score", "intent_label", "intent_confidence", "total_candidates")
 
 
+@query
+def search_responses_json(spark, sf):
+    """Answers as one JSON document per request, and read back."""
+    written = responses.search_responses(_search(spark, sf))
+    return responses.read_responses(written).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "product_id", "name", "category", "brand", "price",
+        "discount", "rating", "final_score", "vector_score", "dense_sim", "sparse_score", "intent_score",
+        "pricing_score", "intent_label", "intent_confidence", "total_candidates")
+
+
 @query
 def rank_explain(spark, sf):
     return _search(spark, sf).select("query_id", F.col("rank").cast("long").alias("rank"), "product_id", "rank_explanation")
@@ -681,6 +759,20 @@ def success_ratio_stream(spark, sf):
     return out.select(_text("window_start"), _r("success_ratio", 6), _r("error_ratio", 6))
 
 
+@query
+def stream_counters(spark, sf):
+    """Labelled counters that a stream reports while it writes the log, from four files of events."""
+    path = shared_path(spark, "counted")
+    log = _log(spark, sf).select("event_id", "status", "endpoint", "duration_s")
+    log.repartition(4, "event_id").write.parquet(f"{path}/log")
+    labels = {"requests": F.lit(True), "malformed": F.col("status") == 422, "business_error": F.col("status") >= 500, "slow": F.col("duration_s") > 0.1}
+    rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log").observe("counters", *metrics.labelled_counters(labels))
+    run = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    totals = metrics.StreamCounters("counters").update(run)
+    return spark.createDataFrame(list(totals.items()), "label string, n long")
+
+
 @query
 def log_filter(spark, sf):
     """Log lines of one service with problems; event types and order priorities stand for the text."""
