@@ -1,12 +1,13 @@
-"""Live session scores after every batch, vectors embedded once, an index kept by a stream."""
+"""Live session scores after every batch, vectors embedded once, an index kept by a stream, running sums, counters, responses."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.operators import segments, sessions, tfidf, vector_store
+from cartwise.operators import cleaning, metrics, responses, segments, sessions, tfidf, user_state, user_vectors, vector_store
 from cartwise.session import shared_path, stage
 from cartwise.sources import tables as T, versions
 from cartwise.streaming import index_updates, live_scores
@@ -93,3 +94,61 @@ def test_index_stream_applies_batches_once(spark, sf):
     assert store.version() == version
     with pytest.raises(ValueError):
         store.version(77)
+
+
+def vector_rows_of(spark, rows):
+    return spark.createDataFrame([(p, e) for p, e in rows], "product_id long, entries array<struct<fid:int,weight:double>>")
+
+
+def test_running_user_vectors_equal_recomputation(spark):
+    rng = random.Random(9)
+    store = user_state.create(spark, shared_path(spark, "users"))
+    vectors, all_items = {}, []
+    for batch in range(3):
+        changed = {p: [(f, round(rng.random(), 3)) for f in sorted(rng.sample(range(8), 3))] for p in rng.sample(range(12), 5)}
+        if batch == 2:
+            changed[next(iter(vectors))] = None  # a product without a vector from now on
+        vectors |= changed
+        items = [(rng.randrange(5), rng.randrange(14), float(rng.choice([1, 2, -1, 0.5]))) for _ in range(30)]
+        all_items += items
+        frame = spark.createDataFrame(items, "user_id long, product_id long, weight double")
+        version = store.add(frame, vector_rows_of(spark, changed.items()), batch)
+        assert store.add(frame, vector_rows_of(spark, changed.items()), batch) == version
+        want = user_vectors.user_entries(spark.createDataFrame(all_items, "user_id long, product_id long, weight double"),
+                                         vector_rows_of(spark, [(p, e) for p, e in vectors.items() if e]))
+        flat = lambda df: {(r.user_id, e.fid): e.weight for r in df.collect() for e in r.entries if abs(e.weight) > 1e-9}
+        got, expected = flat(store.entries()), flat(want)
+        assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+        if batch == 1:
+            assert len(store.fold(None).folders) == 1
+    later = store.add(spark.createDataFrame([], "user_id long, product_id long, weight double"))
+    assert later.number == version.number + 1 and flat(store.entries()).keys() == expected.keys()
+    store.vacuum()
+    assert flat(store.entries()).keys() == expected.keys()
+
+
+def test_responses_round_trip(spark):
+    rows = [(1, 2, 7, "b", "c", None, 2.0, 0.1, None, 0.5, 'say "x"', 0.1, 0.2, 0.3, 0.4, 0.5, "gift", 0.9, 2),
+            (1, 1, 8, "a\nb", "c", "d", 1.5, 0.0, 4.0, 0.75, "é", 0.1, 0.2, 0.3, 0.4, 0.5, "gift", 0.9, 2)]
+    names = ("query_id rank product_id name category brand price discount rating final_score rank_explanation vector_score dense_sim sparse_score "
+             "intent_score pricing_score intent_label intent_confidence total_candidates").split()
+    kinds = "long int long string string string double double double double string double double double double double string double long".split()
+    ranked = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    written = responses.search_responses(ranked)
+    [text] = [json.loads(r.response) for r in written.collect()]
+    assert [r["product_id"] for r in text["results"]] == [8, 7] and text["returned"] == 2 and text["intent"] == {"label": "gift", "confidence": 0.9}
+    assert rows_of(responses.read_responses(written).select(*names)) == rows_of(ranked)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_funnel_counts_with_the_run(spark):
+    ts = dt.datetime(2024, 1, 1)
+    made = [(i, f"p{i % 9}", i % 4 or None, 1, 2 - (i % 11 == 0) * 3, float(i % 30), ts) for i in range(300)]
+    tx = spark.createDataFrame(made + made[:50], "invoice long, stock_code string, customer_id long, line_no int, quantity int, price double, invoice_ts timestamp_ntz")
+    run = metrics.CleaningRun(tx)
+    kept = run.write()
+    assert rows_of(run.funnel()) == rows_of(cleaning.cleaning_funnel(tx))
+    assert rows_of(kept.select("invoice", "stock_code", "amount")) == rows_of(cleaning.clean_transactions(tx).select("invoice", "stock_code", "amount"))
