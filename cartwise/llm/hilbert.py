@@ -13,7 +13,7 @@ per lot, and ranked within the lot; sums over lots of a cell and over cells, of
 most ``2**(bits * dimensions)``, give each lot its first rank. A cell with a third of all rows is so
 spread over many lots.
 
-Cases: a null in a dimension sorts before all values. Strings are placed by their first seven bytes.
+Cases: a null in a dimension is in the first bin. Strings are placed as a whole.
 Ties within a lot are ordered by the key columns; repeated rows get ranks of their own. With fewer
 rows than shards some shards are empty. An empty table gives an empty result. Columns of the input
 stay, apart from ``curve``, ``shard`` and ``slot``, which are replaced.
@@ -35,13 +35,21 @@ LOTS = 64  # of a cell at least
 _ACCURACY = 10_000
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """Number that orders the values of a column; strings by their first seven bytes."""
-    column = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, T.StringType):
-        first = F.substring(F.rpad(F.hex(column.cast("binary")), 14, "0"), 1, 14)
-        return F.conv(first, 16, 10).cast("long")
-    return column.cast("double")
+def _text_cuts(df: DataFrame, name: str, steps: list[float]) -> list[str]:
+    """For each share in ``steps`` the least string that, with those before it, makes up that share of the rows.
+
+    Distinct strings are counted, sorted by range, and summed up within ranges and over them, so no task orders them all.
+    """
+    values = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    placed = stage(stage(values, "values").repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values-by-range")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = placed.groupBy("part").agg(F.sum("n").alias("m"))
+    total = parts.agg(F.sum("m")).first()[0] or 0
+    parts = parts.select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
+    upto = F.col("first") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.join(F.broadcast(parts), "part").withColumn("upto", upto)
+    found = summed.agg(*[F.min(F.when(F.col("upto") >= s * total, F.col("v"))).alias(f"c{i}") for i, s in enumerate(steps)]).first()
+    return [c for c in found if c is not None]
 
 
 def curve_index(df: DataFrame, bins: list[str], bits: int, out: str) -> DataFrame:
@@ -76,16 +84,22 @@ def curve_index(df: DataFrame, bins: list[str], bits: int, out: str) -> DataFram
 
 
 def quantise(df: DataFrame, dims: list[str], bits: int) -> tuple[DataFrame, list[str]]:
-    """``df`` with a bin column for each dimension. Bounds are percentiles over all rows, 2**bits - 1 a dimension."""
+    """``df`` with a bin column for each dimension: how many of 2**bits - 1 bounds its value is above.
+
+    Bounds cut all rows into parts of about equal size by percentiles, of strings by whole strings.
+    """
     steps = [i / 2**bits for i in range(1, 2**bits)]
-    positions = {f"_pos{i}": _position(df, d) for i, d in enumerate(dims)}
-    placed = df.withColumns(positions)
-    bounds = placed.agg(*[F.percentile_approx(p, steps, _ACCURACY).alias(p) for p in positions]).first()
+    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in texts]
+    cuts: dict[str, list] = {d: _text_cuts(df, d, steps) for d in texts}
+    if numbers:
+        found = df.agg(*[F.percentile_approx(F.col(d).cast("double"), steps, _ACCURACY).alias(d) for d in numbers]).first()
+        cuts |= {d: found[d] or [] for d in numbers}
     bins = {}
-    for i, p in enumerate(positions):
-        cuts = bounds[p] or []
-        bins[f"_bin{i}"] = F.coalesce(sum([F.when(F.col(p) > c, 1).otherwise(0) for c in cuts], F.lit(0)), F.lit(0))
-    return placed.withColumns(bins).drop(*positions), list(bins)
+    for i, d in enumerate(dims):
+        value = F.col(d) if d in texts else F.col(d).cast("double")
+        bins[f"_bin{i}"] = F.coalesce(sum([F.when(value > c, 1).otherwise(0) for c in cuts[d]], F.lit(0)), F.lit(0))
+    return df.withColumns(bins), list(bins)
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], keys: list[str], shards: int, bits: int = BITS) -> DataFrame:
@@ -93,6 +107,7 @@ def hilbert_shards(docs: DataFrame, dims: list[str], keys: list[str], shards: in
     keyed = [F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]
     names = [f"_key{i}" for i in range(len(keys))]
     df = docs.select(pack(docs, "curve", "shard", "slot"), *keyed, *[F.col(f"`{d}`").alias(f"_dim{i}") for i, d in enumerate(dims)])
+    df = stage(df, "sharded-rows")
     df, bins = quantise(df, [f"_dim{i}" for i in range(len(dims))], bits)
     # as a table, for bins of an empty table or column are constants, which the optimiser would carry through every step
     df = stage(df.select("_row", *names, *bins), "bins")

@@ -154,6 +154,32 @@ def test_shards_are_even(docs, clashing, empty, shards):
         assert [r.curve for r in order] == sorted(r.curve for r in out)
 
 
+def bins_of(values, bits=4):
+    """How many of the bounds that cut the sorted values into equal parts each value is above."""
+    known = sorted(v for v in values if v is not None)
+    cuts = [known[max(0, math.ceil(i / 2**bits * len(known)) - 1)] for i in range(1, 2**bits)] if known else []
+    return [0 if v is None else sum(v > c for c in cuts) for v in values]
+
+
+def test_bins_and_curve_against_brute_force(spark):
+    rows = [(i, f"https://site{i % 40:02d}.example/page", ["en", "fr", None, "de"][i * 7 % 4], (i * 37) % 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long").repartition(4)
+    binned, names = hilbert.quantise(df, ["source", "lang", "n_chars"], 4)
+    got = {r.doc_id: tuple(r[n] for n in names) for r in binned.collect()}
+    want = list(zip(*[bins_of([r[c] for r in rows]) for c in (1, 2, 3)]))
+    assert [got[i] for i in range(400)] == want and len({w[0] for w in want}) == 16
+    for dims, bits in ((2, 3), (3, 2)):
+        side = 1 << bits
+        cells = [[(n >> (bits * d)) % side for d in range(dims)] for n in range(side**dims)]
+        frame = spark.createDataFrame([tuple(c) for c in cells], ", ".join(f"a{d} int" for d in range(dims)))
+        path = sorted((r["at"], tuple(r)[:dims]) for r in hilbert.curve_index(frame, [f"a{d}" for d in range(dims)], bits, "at").collect())
+        assert [at for at, _ in path] == list(range(side**dims))
+        assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for (_, a), (_, b) in zip(path, path[1:]))  # neighbours, as on no row order
+    out = hilbert.hilbert_shards(df, ["source", "lang", "n_chars"], ["doc_id"], 8).orderBy("shard", "slot").collect()
+    assert [r.curve for r in out] == sorted(r.curve for r in out)
+    assert {r.doc_id: r.curve for r in out} == {r.doc_id: r["at"] for r in hilbert.curve_index(binned, names, 4, "at").collect()}
+
+
 def test_manifest_and_files(docs, spark, tmp_path):
     out = hilbert.hilbert_shards(docs, ["lang", "n_chars"], ["doc_id", "text"], 4)
     assert sum(r["rows"] for r in hilbert.manifest(out, ["lang", "n_chars"]).collect()) == docs.count()
