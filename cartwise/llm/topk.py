@@ -7,8 +7,8 @@ weight of the axis, and takes the segments of all axes by descending weight, add
 the vectors it lists. After some of the segments the most that any vector can still gain is the sum
 over axes of the next weight; what a vector may be off by quantisation is at most the norm of the query
 times the norm of the vector's remainders (Cauchy-Schwarz). Vectors whose upper bound is below the k-th
-best lower bound are out, by proof. Processing stops only when at most ``RESCORE`` vectors remain, or
-at the last segment; all that remain are rescored exactly.
+best lower bound are out, by proof; that is looked at ``CHECKS`` times. Processing stops only when at most
+``RESCORE`` vectors remain, or at the last segment; all that remain are rescored exactly.
 
 Each shard of the index meets each block of queries in one task, and hands on k rows per query; the
 best k of all shards are the answer. Shards, blocks and tasks are of fixed size.
@@ -40,9 +40,9 @@ from cartwise.session import stage
 K = 5
 WIDTH = 16
 SHARD = 16_384
-QUERY_BLOCK = 512
-RESCORE = 1024
-_CHECKS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+QUERY_BLOCK = 4096  # an index is copied once for so many queries
+RESCORE = 64
+CHECKS = 16
 LARGE = 1 << 28
 
 
@@ -119,6 +119,7 @@ class Shard:
         rest = self.x - (self.x // width * width + (width - 1) / 2)
         self.off = np.sqrt((rest**2).sum(axis=1))
         self.first = np.searchsorted(self.axis, np.arange(dims))
+        self.read = 0  # segments, by all searches
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[list[int], list[int]]:
         """Ids and scores of the best k, best first, for ``q``, whole numbers in doubles."""
@@ -133,22 +134,21 @@ class Shard:
         sums = np.full(len(self.ids), least.sum())
         slack = np.sqrt(float(q @ q)) * self.off
         slack += 1e-9 * (slack + np.abs(weight).sum()) + 1e-6
-        own = self.ids == query_id
-        others = len(self.ids) - int(own.sum())
         left = gain.copy()
-        done, alive = 0, np.flatnonzero(~own)
-        for share in _CHECKS if others > RESCORE else ():
-            until = int(np.ceil(share * len(order)))
+        done, alive = 0, np.flatnonzero(self.ids != query_id)
+        few = max(k, min(RESCORE, len(self.ids) // 8))  # of a small shard, an eighth
+        for step in range(1, CHECKS + 1):
+            if len(alive) <= few:
+                break
+            until = -(-step * len(order) // CHECKS)
             for s in order[done:until].tolist():
                 sums[self.lists[s]] += gain[s]
             left[order[done:until]] = 0
-            done = until
+            self.read, done = self.read + until - done, until
             to_come = np.maximum.reduceat(left, self.first).sum() if len(left) else 0.0
             lower = (sums - slack)[alive]
             bar = np.partition(lower, len(lower) - k)[len(lower) - k]
             alive = alive[(sums + slack)[alive] + to_come >= bar]
-            if len(alive) <= RESCORE:
-                break
         scores = self.x[alive] @ q
         best = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive][best].tolist(), scores[best].tolist()
