@@ -22,7 +22,7 @@ from cartwise.llm.line_dedup import chosen_buckets, least_keys, verified_links
 from cartwise.session import stage
 
 WORDS = 5
-_WORDS_KNOWN = 1 << 18
+_WORDS_KNOWN = 1 << 16
 _HASHES_AT_ONCE = 1 << 17
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
