@@ -8,7 +8,7 @@ document's score is the mean of its lines' marginal probabilities of good (forwa
 by line length, on a logistic scale fitted to the documents' labels.
 
 The model is fitted on a bounded sample of labelled documents: the ``SAMPLE_DOCS`` whose ids hash
-lowest, of each at most ``SAMPLE_LINES`` lines from a hashed place on. Every document is scored over its
+lowest, of each at most ``SAMPLE_LINES`` lines from a hashed place on, and ``SAMPLE_CHARS`` characters of these. Every document is scored over its
 whole text; only the weights, a few hundred numbers, travel to the tasks.
 
 Cases: null and empty texts are one empty line and get its score. Repeated rows get equal scores. Of
@@ -30,6 +30,7 @@ from cartwise.llm.columns import with_new
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 400
+SAMPLE_CHARS = 100_000
 PART_CHARS = 1 << 20
 STEPS = 200
 RATE = 0.15
@@ -238,8 +239,9 @@ def fit(features: np.ndarray, length: np.ndarray, per_doc: np.ndarray, labels: n
     return Model(weights, moves, *_scale(model.evidence(features, length, per_doc), labels))
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, docs_most: int, lines_most: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``docs_most`` labelled documents, each of at most ``lines_most`` lines."""
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, docs_most: int, lines_most: int,
+           chars_most: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most ``docs_most`` labelled documents, each of at most ``lines_most`` lines and ``chars_most`` characters."""
     chosen = (
         labels.groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("_label"))
         .filter("_label in (0, 1) and _key is not null").orderBy(F.xxhash64("_key"), "_key").limit(docs_most)
@@ -247,7 +249,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, docs_most: i
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     first = F.when(F.size(lines) > lines_most, F.pmod(F.xxhash64("_key"), F.size(lines) - lines_most)).otherwise(0).cast("int") + 1
     body = docs.select(F.col(key).alias("_key"), F.col(text)).join(F.broadcast(chosen), "_key").select(  # docs_most rows
-        "_key", "_label", F.array_join(F.slice(lines, first, lines_most), "\n").alias("_text"))
+        "_key", "_label", F.substring(F.array_join(F.slice(lines, first, lines_most), "\n"), 1, chars_most).alias("_text"))
     rows = body.dropDuplicates(["_key"]).orderBy("_key").collect()
     return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], float)
 

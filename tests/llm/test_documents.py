@@ -201,7 +201,6 @@ def test_pieces_round_trip(docs, clashing, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for df in (docs, clashing):
         pieces = packing.pack(df).collect()
         rows = df.collect()
