@@ -10,7 +10,8 @@ similarity of their sets of ``SHINGLE`` characters is at least ``SIMILARITY``.
    bucket pass a task sorted and are handed on as they come, so that a bucket of any size takes no memory.
 3. Within a bucket lines are verified by exact Jaccard similarity, unless already linked through others.
    A bucket beyond ``BLOCK`` lines or ``BLOCK_CHARS`` characters is cut into blocks, and each pair of blocks is a unit of its own. Units
-   of buckets with the same least line are dealt to one task, which verifies no pair twice. Pairs are never
+   of buckets with the same least line are dealt to one task, which verifies no pair twice. Shingles of eight
+   characters below 256 are compared as whole numbers of 64 bits, which hold them exactly, others as strings. Pairs are never
    written out, only an edge from each line to the root of its local component. Shingles of lines beyond
    ``LONG`` characters are sorted arrays of hashes, checked against the text, of twenty bytes a character.
 4. Union-find over the edges, in rounds of joins (``components``).
@@ -18,7 +19,7 @@ similarity of their sets of ``SHINGLE`` characters is at least ``SIMILARITY``.
    ids last), then line number. Other occurrences are dropped from their texts.
 
 Texts are shuffled once, to drop lines from them. A line is named by 64 bits of its hash in the search
-for candidates, which are verified by text, and by 128 bits where equal lines are grouped.
+for candidates, which are verified by text, and by 96 bits where equal lines are grouped.
 
 Cases: blank lines are never dropped; null and empty texts stay as they are. Lines shorter than a shingle
 are only dropped as equals. Rows that agree in id and text are one document and get the same text.
@@ -150,6 +151,38 @@ def similar(a: set[str], b: set[str]) -> bool:
     return common >= SIMILARITY * (small + large - common)
 
 
+class Packed:
+    """Set of a line's shingles, all of characters below 256: the eight of a shingle are the bytes of a whole number, sorted."""
+
+    def __init__(self, raw: bytes):
+        v = np.frombuffer(raw, np.uint8).astype(np.uint64)
+        for width in (1, 2, 4):
+            v = v[:-width] << np.uint64(8 * width) | v[width:]
+        v.sort()
+        new = np.ones(len(v), bool)
+        new[1:] = v[1:] != v[:-1]
+        self.packed = v[new]
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __and__(self, other: Packed) -> np.ndarray:
+        few, many = sorted((self.packed, other.packed), key=len)
+        at = np.searchsorted(many, few)
+        at[at == len(many)] = 0
+        return few[many[at] == few]
+
+
+def shingled(line: str) -> Set:
+    """Shingles of a line as ``similar`` takes them, with sets of its kind."""
+    if len(line) > LONG:
+        return Shingles(line)
+    try:
+        return Packed(line.encode("latin-1")) if len(line) >= SHINGLE else set()
+    except UnicodeEncodeError:
+        return shingles(line)
+
+
 class Shingles:
     """Shingles of a long line: sorted distinct hashes, the place of each, and the line's characters."""
 
@@ -186,11 +219,11 @@ def _same(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> n
 class _Links:
     """Union-find over the lines of units that are dealt together; no pair is verified twice, or once linked.
 
-    ``shingled`` gives a line's set of shingles; by default those of its characters.
+    ``shingled`` gives a line's set of shingles.
     """
 
-    def __init__(self, shingled: Callable[[str], Set] | None = None):
-        self.shingled = shingled or (lambda text: shingles(text) if len(text) <= LONG else Shingles(text))
+    def __init__(self, shingled: Callable[[str], Set] = shingled):
+        self.shingled = shingled
         self.parent: dict[int, int] = {}
         self.sets: dict[int, set[str] | Shingles] = {}
         self.texts: dict[int, str] = {}
@@ -214,6 +247,8 @@ class _Links:
     def _alike(self, a: int, b: int) -> bool:
         x, y = self.sets[a], self.sets[b]
         if not isinstance(x, Shingles) and not isinstance(y, Shingles):
+            if type(x) is not type(y) and min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)):
+                x, y = shingles(self.texts[a]), shingles(self.texts[b])
             return similar(x, y)
         small, large = sorted((len(x), len(y)))
         if small < SIMILARITY * large:
@@ -240,7 +275,7 @@ class _Links:
             groups[self.find(line)] = own
 
 
-def _verified(batches: Iterator[pd.DataFrame], shingled: Callable[[str], Set] | None = None) -> Iterator[pd.DataFrame]:
+def _verified(batches: Iterator[pd.DataFrame], shingled: Callable[[str], Set] = shingled) -> Iterator[pd.DataFrame]:
     """Edges (a, b) between lines, from rows sorted by deal and unit."""
     rest: list[pd.DataFrame] = []  # of the last deal
 
@@ -290,7 +325,7 @@ def chosen_buckets(signed: DataFrame) -> DataFrame:
     return stage(shared.join(once, "key").select("key", "line", "least", F.least("n", blocks).cast("int").alias("blocks")), "chosen-buckets")
 
 
-def verified_links(chosen: DataFrame, texts: DataFrame, shingled: Callable[[str], Set] | None = None) -> DataFrame:
+def verified_links(chosen: DataFrame, texts: DataFrame, shingled: Callable[[str], Set] = shingled) -> DataFrame:
     """Edges (a, b) that connect what pairs of similar lines within buckets connect. ``texts``: line, text."""
     units = (
         chosen.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
@@ -319,7 +354,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     linked = stage(similar_lines(docs, text), "line-components")
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
     occurrences = docs.select(row.alias("row"), F.posexplode(_lines(F.col(text))).alias("at", "raw")).withColumn("bare", _bare(F.col("raw")))
-    occurrences = occurrences.filter("bare <> ''").select("row", "at", F.xxhash64("bare").alias("line"), F.xxhash64(F.concat(F.lit("2:"), "bare")).alias("more"))
+    occurrences = occurrences.filter("bare <> ''").select("row", "at", F.xxhash64("bare").alias("line"), F.hash("bare").alias("more"))
     named = occurrences.join(linked.select(F.col("node").alias("line"), "root"), "line", "left").select(
         "row", "at", F.coalesce("root", "line").alias("g1"), F.when(F.col("root").isNull(), F.col("more")).otherwise(0).alias("g2"))
     named = stage(named, "occurrences")

@@ -302,3 +302,18 @@ def test_quality_odd_tables(docs, clashing, empty, spark):
             got = crf.score(df, model)
             assert got.filter("score is null or score < 0 or score > 1").count() == 0 and got.count() == df.count()
     assert abs(crf.train(docs, none).scores(["any text"])[0] - 0.5) < 1e-9
+
+
+def test_packed_shingles_are_the_shingles():
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcé ÿ\x00") for _ in range(rng.randrange(8, 60))) for _ in range(60)]
+    lines += ["aaaaaaaaaaaaaaaa", "abcdefgh", "abc—defgh ijk", "\U0001d54f" * 12, lines[0] + "—"]
+    links = line_dedup._Links()
+    links.add_unit(list(range(len(lines))), lines, [0] * len(lines), False)
+    for i, a in enumerate(lines):
+        assert len(line_dedup.shingled(a)) == len(line_dedup.shingles(a))
+        for j, b in enumerate(lines):
+            x, y = line_dedup.shingles(a), line_dedup.shingles(b)
+            assert links._alike(i, j) == line_dedup.similar(x, y)
+            if type(line_dedup.shingled(a)) is type(line_dedup.shingled(b)):
+                assert len(line_dedup.shingled(a) & line_dedup.shingled(b)) == len(x & y)
