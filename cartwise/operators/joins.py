@@ -9,6 +9,8 @@ from cartwise.session import stage
 
 BLOCK = 1024
 PAIRS_PER_TASK = BLOCK * BLOCK
+ROWS_PER_TASK = 256 * BLOCK  # of whole rows, which later windows sort
+PLACE = "_place"
 
 
 def block_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
@@ -41,3 +43,22 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     # a number of partitions that is given is not reduced by their size in bytes
     spread = blocks(left, left_id, "left", "right").repartition(tasks, *on)
     return spread.join(blocks(right, right_id, "right", "left"), on).drop("b_left", "b_right")
+
+
+def fan_out(left: DataFrame, right: DataFrame, key: str, left_id: str) -> DataFrame:
+    """Inner equi-join of many rows of a key on the left with a short list of the key on the right.
+
+    The rows of a key are dealt over blocks of about ``BLOCK``, and its list is copied to each. The result is
+    partitioned by ``PLACE``, key and block, which it keeps: windows by ``PLACE`` and ``left_id`` find the rows of a
+    left row in one task, so that the result, which is much larger than both sides, is not shuffled.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n_left")).join(right.groupBy(key).agg(F.count("*").alias("n_right")), key)
+    cuts = stage(counts.select(key, F.ceil(F.col("n_left") / BLOCK).cast("int").alias("cut"), (F.col("n_left") * F.col("n_right")).alias("rows")), "fan-cuts")
+    rows = cuts.agg(F.sum("rows")).first()[0] or 0  # a single number
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, int(-(-rows // ROWS_PER_TASK)))
+    cuts = cuts.drop("rows")
+    own = F.pmod(F.xxhash64(left_id), F.col("cut")).cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("block")
+    dealt = left.join(cuts, key).withColumn(PLACE, F.struct(key, own)).drop("cut", key).repartition(tasks, PLACE)
+    lists = right.join(cuts, key).select("*", every).withColumn(PLACE, F.struct(key, "block")).drop("cut", "block", key)
+    return dealt.join(lists.repartition(tasks, PLACE), PLACE)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cartwise import constants as K
 from cartwise.operators import tfidf as TF
 from cartwise.operators.index import SearchIndex
-from cartwise.operators.joins import block_join
+from cartwise.operators.joins import PLACE, block_join, fan_out
 from cartwise.session import stage
 
 SLACK = 1e-8
@@ -173,13 +173,29 @@ def _padding(qkeys: DataFrame, found: DataFrame, index: SearchIndex) -> DataFram
     )
 
 
-def hybrid_retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    """Best ``index.k`` products per query: (query_id, product_id, retrieval_rank, dense_sim, sparse_score).
+def distinct_vectors(queries: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries with the ``qkey`` of their vector, and the vectors (qkey, tid, q_dense, q_sparse).
+
+    A vector depends on the known terms and their counts only, so texts that agree in these share one; all
+    texts without a known term share a ``qkey`` that has no vector.
+    """
+    texts = stage(queries.filter(F.col("query").isNotNull()).groupBy("query").agg(F.min("query_id").alias("_text")), "query-texts")
+    counts = stage(TF.hybrid_counts(texts, "_text", "query", vocab), "query-counts")
+    held = counts.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("tid", "tf"))).alias("_terms"))  # as long as the vocabulary at most
+    none = F.array().cast(held.schema["_terms"].dataType)
+    known = stage(texts.join(held, "_text", "left").withColumn("_terms", F.coalesce("_terms", none)), "query-terms-held")
+    first = known.groupBy("_terms").agg(F.min("_text").alias("qkey"))
+    asked = stage(queries.join(known.join(first, "_terms").select("query", "qkey"), "query"), "asked")
+    own = counts.join(first.select(F.col("qkey").alias("_text")), "_text", "left_semi").withColumnRenamed("_text", "qkey")
+    return asked, TF.hybrid_weights(own, "qkey").withColumnsRenamed({"dense": "q_dense", "sparse": "q_sparse"})
+
+
+def retrieve_vectors(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame]:
+    """Queries with their ``qkey``, and the best ``index.k`` products per ``qkey``: (qkey, product_id, retrieval_rank, dense_sim, sparse_score).
 
-    Equal texts are answered once. Ties keep catalogue order.
+    Equal vectors are answered once. Ties keep catalogue order.
     """
-    texts = queries.filter(F.col("query").isNotNull()).groupBy("query").agg(F.min("query_id").alias("qkey"))
-    qv = query_vectors(texts, "qkey", "query", index.vocab)
+    asked, qv = distinct_vectors(queries, index.vocab)
     plan = stage(reading_plan(qv, index), "reading-plan")
     pairs = stage(candidate_pairs(plan, index), "pairs")
     scored = score_pairs(pairs, plan, index.postings).withColumn("hybrid", hybrid_score(F.col("dense_sim"), F.col("sparse_score")))
@@ -188,14 +204,16 @@ def hybrid_retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
     found = stage(
         best.join(index.members.select("gid", "ordinal", "product_id"), "gid").drop("gid"), "matches"
     )
-    every = found.unionByName(_padding(texts.select("qkey"), found, index))
+    every = found.unionByName(_padding(asked.select("qkey").distinct(), found, index))
     order = Window.partitionBy("qkey").orderBy(F.desc("hybrid"), "ordinal")
     ranked = every.withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= index.k)
-    return (
-        queries.select("query_id", "query").join(texts, "query")
-        .join(ranked, "qkey")
-        .select("query_id", "product_id", "retrieval_rank", "dense_sim", "sparse_score")
-    )
+    return asked, stage(ranked.select("qkey", "product_id", "retrieval_rank", "dense_sim", "sparse_score"), "retrieved")
+
+
+def hybrid_retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
+    """Best ``index.k`` products per query: (query_id, product_id, retrieval_rank, dense_sim, sparse_score)."""
+    asked, ranked = retrieve_vectors(queries.select("query_id", "query"), index)
+    return fan_out(asked.select("query_id", "qkey"), ranked, "qkey", "query_id").drop(PLACE)
 
 
 def external_candidates(scores: DataFrame, k: int = K.TOP_CANDIDATES) -> DataFrame:

@@ -95,10 +95,10 @@ def tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame, max_ngram: int
     return raw.select(key, "space", "fid", (F.col("raw") / length).alias("weight"))
 
 
-def hybrid_tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Both spaces side by side: (key, tid, dense, sparse), one row per document and term.
+def hybrid_counts(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """Known terms of every document with their idf in both spaces: (key, tid, tf, dense_idf, sparse_idf).
 
-    ``tid`` is the term's sparse index, or its dense one if it has no other. A weight is 0 where the
+    ``tid`` is the term's sparse index, or its dense one if it has no other. An idf is 0 where the
     space does not know the term.
     """
     of = lambda space, column: F.max(F.when(F.col("space") == space.name, F.col(column)))
@@ -109,14 +109,22 @@ def hybrid_tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> Data
     )
     terms = with_terms(docs.select(key, text), text, SPARSE.max_ngram).select(key, F.explode_outer("terms").alias("term"))
     known = terms.join(F.broadcast(wide), "term")  # as long as the two vocabularies
-    counted = known.groupBy(key, "tid").agg(
-        (1 + F.log(F.count("*"))).alias("damped"), F.first("dense_idf").alias("dense_idf"), F.first("sparse_idf").alias("sparse_idf"))
+    return known.groupBy(key, "tid").agg(
+        F.count("*").alias("tf"), F.first("dense_idf").alias("dense_idf"), F.first("sparse_idf").alias("sparse_idf"))
+
 
+def hybrid_weights(counts: DataFrame, key: str) -> DataFrame:
+    """Both spaces side by side: (key, tid, dense, sparse), one row per document and term of ``hybrid_counts``."""
     def unit(idf: str) -> Column:
-        raw = F.col("damped") * F.col(idf)
+        raw = (1 + F.log("tf")) * F.col(idf)
         return F.coalesce(F.try_divide(raw, F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))), F.lit(0.0))
 
-    return counted.select(key, "tid", unit("dense_idf").alias("dense"), unit("sparse_idf").alias("sparse"))
+    return counts.select(key, "tid", unit("dense_idf").alias("dense"), unit("sparse_idf").alias("sparse"))
+
+
+def hybrid_tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """Weights of both spaces of every document: (key, tid, dense, sparse)."""
+    return hybrid_weights(hybrid_counts(docs, key, text, vocab), key)
 
 
 def vector_rows(weights: DataFrame, key: str) -> DataFrame:
