@@ -1,7 +1,7 @@
 """Slot filters, scoring and ranking of retrieved candidates.
 
 A query has at most the retrieval depth of candidates here, so windows per query are small. All of
-them share one partitioning by query.
+them share one partitioning by query, or by the ``PLACE`` of a query where candidates have one (``joins.fan_out``).
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from cartwise import constants as K
 from cartwise.functions import ranking as R
 from cartwise.functions import text as X
+from cartwise.operators.joins import PLACE
 
-def _per_query():
-    return Window.partitionBy("query_id")
+
+def _per_query(df: DataFrame):
+    return Window.partitionBy(*[c for c in (PLACE, "query_id") if c in df.columns])
 
 
 def _keep_if_any(df: DataFrame, match: Column) -> DataFrame:
     """Keep matching rows of a query; all of them if none matches. A null match means no filter."""
     marked = df.withColumn("_match", match)
-    some = F.coalesce(F.bool_or("_match").over(_per_query()), F.lit(False))
+    some = F.coalesce(F.bool_or("_match").over(_per_query(df)), F.lit(False))
     return marked.withColumn("_some", some).filter("_match OR NOT _some").drop("_match", "_some")
 
 
@@ -43,21 +45,22 @@ def rerank(candidates: DataFrame) -> DataFrame:
     candidates given, so filters belong before this step.
     """
     label, confidence = F.col("intent_label"), F.col("intent_confidence")
+    per_query = _per_query(candidates)
     in_stock = candidates.withColumns({
         "price": F.coalesce("price", F.lit(0.0)).cast("double"),
         "discount": F.coalesce("discount", F.lit(0.0)).cast("double"),
         "rating": F.coalesce("rating", F.lit(3.5)).cast("double"),
         "popularity": F.coalesce("popularity", F.lit(0.5)).cast("double"),
         # maxima are taken over all candidates, prices over those in stock
-        "_dense_max": F.max("dense_sim").over(_per_query()),
-        "_sparse_max": F.max("sparse_score").over(_per_query()),
-        "total_candidates": F.count("*").over(_per_query()),
+        "_dense_max": F.max("dense_sim").over(per_query),
+        "_sparse_max": F.max("sparse_score").over(per_query),
+        "total_candidates": F.count("*").over(per_query),
     }).filter(F.coalesce("stock", F.lit(True)))
 
     def share(value: str, top: str) -> Column:
         return F.when(F.col(top) == 0, F.col(value)).otherwise(F.try_divide(value, top))
 
-    low, high = F.min("price").over(_per_query()), F.max("price").over(_per_query())
+    low, high = F.min("price").over(per_query), F.max("price").over(per_query)
     normed = in_stock.withColumns({"_low": low, "_high": high}).withColumns({
         "_dense": share("dense_sim", "_dense_max"),
         "_sparse": share("sparse_score", "_sparse_max"),
@@ -80,7 +83,7 @@ def rerank(candidates: DataFrame) -> DataFrame:
         "pricing_score": F.round("_pricing", 4),
         "intent_confidence": F.round("intent_confidence", 4),
     })
-    order = _per_query().orderBy(F.desc("final_score"), "retrieval_rank")
+    order = per_query.orderBy(F.desc("final_score"), "retrieval_rank")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("top_k"))
     reason = X.explanation(label, F.col("price"), F.col("discount"), F.col("rating"), F.col("_final"))
     return ranked.withColumn("rank_explanation", reason).select(

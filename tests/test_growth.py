@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartwise.operators import index, joins, retrieval
+from cartwise.plans import search as S
 from cartwise.session import stage
 from cartwise.sources import tables as T
 
@@ -35,3 +36,10 @@ def test_fan_out_equals_join(spark, monkeypatch):
     assert got.select(joins.PLACE).distinct().count() > 10
     want = asked.join(lists, "key").select("id", "item")
     assert sorted(map(tuple, got.select("id", "item").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_candidates_of_requests_are_not_shuffled_again(spark, sf, catalogue):
+    products, ix = catalogue
+    out = S.search(T.search_requests(spark, sf), ix, products)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(_place" in plan
