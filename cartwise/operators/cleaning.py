@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.operators.quantiles import exact_quantile, quantiles_of_counts, value_counts
+from cartwise.operators.quantiles import exact_quantile, quantiles_of_staged, value_counts
+from cartwise.session import stage
 
 KEY = ["invoice", "stock_code", "customer_id"]
 OUTLIER_PROB = 0.99
@@ -31,7 +32,7 @@ def first_lines(tx: DataFrame) -> DataFrame:
     """First line per invoice, product and customer, in file order (``line_no``).
 
     The order is completed by every column used later, so that equal line numbers still give one
-    answer, and so that the price branch and the main branch of a plan share this shuffle. The rank
+    answer, in the price branch and in the main branch of a job. The rank
     limit runs before the shuffle too: a key that repeats without end sends one row per task. The key
     is one column, lest a partitioning by invoice be taken over: a single invoice may be very large.
     """
@@ -42,8 +43,11 @@ def first_lines(tx: DataFrame) -> DataFrame:
 
 
 def clean_transactions(tx: DataFrame) -> DataFrame:
-    """Complete sales, one line per invoice and product, without the dearest one percent."""
-    lines = first_lines(valid_sales(tx))
+    """Complete sales, one line per invoice and product, without the dearest one percent.
+
+    The lines are staged: the ceiling needs all of them before the first is let through.
+    """
+    lines = stage(first_lines(valid_sales(tx)), "first-lines")
     ceiling = exact_quantile(lines, "price", OUTLIER_PROB)
     return lines.filter(F.col("price") <= ceiling).withColumn("amount", F.col("quantity") * F.col("price"))
 
@@ -55,8 +59,8 @@ def cleaning_funnel(tx: DataFrame) -> DataFrame:
         F.count_if(_has_fields()).alias("complete"),
         F.count_if(_has_fields() & _is_sale()).alias("positive"),
     )
-    prices = value_counts(first_lines(valid_sales(tx)), ["price"])
-    ceiling = quantiles_of_counts(prices, [OUTLIER_PROB]).select("value").scalar()
+    prices = stage(value_counts(first_lines(valid_sales(tx)), ["price"]), "price-counts")
+    ceiling = quantiles_of_staged(prices, [OUTLIER_PROB]).select("value").scalar()
     tail = prices.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("unique"),
         F.coalesce(F.sum(F.when(F.col("value") <= ceiling, F.col("n"))), F.lit(0)).alias("final"),

@@ -60,7 +60,11 @@ def _cut(counts: DataFrame, parts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def quantiles_of_counts(counts: DataFrame, probs: list[float]) -> DataFrame:
     """Linearly interpolated quantiles of a ``value_counts`` frame: (feature, prob, value)."""
-    counts = stage(counts, "value-counts")
+    return quantiles_of_staged(stage(counts, "value-counts"), probs)
+
+
+def quantiles_of_staged(counts: DataFrame, probs: list[float]) -> DataFrame:
+    """``quantiles_of_counts`` of a frame that is a table already; it is read several times."""
     grid = F.array(*[F.lit(float(p)) for p in probs])
     total = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     lower = F.transform(grid, lambda p: F.floor(p * (F.col("total") - 1)))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.operators import index, joins, retrieval
+from cartwise.operators import cleaning, index, joins, retrieval
 from cartwise.plans import search as S
 from cartwise.session import stage
 from cartwise.sources import tables as T
@@ -43,3 +43,25 @@ def test_candidates_of_requests_are_not_shuffled_again(spark, sf, catalogue):
     out = S.search(T.search_requests(spark, sf), ix, products)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and "hashpartitioning(_place" in plan
+
+
+def _staged(monkeypatch, module):
+    labels = []
+    real = module.stage
+
+    def counted(df, label):
+        labels.append(label)
+        return real(df, label)
+
+    monkeypatch.setattr(module, "stage", counted)
+    return labels
+
+
+def test_first_lines_are_found_once(spark, sf, monkeypatch):
+    labels = _staged(monkeypatch, cleaning)
+    clean = cleaning.clean_transactions(T.transactions(spark, sf))
+    assert labels == ["first-lines"] and "row_number" not in clean._jdf.queryExecution().executedPlan().toString()
+    funnel = cleaning.cleaning_funnel(T.transactions(spark, sf))
+    assert labels == ["first-lines", "price-counts"] and "_key" not in funnel._jdf.queryExecution().executedPlan().toString()
+    counts = {r.stage: r.n_rows for r in funnel.collect()}
+    assert counts["final"] == clean.count()
