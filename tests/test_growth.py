@@ -65,3 +65,14 @@ def test_first_lines_are_found_once(spark, sf, monkeypatch):
     assert labels == ["first-lines", "price-counts"] and "_key" not in funnel._jdf.queryExecution().executedPlan().toString()
     counts = {r.stage: r.n_rows for r in funnel.collect()}
     assert counts["final"] == clean.count()
+
+
+def test_mean_discount_is_exact(spark, tmp_path):
+    """Forty lines with a mean of 0.06075, which is below that in doubles, whether added from the front or from the back."""
+    percents = [10, 7, 3, 6, 1, 7, 1, 4, 10, 9, 10, 1, 3, 0, 10, 10, 8, 7, 9, 8, 9, 4, 5, 4, 8, 9, 5, 10, 7, 10, 6, 7, 1, 9, 5, 1, 6, 10, 2, 1]
+    part = spark.range(1).selectExpr("id AS p_partkey", "'a' AS p_name", "'SMALL' AS p_type", "'b' AS p_brand", "10.0D AS p_retailprice", "1 AS p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    for rows in (percents, percents[::-1]):
+        lines = spark.createDataFrame([(0, 1.0, p / 100) for p in rows], "l_partkey long, l_quantity double, l_discount double").coalesce(1)
+        lines.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        assert T.products(spark, str(tmp_path)).first()["discount"] == 0.0608
