@@ -10,8 +10,12 @@ from cartwise.operators.rfm import rfm_features
 
 
 def train(transactions: DataFrame, model_path: str | None = None) -> ChurnModel:
-    rfm = rfm_features(clean_transactions(transactions))
+    return train_on(rfm_features(clean_transactions(transactions)), model_path)
+
+
+def train_on(rfm: DataFrame, model_path: str | None = None) -> ChurnModel:
+    """For jobs that need the features for more than the training."""
     model = train_churn_model(training_rows(rfm))
     if model_path:
-        model.save(transactions.sparkSession, model_path)
+        model.save(rfm.sparkSession, model_path)
     return model

@@ -76,3 +76,11 @@ def test_mean_discount_is_exact(spark, tmp_path):
         lines = spark.createDataFrame([(0, 1.0, p / 100) for p in rows], "l_partkey long, l_quantity double, l_discount double").coalesce(1)
         lines.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
         assert T.products(spark, str(tmp_path)).first()["discount"] == 0.0608
+
+
+def test_training_and_answers_share_the_features(spark, sf, monkeypatch):
+    from checks.queries import REGISTRY
+
+    labels = _staged(monkeypatch, cleaning)
+    assert REGISTRY["churn_train_predict"](spark, sf).count() > 0
+    assert labels == ["first-lines"]
