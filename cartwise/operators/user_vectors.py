@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.operators.tfidf import dense_array
+from cartwise.session import stage
 
 _TOTAL = -1  # pseudo index that carries the sum of weights
 
@@ -22,15 +23,22 @@ def recent_products(requests: DataFrame) -> DataFrame:
     return requests.select("user_id", F.inline(pairs).alias("product_id", "weight"))
 
 
+def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Products with the ``vid`` of their vector, and the vectors (vid, entries), each once: products of equal text have equal ones."""
+    groups = stage(vectors.groupBy("entries").agg(F.min("product_id").alias("vid")).select("vid", "entries"), "distinct-vectors")
+    return vectors.join(groups, "entries").select("product_id", "vid"), groups
+
+
 def user_entries(items: DataFrame, vectors: DataFrame) -> DataFrame:
     """Weighted mean of product vectors in long form: (user_id, fid, value), zeros left out.
 
     ``items``: user_id, product_id, weight; ``vectors``: product_id, entries. A product without
-    vector adds its weight but no entries. Repeated products are summed before the join, entries
-    before their shuffle, so neither a popular product nor a busy user arrives row by row.
+    vector adds its weight but no entries. Weights are summed per user and distinct vector before they are
+    placed by user, so a busy user arrives as a row per vector, and entries meet them there and are not shuffled.
     """
-    weighed = items.groupBy("user_id", "product_id").agg(F.sum("weight").alias("weight"))
-    joined = weighed.join(vectors.select("product_id", "entries"), "product_id", "left")
+    ids, groups = distinct_vectors(vectors)
+    weighed = items.join(ids, "product_id", "left").groupBy("user_id", "vid").agg(F.sum("weight").alias("weight"))
+    joined = weighed.repartition("user_id").join(groups, "vid", "left")
     own = F.transform("entries", lambda e: F.struct(e["fid"].alias("fid"), (e["weight"] * F.col("weight")).alias("x")))
     total = F.array(F.struct(F.lit(_TOTAL).alias("fid"), F.col("weight").cast("double").alias("x")))
     none = F.array().cast("array<struct<fid:int,x:double>>")

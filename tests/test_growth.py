@@ -84,3 +84,25 @@ def test_training_and_answers_share_the_features(spark, sf, monkeypatch):
     labels = _staged(monkeypatch, cleaning)
     assert REGISTRY["churn_train_predict"](spark, sf).count() > 0
     assert labels == ["first-lines"]
+
+
+def test_vectors_are_not_shuffled_with_rows(spark, monkeypatch):
+    """Two products of one vector are one; entries are added up where a user's weights are, by one shuffle by user."""
+    from cartwise.operators import rerank_candidates as RC, user_vectors as UV
+
+    vec = "product_id long, entries array<struct<fid:int,weight:double>>"
+    vectors = stage(spark.createDataFrame([(1, [(0, 0.6), (2, 0.8)]), (2, [(0, 0.6), (2, 0.8)]), (3, [(1, 1.0)])], vec), "vectors")
+    ids, groups = UV.distinct_vectors(vectors)
+    assert {r.product_id: r.vid for r in ids.collect()} == {1: 1, 2: 1, 3: 3} and groups.count() == 2
+    items = spark.createDataFrame([(7, 1, 1.0), (7, 2, 2.0), (7, 3, 1.0), (7, 9, 4.0), (8, 9, 1.0)], "user_id long, product_id long, weight double")
+    users = UV.user_entries(items, vectors)
+    got = {r.user_id: [(e.fid, round(e.weight, 9)) for e in r.entries] for r in users.collect()}
+    assert got == {7: [(0, 0.225), (1, 0.125), (2, 0.3)], 8: []}
+    assert "hashpartitioning(user_id#" in (plan := users._jdf.queryExecution().executedPlan().toString()) and ", fid#" not in "".join(
+        line for line in plan.splitlines() if "hashpartitioning" in line)
+    asked = stage(users.selectExpr("user_id AS request_id", "entries", "CAST(NULL AS map<string,double>) AS weights", "CAST(NULL AS string) AS label",
+                                   "CAST(NULL AS double) AS confidence"), "asked")
+    cand = spark.createDataFrame([(7, 1, 1, .0, None, None), (7, 2, 3, .0, None, None), (7, 3, 9, .0, None, None), (8, 1, 1, .0, None, None), (6, 1, 1, .0, None, None)],
+                                 "request_id long, position long, product_id long, keyword_score double, semantic_score double, price double")
+    rows = {(r.request_id, r.product_id): round(r.cosine_score, 6) for r in RC.rerank_candidates(asked, cand, vectors).collect()}
+    assert rows == {(7, 1): 0.948683, (7, 3): 0.316228, (7, 9): 0.0, (8, 1): 0.0}
