@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartwise.operators.upsert import latest
@@ -35,7 +35,8 @@ class UserStore:
         return self.spark.read.parquet(*[f"{self.path}/changes/{f.name}/{name}" for f in folders])
 
     def _sums(self, folders: tuple[Folder, ...]) -> DataFrame:
-        return self._table(folders, "sums").groupBy("user_id", "fid").agg(F.sum("x").alias("x"))
+        # a folder has a user's number once, so adding up before the shuffle would find nothing to add
+        return self._table(folders, "sums").repartition("user_id").groupBy("user_id", "fid").agg(F.sum("x").alias("x"))
 
     def entries(self, version: Version | None = None, digits: int = 12) -> DataFrame:
         """(user_id, entries): weighted means; numbers that vanish at ``digits`` are left out."""
@@ -47,6 +48,13 @@ class UserStore:
             e["fid"].alias("fid"), F.coalesce(F.try_divide(e["x"], F.col("total")), F.lit(0.0)).alias("weight")))
         return rows.select("user_id", F.array_sort(F.filter(means, lambda e: F.round(e["weight"], digits) != 0)).alias("entries"))
 
+    def values(self, version: Version | None = None, digits: int = 12) -> DataFrame:
+        """The numbers of ``entries``, a row each: (user_id, fid, weight)."""
+        total = F.max(F.when(F.col("fid") == _TOTAL, F.col("x"))).over(Window.partitionBy("user_id"))
+        mean = F.coalesce(F.try_divide("x", "total"), F.lit(0.0))
+        means = self._sums((version or self.version()).folders).withColumn("total", total).filter(F.col("fid") != _TOTAL)
+        return means.select("user_id", "fid", mean.alias("weight")).filter(F.round("weight", digits) != 0)
+
     def add(self, items: DataFrame, vectors: DataFrame | None = None, batch: int | None = None) -> Version:
         """Publish the version after new vectors of products (product_id, entries), then interactions (user_id, product_id, weight).
 
@@ -55,37 +63,36 @@ class UserStore:
         now = self.version()
         if now.holds(batch):
             return now
+        seq = now.folders[-1].seq + 1 if now.folders else 0
+        name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.path}/changes/{name}"
         none = F.array().cast(_NONE)
-        stored = latest(self._table(now.folders, "vectors"), "product_id", "seq") if now.folders else None
-        fresh = None if vectors is None else stage(vectors.select("product_id", F.coalesce("entries", none).cast(_NONE).alias("entries")), "vectors")
-        known = stored.select("product_id", "entries") if stored is not None else self.spark.createDataFrame([], f"product_id long, entries {_NONE}")
-        changes = None
-        if fresh is not None and now.folders:
-            weights = self._table(now.folders, "weights").join(fresh.select("product_id"), "product_id", "left_semi")
-            weights = weights.groupBy("user_id", "product_id").agg(F.sum("weight").alias("weight"))
-            both = fresh.select("product_id", F.col("entries").alias("new")).join(known, "product_id", "left")
-            signed = F.concat(_times("new", F.lit(1.0)), _times(F.coalesce("entries", none), F.lit(-1.0)))
-            moved = both.select("product_id", signed.alias("by"))
-            changes = _weighed(weights.join(moved, "product_id"), F.col("by"))
-        current = known if fresh is None else known.join(fresh, "product_id", "left_anti").unionByName(fresh)
-        weighed = stage(items.groupBy("user_id", "product_id").agg(F.sum("weight").cast("double").alias("weight")), "weights")
-        own = F.transform(F.coalesce("entries", none), lambda e: F.struct(e["fid"].alias("fid"), e["weight"].alias("x")))
-        total = F.array(F.struct(F.lit(_TOTAL).alias("fid"), F.lit(1.0).alias("x")))
-        added = _weighed(weighed.join(current, "product_id", "left"), F.concat(total, own))
-        sums = added if changes is None else added.unionByName(changes)
-        if fresh is None:
-            fresh = self.spark.createDataFrame([], f"product_id long, entries {_NONE}")
-        folder = self._write(now.folders[-1].seq + 1 if now.folders else 0, weighed, sums, fresh)
+        empty = self.spark.createDataFrame([], f"product_id long, entries {_NONE}")
+        known = latest(self._table(now.folders, "vectors"), "product_id", "seq").select("product_id", "entries") if now.folders else empty
+        given = empty if vectors is None else vectors.select("product_id", F.coalesce("entries", none).cast(_NONE).alias("entries"))
+        self._write_vectors(path, seq, given)
+        fresh = self.spark.read.parquet(f"{path}/vectors").select("product_id", "entries")
+        items.groupBy("user_id", "product_id").agg(F.sum("weight").cast("double").alias("weight")).write.parquet(f"{path}/weights")
+        current = known if vectors is None else known.join(fresh, "product_id", "left_anti").unionByName(fresh)
+        weighed, groups = _with_ids(self.spark.read.parquet(f"{path}/weights"), current, "left", False)
+        if vectors is not None and now.folders:
+            both = fresh.withColumnRenamed("entries", "new").join(known, "product_id", "left")
+            moved = both.select("product_id", F.concat("new", _negative(F.coalesce("entries", none))).alias("entries")).filter(F.size("entries") > 0)
+            earlier, differences = _with_ids(self._table(now.folders, "weights"), moved, "inner", True)
+            weighed, groups = weighed.unionByName(earlier), groups.unionByName(differences)
+        return self._publish(now, self._folder(seq, name, _weighed(weighed, groups)), batch)
+
+    def _publish(self, now: Version, folder: Folder, batch: int | None) -> Version:
         return publish(self.spark, self.path, Version(now.number + 1, (*now.folders, folder), now.batch if batch is None else batch))
 
-    def _write(self, seq: int, weights: DataFrame, sums: DataFrame, vectors: DataFrame) -> Folder:
-        name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
-        path = f"{self.path}/changes/{name}"
-        of = F.lit(seq).cast("long").alias("seq")
-        weights.write.parquet(f"{path}/weights")
-        vectors.select("product_id", "entries", of).write.parquet(f"{path}/vectors")
-        sums.groupBy("user_id", "fid").agg(F.sum("x").alias("x")).write.parquet(f"{path}/sums")
-        return Folder(seq, name, self.spark.read.parquet(f"{path}/sums").count())
+    def _write_vectors(self, path: str, seq: int, vectors: DataFrame) -> None:
+        vectors.select("product_id", "entries", F.lit(seq).cast("long").alias("seq")).write.parquet(f"{path}/vectors")
+
+    def _folder(self, seq: int, name: str, sums: DataFrame) -> Folder:
+        """Write the sums of a folder whose other tables are there."""
+        path = f"{self.path}/changes/{name}/sums"
+        sums.write.parquet(path)
+        return Folder(seq, name, self.spark.read.parquet(path).count())
 
     def fold(self, fan: int | None = FAN) -> Version:
         """Publish a version in which the newest folders are one where ``fan`` or more are of like size; with None, all."""
@@ -93,8 +100,12 @@ class UserStore:
         folders = now.folders
         while n := like_sized(folders, fan):
             part = folders[-n:]
-            weights = self._table(part, "weights").groupBy("user_id", "product_id").agg(F.sum("weight").alias("weight"))
-            folders = (*folders[:-n], self._write(part[-1].seq, weights, self._sums(part), latest(self._table(part, "vectors"), "product_id", "seq")))
+            seq = part[-1].seq
+            name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
+            path = f"{self.path}/changes/{name}"
+            self._table(part, "weights").groupBy("user_id", "product_id").agg(F.sum("weight").alias("weight")).write.parquet(f"{path}/weights")
+            self._write_vectors(path, seq, latest(self._table(part, "vectors"), "product_id", "seq"))
+            folders = (*folders[:-n], self._folder(seq, name, self._sums(part)))
         return now if folders == now.folders else publish(self.spark, self.path, Version(now.number + 1, folders, now.batch))
 
     def vacuum(self, keep: int = 1) -> None:
@@ -102,15 +113,34 @@ class UserStore:
             remove(self.spark, f"{self.path}/changes/{name}")
 
 
-def _times(entries: str | Column, by: Column) -> Column:
-    column = F.col(entries) if isinstance(entries, str) else entries
-    return F.transform(column, lambda e: F.struct(e["fid"].alias("fid"), (e["weight"] * by).alias("x")))
+def _negative(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(e["fid"].alias("fid"), (-e["weight"]).alias("weight")))
+
+
+def _with_ids(weights: DataFrame, vectors: DataFrame, how: str, moved: bool) -> tuple[DataFrame, DataFrame]:
+    """Weights with the id of their product's vector (user_id, moved, vid, vid2, weight), and the distinct vectors (moved, vid, vid2, entries).
+
+    The id is 128 bits of hashes, so that nothing has to be numbered. ``moved`` tells differences, which weights of
+    earlier folders are owed, from vectors.
+    """
+    kind = F.lit(moved).alias("moved")
+    named = vectors.select("product_id", F.xxhash64("entries").alias("vid"), F.xxhash64(F.lit(1), "entries").alias("vid2"), "entries")
+    ids = weights.join(named.drop("entries"), "product_id", how).select("user_id", kind, "vid", "vid2", "weight")
+    return ids, named.select("vid", "vid2", "entries").distinct().select(kind, "vid", "vid2", "entries")
+
 
+def _weighed(weights: DataFrame, groups: DataFrame) -> DataFrame:
+    """(user_id, fid, x): entries times weights, and the weights under ``_TOTAL``, which differences do not add to.
 
-def _weighed(rows: DataFrame, parts: Column) -> DataFrame:
-    """(user_id, fid, x) of ``parts`` (fid, x) times the weight, summed before and after the shuffle."""
-    own = F.transform(parts, lambda e: F.struct(e["fid"].alias("fid"), (e["x"] * F.col("weight")).alias("x")))
-    return rows.select("user_id", F.inline(own)).groupBy("user_id", "fid").agg(F.sum("x").alias("x"))
+    Weights are placed by user with the id of a vector; entries meet them there and are not shuffled. A product
+    without vector has the total alone.
+    """
+    total = F.array(F.struct(F.lit(_TOTAL).alias("fid"), F.lit(1.0).alias("weight")))
+    parts = F.when(F.col("moved"), F.col("entries")).otherwise(F.concat(total, F.col("entries")))
+    owed = stage(groups.select("moved", "vid", "vid2", parts.alias("parts")), "distinct-vectors")
+    rows = weights.repartition("user_id").join(owed, ["moved", "vid", "vid2"], "left").select("user_id", "weight", F.inline_outer("parts").alias("fid", "part"))
+    x = F.col("weight") * F.coalesce("part", F.lit(1.0))
+    return rows.select("user_id", F.coalesce("fid", F.lit(_TOTAL)).alias("fid"), x.alias("x")).groupBy("user_id", "fid").agg(F.sum("x").alias("x"))
 
 
 def create(spark: SparkSession, path: str) -> UserStore:

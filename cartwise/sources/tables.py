@@ -55,13 +55,9 @@ def _exact_mean(name: str):
     return F.coalesce(F.when(F.count(exact) == F.count(name), F.avg(exact).cast("double")), F.avg(name))
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue: parts with sales-based popularity and discount."""
-    sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("product_id")).agg(
-        F.sum("l_quantity").alias("qty"), _exact_mean("l_discount").alias("avg_discount")
-    )
-    top = sold.agg(F.max("qty")).scalar()
-    part = table(spark, sf_dir, "part").select(
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue columns that parts have of themselves."""
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("product_id"), F.col("p_partkey").alias("ordinal"),
         F.col("p_name").alias("name"), F.lower("p_type").alias("desc"),
         _mapped(F.col("p_type"), CATEGORY_OF_TYPE, "other").alias("category"),
@@ -69,6 +65,15 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(3 + F.col("p_size") / 25.0, 2).alias("rating"),
         (F.col("p_size") % 10 != 0).alias("stock"),
     )
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue: parts with sales-based popularity and discount."""
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("product_id")).agg(
+        F.sum("l_quantity").alias("qty"), _exact_mean("l_discount").alias("avg_discount")
+    )
+    top = sold.agg(F.max("qty")).scalar()
+    part = parts(spark, sf_dir)
     return part.join(sold, "product_id", "left").select(
         *part.columns,
         F.coalesce(F.try_divide("qty", top), F.lit(0.5)).alias("popularity"),

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.operators import cleaning, index, joins, retrieval
+from cartwise.operators import cleaning, index, joins, retrieval, user_state
 from cartwise.plans import search as S
-from cartwise.session import stage
+from cartwise.session import shared_path, stage
 from cartwise.sources import tables as T
 
 
@@ -106,3 +106,21 @@ def test_vectors_are_not_shuffled_with_rows(spark, monkeypatch):
                                  "request_id long, position long, product_id long, keyword_score double, semantic_score double, price double")
     rows = {(r.request_id, r.product_id): round(r.cosine_score, 6) for r in RC.rerank_candidates(asked, cand, vectors).collect()}
     assert rows == {(7, 1): 0.948683, (7, 3): 0.316228, (7, 9): 0.0, (8, 1): 0.0}
+
+
+def test_running_user_sums_are_placed_by_user_alone(spark):
+    store = user_state.create(spark, shared_path(spark, "users"))
+    items = spark.createDataFrame([(u, p, float(u + p)) for u in range(4) for p in range(6)], "user_id long, product_id long, weight double")
+    vector = lambda ids: spark.createDataFrame([(i, [(i % 3, 1.0 + i), (7, 2.0)]) for i in ids], "product_id long, entries array<struct<fid:int,weight:double>>")
+    store.add(items, vector(range(3)))
+    store.add(items, vector(range(2, 5)))
+    got = {(r.user_id, r.fid, r.weight) for r in store.values().collect()}
+    assert got and got == {(r.user_id, e.fid, e.weight) for r in store.entries().collect() for e in r.entries}
+    by_vector, groups = user_state._with_ids(items, vector(range(6)), "left", False)
+    for frame in (store.values(), user_state._weighed(by_vector, groups)):
+        placed = [line for line in plan_of(frame).splitlines() if "Exchange hashpartitioning(user_id" in line]
+        assert len(placed) == 1 and "fid" not in placed[0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
