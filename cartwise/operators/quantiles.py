@@ -40,16 +40,26 @@ def _inside(counts: DataFrame, parts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(p), within).drop("_feature")
 
 
+def _nth(rows: DataFrame, bounds: str, value: str) -> DataFrame:
+    """Add ``nth``: how many of the ascending ``bounds``, fewer than ``CUTS``, are below ``value``, by halving."""
+    out, step = rows.withColumn("nth", F.lit(0)), 1 << (CUTS - 1).bit_length()
+    while step := step // 2:
+        below = F.coalesce(F.get(bounds, F.col("nth") + (step - 1)) < F.col(value), F.lit(False))
+        out = out.withColumn("nth", F.col("nth") + F.when(below, step).otherwise(0))
+    return out
+
+
 def _cut(counts: DataFrame, parts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Parts cut into smaller ones, as far as a wanted rank (feature, rank) lies in them."""
     key = ["feature", "low"]
     inside = _inside(counts, parts)
     steps = [i / CUTS for i in range(1, CUTS)]
     bounds = inside.groupBy("feature", "low").agg(F.array_distinct(F.percentile_approx("value", steps, 10_000)).alias("bounds"))
-    bounds = bounds.select(F.col("feature").alias("_feature"), F.col("low").alias("_low"), "bounds")
-    placed = inside.join(F.broadcast(bounds), (F.col("feature") == F.col("_feature")) & F.col("low").eqNullSafe(F.col("_low")))
-    nth = F.size(F.filter("bounds", lambda b: b < F.col("value")))
-    sums = placed.groupBy(*key, "high", "base", "bounds", nth.alias("nth")).agg(F.sum("n").alias("n"))
+    bounds = stage(bounds.select(F.col("feature").alias("_feature"), F.col("low").alias("_low"), "bounds"), "bounds")
+    own = (F.col("feature") == F.col("_feature")) & F.col("low").eqNullSafe(F.col("_low"))
+    placed = _nth(inside.join(F.broadcast(bounds), own), "bounds", "value")
+    # the array is joined again, as a key it would be hashed with every value
+    sums = placed.groupBy(*key, "high", "base", "nth").agg(F.sum("n").alias("n")).join(F.broadcast(bounds), own)
     before = Window.partitionBy("feature", "low").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     fresh = sums.select(
         "feature", F.when(F.col("nth") == 0, F.col("low")).otherwise(F.get("bounds", F.col("nth") - 1)).alias("low"),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.operators import cleaning, index, joins, retrieval, user_state
+from cartwise.operators import cleaning, index, joins, quantiles, retrieval, user_state
 from cartwise.plans import search as S
 from cartwise.session import shared_path, stage
 from cartwise.sources import tables as T
@@ -124,3 +124,11 @@ def test_running_user_sums_are_placed_by_user_alone(spark):
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_are_placed_between_bounds_by_halving(spark):
+    bounds = {0: [], 1: [2.0], 2: [-1.0, 0.5, 3.0], 63: [float(i) for i in range(63)]}
+    rows = [(k, b, v) for k, b in bounds.items() for v in (float("-inf"), -1.0, 0.0, 0.5, 2.0, 31.0, 31.5, 62.0, 63.0, float("inf"))]
+    placed = quantiles._nth(spark.createDataFrame(rows, "k int, bounds array<double>, value double"), "bounds", "value")
+    assert "lambda" not in plan_of(placed)
+    assert all(r.nth == sum(b < r.value for b in r.bounds) for r in placed.collect()) and placed.count() == 40
