@@ -43,13 +43,12 @@ def term_stats(docs: DataFrame, text: str, max_ngram: int) -> DataFrame:
     shuffle by document; what is shuffled are counts per term, already combined.
     """
     def entries(terms: Column, tf: int, df: int) -> Column:
-        return F.transform(terms, lambda t: F.struct(
-            t.alias("term"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df")))
+        return F.struct(terms.alias("terms"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df"))
 
     terms = with_terms(docs.select(text), text, max_ngram).select("terms")
-    # the outer form: the plain one would test, and so find, the terms twice
-    rows = terms.select(F.inline_outer(F.concat(
-        entries(F.col("terms"), 1, 0), entries(F.array_distinct("terms"), 0, 1))))
+    # the outer forms: the plain ones would test, and so find, the terms twice
+    lists = terms.select(F.inline_outer(F.array(entries(F.col("terms"), 1, 0), entries(F.array_distinct("terms"), 0, 1))))
+    rows = lists.select(F.explode_outer("terms").alias("term"), "tf", "df")
     return rows.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 

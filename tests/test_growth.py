@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.operators import cleaning, index, joins, quantiles, retrieval, user_state
+from cartwise.operators import cleaning, index, joins, quantiles, retrieval, tfidf, user_state
 from cartwise.plans import search as S
 from cartwise.session import shared_path, stage
 from cartwise.sources import tables as T
@@ -132,3 +132,12 @@ def test_values_are_placed_between_bounds_by_halving(spark):
     placed = quantiles._nth(spark.createDataFrame(rows, "k int, bounds array<double>, value double"), "bounds", "value")
     assert "lambda" not in plan_of(placed)
     assert all(r.nth == sum(b < r.value for b in r.bounds) for r in placed.collect()) and placed.count() == 40
+
+
+def test_terms_are_counted_without_a_row_builder_per_term(spark):
+    docs = spark.createDataFrame([("Red red shoe",), ("shoe",), ("",), (None,)], "text string")
+    stats = tfidf.term_stats(docs, "text", 1)
+    assert {r.term: (r.tf, r.df) for r in stats.collect()} == {"red": (2, 1), "shoe": (2, 2)}
+    assert "lambda" not in plan_of(stats)
+    pairs = {r.term: (r.tf, r.df) for r in tfidf.term_stats(docs, "text", 2).collect()}
+    assert pairs == {"red": (2, 1), "shoe": (2, 2), "red red": (1, 1), "red shoe": (1, 1)}
