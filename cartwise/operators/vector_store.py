@@ -52,8 +52,8 @@ class VectorStore:
         """(key, text_hash, entries, seq) of all documents with a text, and what was done. Texts without a known term have no entries."""
         now = self.version()
         docs = docs.filter(F.col(text).isNotNull())
-        groups = stage(content_groups(docs, key, text), "distinct-texts")
-        todo = stage(not_embedded(groups, self.vectors(now)).select("text_hash", text), "texts-to-embed")
+        # texts are written only where they are embedded; what was there is counted by hash
+        todo = stage(not_embedded(content_groups(docs, key, text), self.vectors(now)).select("text_hash", text), "texts-to-embed")
         vocab = self.spark.read.parquet(f"{self.path}/vocab")
         weights = TF.tfidf(todo, "text_hash", text, vocab, self.space.max_ngram, self.space.sublinear)
         none = F.array().cast(ENTRIES)
@@ -64,7 +64,8 @@ class VectorStore:
         made.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{self.path}/vectors/{name}")
         embedded = todo.count()
         after = publish(self.spark, self.path, Version(now.number + 1, (*now.folders, Folder(seq, name, embedded)), now.batch)) if embedded else now
-        sizes = groups.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+        copies = docs.groupBy(X.content_hash(F.col(text)).alias("text_hash")).agg(F.count("*").alias("copies"))
+        sizes = copies.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
         counts = Counts(sizes[1], sizes[0], embedded, sizes[0] - embedded)
         return embed_copies(docs, key, text, self.vectors(after)), counts
 

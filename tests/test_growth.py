@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.operators import cleaning, index, joins, quantiles, retrieval, tfidf, user_state
+from cartwise.operators import cleaning, index, joins, quantiles, retrieval, tfidf, user_state, vector_store
 from cartwise.plans import search as S
 from cartwise.session import shared_path, stage
 from cartwise.sources import tables as T
@@ -141,3 +141,13 @@ def test_terms_are_counted_without_a_row_builder_per_term(spark):
     assert "lambda" not in plan_of(stats)
     pairs = {r.term: (r.tf, r.df) for r in tfidf.term_stats(docs, "text", 2).collect()}
     assert pairs == {"red": (2, 1), "shoe": (2, 2), "red red": (1, 1), "red shoe": (1, 1)}
+
+
+def test_texts_with_a_stored_vector_are_not_written(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red shoe"), (2, "red shoe"), (3, "blue")], "id long, text string")
+    store = vector_store.create(spark, shared_path(spark, "vectors"), tfidf.fit_vocab(docs, "text", tfidf.DENSE), tfidf.DENSE)
+    written = []
+    monkeypatch.setattr(vector_store, "stage", lambda df, label: written.append(stage(df, label)) or written[-1])
+    assert store.embed(docs, "id", "text")[1] == vector_store.Counts(3, 2, 2, 0)
+    assert store.embed(docs, "id", "text")[1] == vector_store.Counts(3, 2, 0, 2)
+    assert [df.count() for df in written if "text" in df.columns] == [2, 0]
